@@ -8,13 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, simhash_dedup
+from . import byte_bpe, decontaminate, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hit_digests(found: DataFrame) -> DataFrame:
+    """The result of :func:`decontaminate.decontaminate` as counts and a digest."""
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return hit_digests(decontaminate.decontaminate(documents, benchmark))
+
+
 def token_digests(encoded: DataFrame) -> DataFrame:
     """The ids and decoded bytes of :func:`byte_bpe.encode_decode` as digests."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -38,6 +55,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op7_benchmark_decontamination,
         op9_byte_bpe,
         op10_simhash_near_dedup,
     )
