@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, simhash_dedup
+from . import byte_bpe, decontaminate, line_dedup, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text less the boilerplate of its source."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(documents, F.col("source"))
+
+
 def hit_digests(found: DataFrame) -> DataFrame:
     """The result of :func:`decontaminate.decontaminate` as counts and a digest."""
     return found.select(
@@ -55,10 +61,65 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op4_line_dedup,
         op7_benchmark_decontamination,
         op9_byte_bpe,
         op10_simhash_near_dedup,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": f"""
+        WITH lines AS (
+            SELECT row, source, text, unnest(list_distinct(list_filter(list_transform(
+                       string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''))) AS line
+            FROM (SELECT row_number() OVER () AS row, source, text FROM documents)
+        ), totals AS (
+            SELECT source, count(*) AS total FROM documents WHERE source IS NOT NULL GROUP BY source
+        ), bad AS (
+            SELECT l.source, list(line) AS lines FROM (
+                SELECT source, line, count(*) AS pages FROM lines GROUP BY source, line
+            ) AS l JOIN totals AS t ON l.source = t.source
+            WHERE pages >= {line_dedup.MIN_PAGES} AND pages > {line_dedup.RATIO} * total GROUP BY l.source
+        ), left_lines AS (
+            SELECT doc_id, d.source, text, list_filter(string_split(text, chr(10)),
+                       lambda x: trim(x) = '' OR NOT list_contains(lines, trim(x))) AS lines, bad.lines IS NULL AS same
+            FROM documents AS d LEFT JOIN bad ON d.source = bad.source
+        )
+        SELECT doc_id, source,
+               CASE WHEN same OR text IS NULL THEN text ELSE array_to_string(lines, chr(10)) END AS text,
+               CASE WHEN same OR text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) - len(lines) END::BIGINT AS dropped_lines
+        FROM left_lines""",
+    "op7_benchmark_decontamination": f"""
+        WITH doc AS (
+            SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}'), lambda x: x <> '') AS words
+            FROM documents
+        ), item AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS words
+            FROM benchmark WHERE item_id IS NOT NULL
+        ), item_windows AS (
+            SELECT DISTINCT item_id, n, words[i : i + n - 1] AS window_words FROM (
+                SELECT *, unnest(range(1, len(words) - n + 2)) AS i FROM (
+                    SELECT *, least(10, len(words)) AS n FROM item WHERE len(words) > 0))
+        ), doc_windows AS (
+            SELECT row, i, n, words[i : i + n - 1] AS window_words FROM (
+                SELECT row, words, n, unnest(range(1, len(words) - n + 2)) AS i
+                FROM doc, (SELECT DISTINCT n FROM item_windows))
+        ), hits AS (
+            SELECT row, i, d.n, item_id FROM doc_windows AS d JOIN item_windows AS w
+            ON d.n = w.n AND d.window_words = w.window_words
+        ), hit_words AS (
+            SELECT row, count(DISTINCT j) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS j FROM hits) GROUP BY row
+        ), hit_items AS (
+            SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+            FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM hits) GROUP BY row
+        )
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+               coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)""",
+}
