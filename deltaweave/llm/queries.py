@@ -5,16 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, line_dedup, simhash_dedup
+from . import byte_bpe, decontaminate, language_id, line_dedup, pii, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _span_list(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def span_digests(found: DataFrame) -> DataFrame:
+    """The result of :func:`pii.find_pii` as counts, a digest and a span list."""
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, pii.KINDS),
+        F.sha2(_span_list(F.col("base")), 256).alias("base_sha256"),
+        _span_list(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(pii.find_pii(_table(spark, sf_dir, "documents")))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return language_id.identify(documents, language_id.learn_from(documents))
@@ -66,6 +88,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_pii,
         op2_language_id,
         op4_line_dedup,
         op7_benchmark_decontamination,
