@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, line_dedup, pii, simhash_dedup
+from . import ann_search, byte_bpe, decontaminate, language_id, license_scan, line_dedup, pii, simhash_dedup, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +42,28 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents, language_id.learn_from(documents))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_of(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text less the boilerplate of its source."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(documents, F.col("source"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged; a page counts as bad where its label is toxic."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("toxic") == 1).alias("bad"))
+    return url_rules.judge(_table(spark, sf_dir, "pages"), labels)
+
+
+def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100."""
+    vectors = ann_search.usable(_table(spark, sf_dir, "embeddings"))
+    return ann_search.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def hit_digests(found: DataFrame) -> DataFrame:
     """The result of :func:`decontaminate.decontaminate` as counts and a digest."""
     return found.select(
@@ -90,7 +106,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_pii,
         op2_language_id,
+        op3_license_scan,
         op4_line_dedup,
+        op5_url_filter,
+        op6_ann_search,
         op7_benchmark_decontamination,
         op9_byte_bpe,
         op10_simhash_near_dedup,
