@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids come from a bounded sample by repeated halving at the median of a
-two-means direction, so every list gets an equal share of the sample.  They
+two-means direction, so every list gets an equal share of the sample, and a few
+rounds of k-means in which full lists are farther away.  They
 stay in memory with a graph of near neighbours, which a beam search walks for
 every vector and query.  A vector joins its nearest list and, if it lies on a
-boundary, further ones within a distance ratio, unless a list already chosen is
-nearer to the candidate than the vector is.  A query reads the lists within a
-wider distance ratio of its nearest one, and always enough of them to hold
-``LEAST_FOUND`` vectors.
+boundary, further ones within a distance ratio.  A query reads the lists within
+a wider distance ratio of its nearest one, and always enough of them to hold
+``LEAST_FOUND`` vectors; where vectors have little structure, ratios are close
+to one and it reads up to one list in ``BEAM_SHARE``.
 
 The postings of all vectors are a table.  Lists and the queries on them are cut
 into blocks of bounded size, each pair of blocks is compared by one task in
@@ -36,9 +37,11 @@ from pyspark.sql import functions as F
 from .scratch import keep
 
 SAMPLE, MOST_LISTS, LIST_SIZE = 32_768, 4096, 128
-NEIGHBOURS, BEAM, STEPS = 16, 96, 6
-COPY_RATIO, MOST_COPIES, READ_RATIO, LEAST_FOUND = 1.15, 6, 1.6, 256
+NEIGHBOURS, BEAM, BEAM_SHARE, STEPS = 16, 96, 4, 6
+COPY_RATIO, MOST_COPIES, READ_RATIO, LEAST_FOUND = 1.15, 4, 1.4, 256
 BLOCK = 4096
+#: Rounds that move centroids to their members; distance added for a full list.
+ROUNDS, CROWDING = 6, 0.05
 
 
 def _halve(points: np.ndarray, rows: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +63,15 @@ def balanced_centroids(points: np.ndarray, lists: int, seed: int = 11) -> np.nda
     leaves = [np.arange(len(points))]
     while len(leaves) < lists and max(map(len, leaves)) > 1:
         leaves = [part for leaf in leaves for part in (_halve(points, leaf, random) if len(leaf) > 1 else (leaf,))]
-    return np.unique(np.array([points[leaf].mean(0) for leaf in leaves]), axis=0)
+    centroids = np.array([points[leaf].mean(0) for leaf in leaves])
+    size, mean = np.full(len(centroids), len(points) / len(centroids)), len(points) / len(centroids)
+    for _ in range(ROUNDS if len(centroids) > 1 else 0):
+        apart = _squares(points, centroids)
+        side = np.argmin(apart + CROWDING * apart.mean() * np.maximum(size / mean - 1, 0), axis=1)
+        size = np.bincount(side, minlength=len(centroids)).astype(float)
+        for c in np.flatnonzero(size):
+            centroids[c] = points[side == c].mean(0)
+    return np.unique(centroids, axis=0)
 
 
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -75,11 +86,12 @@ class CentroidGraph:
         n = len(centroids)
         near = [np.argsort(_squares(centroids[i : i + 512], centroids), axis=1, kind="stable")[:, : NEIGHBOURS + 1] for i in range(0, n, 512)]
         self.near = np.concatenate(near).astype(np.int32) if near else np.zeros((0, 1), np.int32)
-        self.entries = np.random.default_rng(5).permutation(n)[: max(BEAM, 2 * int(np.sqrt(n)))].astype(np.int32)
+        self.widest = max(BEAM, n // BEAM_SHARE)
+        self.entries = np.random.default_rng(5).permutation(n)[: max(self.widest, 2 * int(np.sqrt(n)))].astype(np.int32)
 
-    def search(self, x: np.ndarray, most: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(list, distance) of up to ``most`` near centroids of each row, nearest first."""
-        most = min(most, len(self.centroids))
+        most = min(most or self.widest, len(self.centroids))
         at = np.argsort(_squares(x, self.centroids[self.entries]), axis=1, kind="stable")[:, :most]
         beam = self.entries[at]
         for _ in range(STEPS):
@@ -110,17 +122,11 @@ class CentroidGraph:
         c = self.centroids[lists]
         return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(2) - 2 * np.einsum("id,ijd->ij", x, c), 0)
 
-    def copies(self, x: np.ndarray) -> Iterator[tuple[int, int]]:
+    def copies(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists that each vector joins."""
         lists, d = self.search(x, 4 * MOST_COPIES)
-        for i in range(len(x)):
-            chosen: list[int] = []
-            for c, distance in zip(lists[i].tolist(), d[i].tolist(), strict=True):
-                if len(chosen) == MOST_COPIES or distance > COPY_RATIO * d[i, 0] and chosen:
-                    break
-                if all(((self.centroids[c] - self.centroids[o]) ** 2).sum() >= distance**2 for o in chosen):
-                    chosen.append(c)
-                    yield i, c
+        row, place = np.nonzero(np.isfinite(d[:, :MOST_COPIES]) & (d[:, :MOST_COPIES] <= COPY_RATIO * d[:, :1]))
+        return row, lists[row, place]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -143,10 +149,8 @@ def _posting(shared) -> Callable:  # noqa: ANN001
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                pairs = list(shared.value.copies(_matrix(part.column(1))))
-                rows = pa.array([i for i, _ in pairs], pa.int64())
-                lists = pa.array([c for _, c in pairs], pa.int32())
-                yield pa.RecordBatch.from_arrays([lists, part.column(0).take(rows), part.column(1).take(rows)], ["list", "vec_id", "v"])
+                rows, lists = map(pa.array, shared.value.copies(_matrix(part.column(1))))
+                yield pa.RecordBatch.from_arrays([lists.cast(pa.int32()), part.column(0).take(rows), part.column(1).take(rows)], ["list", "vec_id", "v"])
 
     return run
 
@@ -154,8 +158,8 @@ def _posting(shared) -> Callable:  # noqa: ANN001
 def _probing(shared, sizes: np.ndarray) -> Callable:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 lists, d = shared.value.search(_matrix(part.column(1)))
                 before = np.cumsum(sizes[lists], axis=1) - sizes[lists]
                 read = np.isfinite(d) & ((d <= READ_RATIO * d[:, :1]) | (before < LEAST_FOUND))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, byte_bpe, decontaminate, language_id, license_scan, line_dedup, pii, simhash_dedup, url_rules
+from . import ann_search, byte_bpe, decontaminate, language_id, license_scan, line_dedup, pii, simhash_dedup, token_pack, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(byte_bpe.encode_decode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
+def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_pack.pack(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_url_filter,
         op6_ann_search,
         op7_benchmark_decontamination,
+        op8_token_packing,
         op9_byte_bpe,
         op10_simhash_near_dedup,
     )
