@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import fresh, keep
 
 WINDOW_WORDS, GRAM_WORDS = 10, 5
 #: Benchmark windows up to this number are broadcast (about 100 bytes each).
@@ -92,25 +92,32 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return rows.groupBy("len", "key", "first", "last").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted item ids) and spans of every row.
+def _probed(docs: DataFrame, benchmark: DataFrame, *others: Column) -> DataFrame:
+    """The other columns with n_words and each hit (len, at, items).
 
-    ``spans`` has the maximal hit word ranges as (begin, end), end exclusive.
+    Every row of ``docs`` also has one row of its own with ``at`` -1.
     """
     windows = keep(benchmark_windows(benchmark), "windows")
     lengths = [row["len"] for row in windows.groupBy("len").count().orderBy("len").collect()]
     few = windows.count() <= BROADCAST_WINDOWS
-    hashed = _hashed(docs, "text", F.col("doc_id"), F.monotonically_increasing_id().alias("row"))
+    hashed = _hashed(docs, "text", *others)
+    names = [c for c in hashed.columns if not c.startswith("_")]
     n = F.col("n_words")
-    none = _entry(0, F.lit(-1), *(F.lit(None).cast("long"),) * 3)
-    lists = [F.array(none)]
+    lists = [F.array(_entry(0, F.lit(-1), *(F.lit(None).cast("long"),) * 3))]
     if WINDOW_WORDS in lengths:
         lists.append(_full_windows(F.col("_grams"), n))
     lists += [_short_windows(F.col("_hashes"), n, k) for k in lengths if k < WINDOW_WORDS]
-    probes = hashed.select("row", "doc_id", "n_words", F.explode(F.concat(*lists)).alias("w"))
-    probes = probes.select("row", "doc_id", "n_words", "w.*")
+    probes = hashed.select(*names, F.explode(F.concat(*lists)).alias("w")).select(*names, "w.*")
     found = probes.join(F.broadcast(windows) if few else windows, ["len", "key", "first", "last"], "left")
-    found = found.where("at < 0 or items is not null")
+    return found.where("at < 0 or items is not null")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted item ids) and spans of every row.
+
+    ``spans`` has the maximal hit word ranges as (begin, end), end exclusive.
+    """
+    found = _probed(docs, benchmark, F.col("doc_id"), F.monotonically_increasing_id().alias("row"))
     hit = F.when(F.col("at") >= 0, F.struct("at", (F.col("at") + F.col("len")).alias("end")))
     grouped = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
@@ -123,6 +130,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return grouped.withColumn("spans", spans).select("doc_id", "n_words", total.alias("n_hit"), "items", "spans")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of any benchmark item."""
+    mark = fresh(docs, "text_mark")
+    found = _probed(docs, benchmark, F.col("doc_id").alias("hit_id"), F.xxhash64("text").alias("hit_mark"))
+    found = keep(found.where("at >= 0").select("hit_id", "hit_mark").distinct(), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col(mark) == F.col("hit_mark"))
+    return docs.withColumn(mark, F.xxhash64("text")).join(found, same, "left_anti").drop(mark)
+
+
 def _extend(spans: Column, hit: Column) -> Column:
     """Join a hit to the last span if they touch; hits come in order."""
     last = F.element_at(spans, -1)
