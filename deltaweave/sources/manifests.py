@@ -6,8 +6,6 @@ one line a path: ``Path:<hex digest, nibbles swapped>:<relative path>``.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,22 +15,40 @@ from ..operators.files import ignored
 VERSION = "Manifest:1.0"
 
 
+def _hollow(spark: SparkSession, root: str) -> list[str]:
+    """The relative paths of empty files, and with a final slash of empty
+    directories, which the file reader leaves out."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out, todo = [], [(path, "")]
+    while todo:
+        folder, prefix = todo.pop()
+        entries = list(store.listStatus(folder))
+        if not entries and prefix:
+            out.append(prefix)
+        for entry in entries:
+            name = prefix + entry.getPath().getName()
+            if entry.isDirectory():
+                todo.append((entry.getPath(), name + "/"))
+            elif not entry.getLen():
+                out.append(name)
+    return sorted(out)
+
+
 def scan_directory(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
     """(path, is_dir, size, content) of the files below ``root``, sorted by path.
 
     Paths are relative with slashes.  Files that an ignore rule matches are left
-    out.  Empty directories of a local root are listed too, with a final slash.
+    out.  Empty directories are listed too, with a final slash.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.split("://", 1)[-1].rstrip("/") + "/"
     path = F.regexp_replace(F.col("path"), r"^[a-z]+:(?://)?", "")
     relative = F.expr(f"substring(p, locate('{base}', p) + {len(base)})")
-    table = files.withColumn("p", path).select(relative.alias("path"), F.lit(False).alias("is_dir"), F.col("length").alias("size"), "content")
-    local = root.split("file://", 1)[-1]
-    if os.path.isdir(local):
-        empty = sorted(os.path.relpath(d, local).replace(os.sep, "/") + "/" for d, subs, names in os.walk(local) if not subs and not names and d != local)
-        if empty:
-            table = table.unionByName(spark.createDataFrame([(p, True, 0, None) for p in empty], table.schema))
+    table = files.where("length > 0").withColumn("p", path).select(relative.alias("path"), F.lit(False).alias("is_dir"), F.col("length").alias("size"), "content")
+    hollow = [(p, p.endswith("/"), 0, None if p.endswith("/") else b"") for p in _hollow(spark, root)]
+    if hollow:
+        table = table.unionByName(spark.createDataFrame(hollow, table.schema))
     if ignore:
         table = table.where(~ignored(F.col("path"), ignore))
     return table.orderBy("path")
