@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .scratch import keep
 
 THRESHOLD = 0.8
+NOT_WORDS, FINAL_DOTS = r"[^\p{L}\p{N}.]+", r"\.+( |$)"
 #: Licence notices by SPDX-like name.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -70,7 +71,8 @@ TEMPLATES = {
 
 def _pairs(text: Column) -> Column:
     """Hashes of the distinct adjacent word pairs, one array a unit."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?![\p{L}\p{N}])", " ")), " +")
+    plain = F.regexp_replace(F.lower(text), NOT_WORDS, " ")
+    words = F.split(F.trim(F.regexp_replace(plain, FINAL_DOTS, " ")), " +")
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b)))
 
 

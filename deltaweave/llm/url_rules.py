@@ -19,6 +19,7 @@ everything else is allowed; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.ml.fpm import FPGrowth
@@ -83,13 +84,17 @@ def mine(labelled: DataFrame) -> DataFrame | None:
     total = baskets.count()
     if not baskets.where(F.array_contains("items", BLOCKED)).take(1):
         return None
-    support = min(1.0, max(MIN_SUPPORT, MIN_COUNT / total))
+    needed = max(math.ceil(MIN_SUPPORT * total), MIN_COUNT)
     # items that are rare, or never met with the label often enough, are in no rule
     often = baskets.select(F.explode("items").alias("item"), F.array_contains("items", BLOCKED).alias("bad"))
-    often = often.groupBy("item").agg(F.count_if("bad").alias("n")).where(F.col("n") >= support * total)
+    often = often.groupBy("item").agg(F.count_if("bad").alias("n")).where(F.col("n") >= needed)
     numbered = baskets.select(F.monotonically_increasing_id().alias("basket"), F.explode("items").alias("item"))
     kept = numbered.join(often.select("item"), "item").groupBy("basket").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support * total / max(1, kept.count()), minConfidence=MIN_CONFIDENCE).fit(keep(kept, "kept"))
+    kept = keep(kept, "kept")
+    n_kept = kept.count()
+    if n_kept < needed:
+        return None
+    model = FPGrowth(itemsCol="items", minSupport=(needed - 0.5) / n_kept, minConfidence=MIN_CONFIDENCE).fit(kept)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.size("antecedent") <= MAX_TOKENS))
     rules = rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
     rules = keep(rules.withColumn("rule_id", F.xxhash64("tokens")), "rules")
