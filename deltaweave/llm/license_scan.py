@@ -93,7 +93,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
     bounds = known.agg(F.min("size"), F.max("size")).first()
     small, large = (bounds[0] or 0) * least, (bounds[1] or 0) * most
-    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("unit", "line"))
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    lines = numbered.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("unit", "line"))
     units = lines.select("row", "doc_id", "unit", _pairs(F.col("line")).alias("pairs")).withColumn("n", F.size("pairs"))
     units = units.where(F.col("n").between(small, large) & (F.col("n") > 0))
     pairs = units.select("row", "doc_id", "unit", "n", F.explode("pairs").alias("pair"))

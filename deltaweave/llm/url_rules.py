@@ -88,7 +88,7 @@ def mine(labelled: DataFrame) -> DataFrame | None:
     # items that are rare, or never met with the label often enough, are in no rule
     often = baskets.select(F.explode("items").alias("item"), F.array_contains("items", BLOCKED).alias("bad"))
     often = often.groupBy("item").agg(F.count_if("bad").alias("n")).where(F.col("n") >= needed)
-    numbered = baskets.select(F.monotonically_increasing_id().alias("basket"), F.explode("items").alias("item"))
+    numbered = baskets.withColumn("basket", F.monotonically_increasing_id()).select("basket", F.explode("items").alias("item"))
     kept = numbered.join(often.select("item"), "item").groupBy("basket").agg(F.sort_array(F.collect_set("item")).alias("items"))
     kept = keep(kept, "kept")
     n_kept = kept.count()
