@@ -210,6 +210,17 @@ def encode_steps(old: np.ndarray, new: np.ndarray, covers: list[Cover], kind: st
     return tag + b"&" + kind.encode() + b"\0" + b"".join(map(pack_varint, numbers)) + (packed or flat)
 
 
+def encode_literal_steps(new: np.ndarray, old_size: int, covers: list[Cover], kind: str = "", step_bytes: int = STEP_BYTES) -> bytes:
+    """A steps container from covers that are equal bytes, without old.
+
+    The old stream is stood in for by the covered bytes of new themselves.
+    """
+    stand_in = np.zeros(old_size, np.uint8)
+    for i, j, n in covers:
+        stand_in[i : i + n] = new[j : j + n]
+    return encode_steps(stand_in, new, covers, kind, step_bytes)
+
+
 def _read_steps(data: bytes, tag: bytes) -> tuple[DiffInfo, int, bytes]:
     reader = Reader(data)
     if reader.until(b"&") != tag:

@@ -6,6 +6,8 @@ unsigned bytes and takes memory in proportion to the streams of one pair.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from .codecs import varint_size
@@ -131,6 +133,40 @@ def block_covers(old: np.ndarray, new: np.ndarray, size: int, least: int = 16) -
     return covers
 
 
+def signature_covers(indexes: list[int], keys: np.ndarray, strong: list[str], old_size: int, new: np.ndarray, size: int, least: int = 16) -> list[Cover]:
+    """Covers of ``new`` from nothing but the block signatures of old.
+
+    ``keys`` are rolling sums as one number and ``strong`` MD5 digests of whole
+    blocks.  The block that follows the last match is tried first, then the
+    least one; touching covers become one.
+    """
+    from .checksums import rolling, rule_table
+
+    a, s = rolling(new, size, 32, rule_table())
+    sums = a | s << np.uint64(32)
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    low, high = np.searchsorted(ranked, sums, "left"), np.searchsorted(ranked, sums, "right")
+    covers: list[Cover] = []
+    at, hits = 0, np.flatnonzero(high > low)
+    while at < len(hits):
+        j = int(hits[at])
+        digest = hashlib.md5(new[j : j + size].tobytes()).hexdigest()
+        options = [int(o) for o in order[low[j] : high[j]] if strong[o] == digest]
+        if not options:
+            at += 1
+            continue
+        wanted = covers[-1][0] + covers[-1][2] if covers and covers[-1][1] + covers[-1][2] == j else -1
+        i = min(indexes[o] for o in options) * size
+        if any(indexes[o] * size == wanted for o in options):
+            i, (a0, b0, n0) = wanted, covers.pop()
+            covers.append((a0, b0, n0 + size))
+        else:
+            covers.append((i, j, size))
+        at = int(np.searchsorted(hits, j + size))
+    return [c for c in covers if c[2] >= least and c[0] + c[2] <= old_size]
+
+
 def suffix_order(data: np.ndarray) -> np.ndarray:
     """The suffix array by prefix doubling."""
     n = len(data)

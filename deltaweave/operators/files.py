@@ -7,6 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of a ref stream by which places and files meet.
+BUCKET = 1 << 20
+
 
 def ignore_pattern(rules: str) -> str:
     """A regular expression for ``#``-separated path globs.
@@ -100,14 +103,14 @@ def ref_stream_by_range(files: DataFrame, order_by: str = "path", align: int = 1
 def at_positions(positions: DataFrame, layout: DataFrame) -> DataFrame:
     """(pos, path, offset): the file that holds a place of the ref stream.
 
-    The last file that begins at or before a place is found in one ordered
-    pass; padding and places behind the end have no file.
+    Files and places meet by buckets of 1 MiB, an equality join; padding and
+    places behind the end have no file.
     """
-    marks = layout.where("size > 0").select(F.col("begin").alias("at"), F.lit(0).alias("kind"), "path", "begin", "end")
-    asked = positions.select(F.col("pos").alias("at"), F.lit(1).alias("kind"), *(F.lit(None).cast(k).alias(n) for n, k in (("path", "string"), ("begin", "long"), ("end", "long"))))
-    order = Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = marks.unionByName(asked).select("at", "kind", *(F.last(c, ignorenulls=True).over(order).alias(c) for c in ("path", "begin", "end")))
-    return found.where("kind = 1 AND at < `end`").select(F.col("at").alias("pos"), "path", (F.col("at") - F.col("begin")).alias("offset"))
+    cells = F.explode(F.sequence(F.floor(F.col("begin") / BUCKET), F.floor((F.col("end") - 1) / BUCKET)))
+    held = layout.where("size > 0").select("path", "begin", "end", cells.alias("cell"))
+    asked = positions.select("pos", F.floor(F.col("pos") / BUCKET).alias("cell"))
+    met = asked.join(held, "cell").where("pos >= begin AND pos < `end`")
+    return met.select("pos", "path", (F.col("pos") - F.col("begin")).alias("offset"))
 
 
 def split_output(stream: DataFrame, layout: DataFrame) -> DataFrame:
@@ -115,14 +118,13 @@ def split_output(stream: DataFrame, layout: DataFrame) -> DataFrame:
 
     Segments and files meet by buckets of 1 MiB, an equality join.
     """
-    bucket = 1 << 20
     size = F.octet_length("bytes").cast("long")
-    cells = lambda a, b: F.explode(F.sequence(F.floor(a / bucket), F.floor((b - 1) / bucket)))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / BUCKET), F.floor((b - 1) / BUCKET)))
     left = stream.where(size > 0).select("pos", "bytes", (F.col("pos") + size).alias("stop")).select("*", cells(F.col("pos"), F.col("stop")).alias("cell"))
     right = layout.where("size > 0").select("path", "begin", "end").select("*", cells(F.col("begin"), F.col("end")).alias("cell"))
     met = left.join(right, "cell").where("begin < stop AND `end` > pos")
     start, stop = F.greatest("pos", "begin"), F.least("stop", "end")
-    met = met.where(F.col("cell") == F.floor(start / bucket))
+    met = met.where(F.col("cell") == F.floor(start / BUCKET))
     cut = F.substring("bytes", (start - F.col("pos") + 1).cast("int"), (stop - start).cast("int"))
     return met.select("path", (start - F.col("begin")).alias("offset"), cut.alias("bytes"))
 

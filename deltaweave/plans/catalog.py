@@ -551,15 +551,19 @@ def manifest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # whole operations, by round trip
 
 
-def _roundtrip(spark: SparkSession, sf_dir: str, kind: str, packing: str, finder: str) -> DataFrame:
-    both = text_pairs(spark, sf_dir)
-    made = pairs.diff(both, kind, packing, finder)
+def _applied(both: DataFrame, made: DataFrame) -> DataFrame:
+    """(stream_id, new_size, diff_size, ok): whether diffs give new from old."""
     joined = made.join(both, "stream_id")
     back = pairs.patch(joined.select("stream_id", "old", "diff", "new_size"))
     sizes = joined.select("stream_id", "new", F.octet_length("diff").cast("long").alias("diff_size"), "new_size")
     return sizes.join(back, "stream_id").select("stream_id", "new_size", "diff_size", (F.col("made") == F.col("new")).alias("ok"))
 
 
+def _roundtrip(spark: SparkSession, sf_dir: str, kind: str, packing: str, finder: str) -> DataFrame:
+    both = text_pairs(spark, sf_dir)
+    return _applied(both, pairs.diff(both, kind, packing, finder))
+
+
 def _register_roundtrips() -> None:
     for name, kind, packing in (
         ("plain_roundtrip", "plain", ""),
@@ -620,3 +624,13 @@ def sync_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = text_pairs(spark, sf_dir)
     side = lambda name: both.select("stream_id", F.col(name).alias("content"))
     return sync.synchronise(side("old"), side("new"), 256)
+
+
+@query()
+def sign_diff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diffs from block signatures of old alone, applied to old."""
+    both = text_pairs(spark, sf_dir)
+    side = lambda name: both.select("stream_id", F.col(name).alias("content"))
+    signed = sync.rolling_signatures(side("old"), B)
+    made = sync.diff_by_signature(signed, side("new"), B)
+    return _applied(both, made)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import checksums, formats, kernels
 from ..operators import blocks, covers, pairs
 
 
@@ -90,3 +95,39 @@ def synchronise(old: DataFrame, new: DataFrame, size: int = 2048) -> DataFrame:
         .join(missing, "stream_id", "left")
         .select("stream_id", "ok", "blocks", F.coalesce("need_blocks", F.lit(0).cast("long")).alias("need_blocks"))
     )
+
+
+def rolling_signatures(streams: DataFrame, size: int) -> DataFrame:
+    """(stream_id, old_size, block_index, key, strong) of the whole blocks; one
+    row without a block for a stream that has none.
+
+    ``key`` has both rolling sums in one LONG, ``strong`` is the MD5 digest.
+    """
+    sized = streams.select("stream_id", F.octet_length("content").cast("long").alias("old_size"))
+    cut = blocks.split_blocks(streams, size, tail=False)
+    sums = cut.select("stream_id", "block_index", checksums.fadler64(F.col("block")).alias("sums"), F.md5("block").alias("strong"))
+    key = F.col("sums.a").bitwiseOR(F.expr("shiftleft(sums.s, 32)"))
+    return sized.join(sums.select("stream_id", "block_index", key.alias("key"), "strong"), "stream_id", "left")
+
+
+def diff_by_signature(signed: DataFrame, new: DataFrame, size: int, packing: str = "zlib") -> DataFrame:
+    """(stream_id, diff, new_size) made without the bytes of old.
+
+    Covers are equal bytes, so the difference is zero throughout.  Signatures of
+    one stream are gathered beside its content: some forty bytes a block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                data, found = kernels.as_array(row["content"]), row["list"] or []
+                keys = np.array([b["key"] for b in found], np.int64).view(np.uint64)
+                old_size = row["old_size"] or 0
+                made = kernels.signature_covers([b["block_index"] for b in found], keys, [b["strong"] for b in found], old_size, data, size)
+                out = formats.encode_literal_steps(data, old_size, made, packing)
+                yield pa.RecordBatch.from_arrays([pa.array([row["stream_id"]], batch.schema.field(0).type), pa.array([out], pa.binary()), pa.array([len(data)], pa.int64())], ["stream_id", "diff", "new_size"])
+
+    lists = signed.groupBy("stream_id").agg(F.first("old_size").alias("old_size"), F.collect_list(F.when(F.col("block_index").isNotNull(), F.struct("block_index", "key", "strong"))).alias("list"))
+    joined = new.select("stream_id", "content").join(lists, "stream_id", "left")
+    kind = new.schema["stream_id"].dataType.simpleString()
+    return joined.select("stream_id", "content", "old_size", "list").mapInArrow(run, f"stream_id {kind}, diff binary, new_size long")
