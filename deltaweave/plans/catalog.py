@@ -634,3 +634,12 @@ def sign_diff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = sync.rolling_signatures(side("old"), B)
     made = sync.diff_by_signature(signed, side("new"), B)
     return _applied(both, made)
+
+
+@query()
+def zsync_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import zsync
+
+    both = text_pairs(spark, sf_dir)
+    side = lambda name: both.select("stream_id", F.col(name).alias("content"))
+    return zsync.synchronise(side("old"), side("new"), 256)
