@@ -29,8 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .scratch import TEXT_ROWS, arrow_rows
+
 #: Characters of text that are encoded at a time; pieces in one recursive query.
-BATCH_CHARS, BLOCK_PIECES = 1 << 22, 1 << 15
+BATCH_CHARS, BLOCK_PIECES = 3 << 20, 1 << 15
 #: Pieces and words that a task remembers beside those of the batch at hand.
 REMEMBERED = 300_000
 #: From so many bytes, equal pairs of a piece are contracted together.
@@ -124,10 +126,9 @@ class Encoder:
                 self.pairs[token[0], token[1]] = rank
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
         self._load_tables()
-        self.piece_ids: dict[str, bytes] = {}
-        self.piece_bytes: dict[str, bytes] = {}
-        self.word_ids: dict[str, bytes] = {}
-        self.word_bytes: dict[str, bytes] = {}
+        # of words and pieces alike: a piece by itself is one match of the pattern
+        self.ids: dict[str, bytes] = {}
+        self.raw: dict[str, bytes] = {}
 
     def _load_tables(self) -> None:
         ranks = self.ranks
@@ -173,22 +174,22 @@ class Encoder:
         return lists, [decoded[i:j] for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
 
     def _encode_pieces(self, pieces: set[str]) -> None:
-        """Add what is missing of ``pieces`` to the known ones."""
+        """Add the ids and decoded bytes of unknown pieces."""
         short, long = [], []
-        for piece in pieces.difference(self.piece_ids):
+        for piece in pieces:
             raw = piece.encode()
             whole = self.ranks.get(raw)
             if whole is None:
                 (long if len(raw) >= LONG_PIECE else short).append((piece, raw))
             else:
-                self.piece_ids[piece] = whole.to_bytes(4, "little")
-                self.piece_bytes[piece] = raw
+                self.ids[piece] = whole.to_bytes(4, "little")
+                self.raw[piece] = raw
         for todo, sql, most in ((short, _SHORT_SQL, BLOCK_PIECES), (long, _LONG_SQL, 16)):
             for at in range(0, len(todo), most):
                 names, raws = zip(*todo[at : at + most], strict=True)
                 ids, decoded = self._contract(list(raws), sql)
-                self.piece_ids.update(zip(names, ids, strict=True))
-                self.piece_bytes.update(zip(names, decoded, strict=True))
+                self.ids.update(zip(names, ids, strict=True))
+                self.raw.update(zip(names, decoded, strict=True))
 
     def _pieces(self, word: str) -> list[str]:
         """The matches of the pattern in one word, in order."""
@@ -200,19 +201,13 @@ class Encoder:
         return self.pattern.findall(word)
 
     def _learn(self, words: set[str]) -> None:
-        missing = {w: self._pieces(w) for w in words.difference(self.word_ids)}
-        used = set().union(*missing.values())
-        if len(self.piece_ids) > REMEMBERED:
-            self.piece_ids = {p: x for p in used if (x := self.piece_ids.get(p)) is not None}
-            self.piece_bytes = {p: self.piece_bytes[p] for p in self.piece_ids}
-        self._encode_pieces(used)
-        ids, raw = self.piece_ids, self.piece_bytes
+        missing = {w: self._pieces(w) for w in words.difference(self.ids)}
+        self._encode_pieces(set().union(*missing.values()).difference(self.ids))
+        ids, raw = self.ids, self.raw
         for word, pieces in missing.items():
-            if len(pieces) == 1:
-                self.word_ids[word], self.word_bytes[word] = ids[pieces[0]], raw[pieces[0]]
-            else:
-                self.word_ids[word] = b"".join([ids[p] for p in pieces])
-                self.word_bytes[word] = b"".join([raw[p] for p in pieces])
+            if len(pieces) != 1:
+                ids[word] = b"".join([ids[p] for p in pieces])
+                raw[word] = b"".join([raw[p] for p in pieces])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian int32, decoded bytes) of each text."""
@@ -225,11 +220,11 @@ class Encoder:
             else:
                 words[0] = words[0][1:]
         used = set().union(*cut)
-        if len(self.word_ids) > REMEMBERED:
-            self.word_ids = {w: x for w in used if (x := self.word_ids.get(w)) is not None}
-            self.word_bytes = {w: self.word_bytes[w] for w in self.word_ids}
+        if len(self.ids) > REMEMBERED:
+            self.ids = {w: x for w in used if (x := self.ids.get(w)) is not None}
+            self.raw = {w: self.raw[w] for w in self.ids}
         self._learn(used)
-        ids, raw = self.word_ids.__getitem__, self.word_bytes.__getitem__
+        ids, raw = self.ids.__getitem__, self.raw.__getitem__
         return [(b"".join(map(ids, words)), b"".join(map(raw, words))) for words in cut]
 
 
@@ -286,6 +281,7 @@ def _encoding(vocabulary, pattern: str) -> Callable:  # noqa: ANN001
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) and decoded (binary) of every row."""
     spark = docs.sparkSession
+    arrow_rows(spark, TEXT_ROWS)
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(spark, path))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_encoding(vocabulary, pattern), f"doc_id {kind}, ids array<int>, decoded binary")

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .scratch import TEXT_ROWS, arrow_rows
+
 UNKNOWN = "und"
 BITS, GRAMS = 16, 3
 FEATURES = 1 << BITS
@@ -161,6 +163,7 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(labelled: DataFrame) -> Model:
     """A model of the rows (lang, text, key); ``key`` only orders the sample."""
+    arrow_rows(labelled.sparkSession, TEXT_ROWS)
     labelled = labelled.where("lang is not null and key is not null")
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in sizes)
@@ -194,6 +197,7 @@ _RESULT = StructType([StructField("lang_pred", StringType()), StructField("score
 
 def prediction(model: Model, text: Column, docs: DataFrame) -> Column:
     """A struct (lang_pred, score) for each text."""
+    arrow_rows(docs.sparkSession, TEXT_ROWS)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: pa.Array) -> pa.Array:

@@ -14,6 +14,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch that carries texts, and one of plain numbers.
+TEXT_ROWS, NUMBER_ROWS = 512, 8192
+
+
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Set the rows of an Arrow batch for what is planned next.
+
+    Texts go to Python in small batches, so that neither the executor's buffers
+    nor its Python workers hold much of a partition.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared scratch folder; set to a temporary one only where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

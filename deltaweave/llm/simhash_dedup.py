@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .components import connected_components
-from .scratch import fresh, keep
+from .scratch import NUMBER_ROWS, TEXT_ROWS, arrow_rows, fresh, keep
 
 MAX_BITS = 2
 SHINGLE_WORDS = 3
@@ -221,6 +221,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(classes: DataFrame) -> DataFrame:
     """Spanning links (a, b) among the distinct fingerprints in column fp."""
+    arrow_rows(classes.sparkSession, NUMBER_ROWS)
     variants = _variants(classes).repartition("key").sortWithinPartitions("key")
     return variants.mapInArrow(_links, "a long, b long").distinct()
 
@@ -243,6 +244,7 @@ def components_of(prints: DataFrame) -> DataFrame:
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row of ``docs``."""
+    arrow_rows(docs.sparkSession, TEXT_ROWS)
     prints = keep(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "prints")
     found = components_of(prints).select("fp", F.col("component_id").alias("least"), F.lit(True).alias("grouped"))
     return prints.join(found, "fp", "left").select(
@@ -260,6 +262,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     mark = fresh(docs, "text_mark")
     marked = docs.withColumn(mark, F.xxhash64("text"))
+    arrow_rows(docs.sparkSession, TEXT_ROWS)
     prints = keep(marked.select("doc_id", F.col(mark).alias("mark"), fingerprint(F.col("text")).alias("fp")), "prints")
     found = components_of(prints.select("doc_id", "fp"))
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
