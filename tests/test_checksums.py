@@ -47,6 +47,15 @@ def test_digests(spark):
     assert c.each_chunk(iter([raw[:100], raw[100:]]), "crc32") == f"{zlib.crc32(raw):08x}"
 
 
+def test_block_sums(spark):
+    blocks = [DATA[:64].tobytes(), b"", None, DATA[:9000].tobytes(), b"x", DATA[100:4196].tobytes()]
+    df = spark.createDataFrame([(b,) for b in blocks], "b binary")
+    makers = [(c.adler32, c.BASE_16, None, 1), (c.adler64, c.BASE_32, None, 1), (c.fadler64, 1 << 32, c.rule_table(), 1), (c.zsync_roll, c.BASE_ZSYNC, None, 0)]
+    for make, base, table, initial in makers:
+        got = [(r[0]["a"], r[0]["s"]) for r in df.select(make(F.col("b"))).collect()]
+        assert got == [(None, None) if b is None else c.adler(np.frombuffer(b, np.uint8), base, table, initial) for b in blocks]
+
+
 def test_bits(spark):
     row = spark.createDataFrame([(0x1234567890, "ff00aa")], "h long, d string").select(c.fold_bits(F.col("h"), 16), c.truncate_digest(F.col("d"), 12), c.truncate_digest(F.col("d"), 16)).first()
     assert row[0] == ((0x1234567890 >> 16) ^ 0x1234567890) & 0xFFFF
