@@ -658,6 +658,43 @@ def decode(old: np.ndarray, data: bytes, new_size: int | None = None) -> bytes:
     return DECODE[kind](old, data)
 
 
+def covers_in(data: bytes) -> list[Cover]:
+    """The covers that a section, step or lite container holds."""
+    kind = sniff(data)
+    if kind == "sections":
+        head, (codes, *_) = _read_sections(data, SECTIONS_TAG)
+        return covers_in_sections(codes, head.covers)
+    if kind == "steps":
+        head, steps, body = _read_steps(data, STEPS_TAG)
+        reader, state, out, made = Reader(body), _Covers(True), [], 0
+        for _ in range(steps):
+            count, cover_size, run_size = (reader.varint() for _ in range(3))
+            codes = Reader(reader.take(cover_size))
+            reader.take(run_size)
+            for _ in range(count):
+                cover = state.next(codes, codes, codes)
+                reader.take(cover[1] - made)
+                made = cover[1] + cover[2]
+                out.append(cover)
+        return out
+    if kind == "lite":
+        reader = Reader(data)
+        reader.until(b"&")
+        packing = reader.until(b"\0").decode()
+        _, _, count, _, size, packed = (reader.varint() for _ in range(6))
+        body = Reader(decompress(packing, reader.take(packed), size) if packed else reader.take(size))
+        state, out, made = _Covers(True), [], 0
+        for _ in range(count):
+            plain = body.take(1)[0]
+            cover = state.next(body, body, body)
+            body.take(cover[1] - made)
+            body.take(0 if plain else cover[2])
+            made = cover[1] + cover[2]
+            out.append(cover)
+        return out
+    raise ValueError("no covers to read")
+
+
 def info(data: bytes) -> DiffInfo:
     """What the head of a container tells."""
     kind = sniff(data)

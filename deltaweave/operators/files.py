@@ -100,6 +100,25 @@ def ref_stream_by_range(files: DataFrame, order_by: str = "path", align: int = 1
     return placed.withColumn("end", F.col("begin") + F.col("size"))
 
 
+def combined_sums(sums: DataFrame, base: int, order_by: str = "path") -> DataFrame:
+    """(a, s): the Adler sums of all files end to end, from the sums of each.
+
+    ``sums`` has path, a, s and size.  With d = a - 1 of every file, a is
+    1 + sum(d) and s is sum(s) + sum(size * (d of the files before)); partitions
+    by range add up their own files and then meet as one row each.
+    """
+    whole = "decimal(38,0)"
+    d = (F.col("a") - 1).cast(whole)
+    parts = sums.select(F.col(order_by).alias("place"), d.alias("d"), F.col("s").cast(whole).alias("s"), F.col("size").cast(whole).alias("size")).repartitionByRange("place")
+    parts = parts.withColumn("part", F.spark_partition_id())
+    before = F.coalesce(F.sum("d").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast(whole))
+    own = parts.withColumn("e", (F.col("size") % base) * (before % base) % base).groupBy("part").agg(F.sum("d").alias("d"), (F.sum("s") + F.sum("e")).alias("s"), F.sum("size").alias("size"))
+    upto = F.coalesce(F.sum("d").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast(whole))
+    placed = own.withColumn("e", (F.col("size") % base) * (upto % base) % base)
+    total = placed.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d"), F.coalesce(F.sum(F.col("s") + F.col("e")), F.lit(0)).alias("s"))
+    return total.select(F.pmod(F.col("d") + 1, F.lit(base)).cast("long").alias("a"), F.pmod("s", F.lit(base)).cast("long").alias("s"))
+
+
 def at_positions(positions: DataFrame, layout: DataFrame) -> DataFrame:
     """(pos, path, offset): the file that holds a place of the ref stream.
 

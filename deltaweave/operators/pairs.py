@@ -130,6 +130,45 @@ def find_covers(pairs: DataFrame, finder: str = "block", size: int = 64) -> Data
     return _apply(pairs, lambda old, new: kernel(old, new, size), COVER_COLUMNS)
 
 
+def find_covers_in_chunks(pairs: DataFrame, finder: str = "block", size: int = 64, chunk: int = 8 << 20, overlap: int = 2 << 10) -> DataFrame:
+    """Covers of long streams: chunks of new are matched by separate tasks.
+
+    A chunk reaches ``overlap`` bytes into the next one; the covers of a stream
+    are then put in order and freed of overlap.
+    """
+    kernel = FINDERS[finder]
+    count = F.greatest(F.ceil(F.octet_length("new") / chunk).cast("int"), F.lit(1))
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.struct((c.cast("long") * chunk).alias("begin"), F.substring("new", c * chunk + 1, chunk + overlap).alias("part")))
+    rows = pairs.select("stream_id", "old", F.explode(cut).alias("c")).select(F.struct("stream_id", "c.begin").alias("key"), "old", F.col("c.part").alias("new"))
+    rows = rows.repartition("key").withColumnRenamed("key", "stream_id")
+    found = _apply(rows, lambda old, new: kernel(old, new, size), COVER_COLUMNS)
+    found = found.select("stream_id.stream_id", "old_pos", (F.col("new_pos") + F.col("stream_id.begin")).alias("new_pos"), "length")
+
+    def collate(table: pa.Table) -> pa.Table:
+        covers = zip(*(table.column(c).to_pylist() for c in ("old_pos", "new_pos", "length")), strict=True)
+        made = kernels.collate_covers(list(covers))
+        columns = list(zip(*made, strict=True)) if made else [[], [], []]
+        ids = table.column("stream_id").combine_chunks().take(pa.array([0] * len(made), pa.int64()))
+        return pa.table([ids, *(pa.array(c, pa.int64()) for c in columns)], names=["stream_id", "old_pos", "new_pos", "length"])
+
+    return found.groupBy("stream_id").applyInArrow(collate, found.schema)
+
+
+def covers_of(diffs: DataFrame) -> DataFrame:
+    """The covers that containers (stream_id, diff) hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = formats.covers_in(batch.column(1)[i].as_py())
+                columns = zip(*found, strict=True) if found else [[], [], []]
+                ids = batch.column(0).take(pa.array([i] * len(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns)], ["stream_id", "old_pos", "new_pos", "length"])
+
+    kind = diffs.schema["stream_id"].dataType.simpleString()
+    return diffs.select("stream_id", "diff").mapInArrow(run, f"stream_id {kind}, {COVER_COLUMNS}")
+
+
 def find_steps(pairs: DataFrame, finder: str = "block", step_bytes: int = formats.STEP_BYTES) -> DataFrame:
     """(stream_id, step_no, first_new, covers, cover_bytes, run_code, literal) of each step."""
     kernel = FINDERS[finder]

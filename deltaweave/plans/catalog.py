@@ -548,6 +548,18 @@ def manifest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.manifest_diff(new, files.with_digest(_files(spark, sf_dir, "old").where("path NOT LIKE '%3'")))
 
 
+@query(
+    f"""WITH {_RUNS}, begins AS (SELECT stream_id, sum(size) OVER (ORDER BY stream_id) - size AS begin FROM streams),
+    total AS (SELECT sum(size) AS n FROM streams)
+    SELECT ((1 + sum(value)) % 65521)::BIGINT AS a, ((any_value(n) + sum((n - begin - pos) * value)) % 65521)::BIGINT AS s
+    FROM bytes JOIN begins USING (stream_id), total"""
+)
+def combined_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adler 32 of all documents end to end, combined from each one's."""
+    sums = old_streams(spark, sf_dir).select("stream_id", F.octet_length("content").alias("size"), checksums.adler32(F.col("content")).alias("sums"))
+    return files.combined_sums(sums.select(F.col("stream_id").alias("path"), "sums.a", "sums.s", "size"), checksums.BASE_16)
+
+
 # whole operations, by round trip
 
 
@@ -643,3 +655,26 @@ def zsync_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = text_pairs(spark, sf_dir)
     side = lambda name: both.select("stream_id", F.col(name).alias("content"))
     return zsync.synchronise(side("old"), side("new"), 256)
+
+
+@query()
+def covers_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The covers in the containers that diffs make."""
+    return pairs.covers_of(pairs.diff(text_pairs(spark, sf_dir), "steps", "zlib", "block"))
+
+
+@query()
+def chunked_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.find_covers_in_chunks(text_pairs(spark, sf_dir), "block", B, 4096, 512)
+
+
+@query()
+def format_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, diff_bytes, new_bytes, ratio) of every container with a compressor."""
+    both = text_pairs(spark, sf_dir)
+    out = None
+    for kind in ("sections", "steps", "lite", "bsdiff", "endsley", "vcdiff"):
+        made = pairs.diff(both, kind, "zlib", "block").select(F.lit(kind).alias("kind"), F.octet_length("diff").alias("d"), "new_size")
+        out = made if out is None else out.unionByName(made)
+    found = out.groupBy("kind").agg(F.sum("d").cast("long").alias("diff_bytes"), F.sum("new_size").alias("new_bytes"))
+    return found.withColumn("ratio", F.col("diff_bytes") / F.col("new_bytes"))

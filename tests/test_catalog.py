@@ -5,7 +5,7 @@ import pytest
 from deltaweave.plans import catalog
 
 ROUND_TRIPS = [n for n in catalog.QUERIES if n.endswith("_roundtrip")]
-COVERS = ["longest_match_covers", "selected_covers", "extended_block_covers", "block_then_longest_covers"]
+COVERS = ["longest_match_covers", "selected_covers", "extended_block_covers", "block_then_longest_covers", "chunked_covers"]
 
 
 @pytest.mark.parametrize("name", catalog.ORACLE_SQL)
@@ -32,6 +32,20 @@ def test_covers_are_valid_and_rebuild(name, spark, sf_dir):
         assert made.count() == 200
 
 
+def test_covers_come_back_from_containers(spark, sf_dir):
+    from deltaweave.operators import pairs
+
+    want = sorted(map(tuple, catalog.extended_block_covers(spark, sf_dir).collect()))
+    assert sorted(map(tuple, catalog.covers_read_back(spark, sf_dir).collect())) == want
+    for kind in ("sections", "lite"):
+        made = pairs.covers_of(pairs.diff(catalog.text_pairs(spark, sf_dir), kind, "zlib", "block"))
+        assert sorted(map(tuple, made.collect())) == want
+
+
+def test_formats_save_space(spark, sf_dir):
+    assert all(0 < r["ratio"] < 0.3 for r in catalog.format_ratio(spark, sf_dir).collect())
+
+
 def test_steps_hold_all_bytes(spark, sf_dir):
     steps = catalog.step_packing(spark, sf_dir).groupBy("stream_id").sum("cover_bytes", "literal_bytes").collect()
     sizes = {r["stream_id"]: r["new_size"] for r in catalog.pair_sizes(catalog.text_pairs(spark, sf_dir)).collect()}
