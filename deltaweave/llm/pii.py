@@ -47,8 +47,6 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 CONTEXT_CHARS, MIN_CONTEXTS = 80, 3
 GENERALISE, REMOVE = 0.6, 0.9
-#: Candidate terms up to this number are broadcast.
-BROADCAST_TERMS = 200_000
 _NOT_LETTERS = r"[^\p{L}]+"
 
 
@@ -178,10 +176,8 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, n_documents: int) -> Data
     pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("row").alias("both"))
     pairs = keep(pairs.where(F.col("contexts") >= MIN_CONTEXTS), "pairs")
     entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
-    terms = pairs.select("term").distinct()
-    few = terms.count() <= BROADCAST_TERMS
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), _NOT_LETTERS))).alias("term"))
-    counted = words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
+    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
     joined = pairs.join(entities, "entity").join(counted, "term")
     n = F.lit(float(n_documents))
     known = F.log2(n / F.col("entity_docs"))
