@@ -7,11 +7,12 @@ last return the columns of ``documents``.  What a stage decides takes effect:
   one half) go;
 * lines: lines that are boilerplate of a document's source go from its text,
   and ``n_chars`` follows the text;
-* near_duplicates: one document of each SimHash component stays;
+* near_duplicates: one document stays of each component of texts whose five-word
+  shingles have a Jaccard similarity of 0.8 or more;
 * decontamination: documents that hold a window of a benchmark item go;
 * tokens: byte-level BPE ids, decoded again, as counts and digests.
 
-``ORACLE_SQL`` is None: language scores, XXH64 fingerprints and BPE have no SQL;
+``ORACLE_SQL`` is None: language scores, XXH64 shingles and BPE have no SQL;
 the stages are tested against brute force.
 """
 
@@ -23,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaweave.llm import byte_bpe, decontaminate, language_id, line_dedup, simhash_dedup
+from deltaweave.llm import byte_bpe, decontaminate, language_id, line_dedup, shingle_dedup
 from deltaweave.llm.queries import token_digests
 from deltaweave.llm.scratch import keep
 
@@ -39,7 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.drop_near_duplicates(docs)
+    return shingle_dedup.drop_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

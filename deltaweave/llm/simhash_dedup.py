@@ -20,7 +20,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -226,15 +226,16 @@ def near_links(classes: DataFrame) -> DataFrame:
     return variants.mapInArrow(_links, "a long, b long").distinct()
 
 
-def components_of(prints: DataFrame) -> DataFrame:
+def components_of(prints: DataFrame, links: Callable[[DataFrame], DataFrame] = near_links) -> DataFrame:
     """(fp, root, component_id) of every fingerprint that is not alone.
 
-    ``prints`` has doc_id and fp.  A fingerprint of one row without links has
+    ``prints`` has doc_id and fp; ``links`` gives the links (a, b) of the
+    distinct fingerprints in column fp.  A fingerprint of one row without links has
     no row here; its component is its own document.
     """
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = keep(classes, "classes")
-    roots = connected_components(near_links(classes))
+    roots = connected_components(links(classes))
     joined = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     joined = joined.where((F.col("n") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp"))
     joined = keep(joined, "members")
@@ -254,17 +255,12 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component: the one with its smallest id.
+def one_of_each(docs: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row for each component of ``found`` (fp, root).
 
-    Among rows of that id the smallest text stays (null first), and of repeated
-    rows one.  A component whose ids are all null keeps one row by that order.
+    ``prints`` has doc_id, mark (the XXH64 of the text) and fp of every row.
     """
     mark = fresh(docs, "text_mark")
-    marked = docs.withColumn(mark, F.xxhash64("text"))
-    arrow_rows(docs.sparkSession, TEXT_ROWS)
-    prints = keep(marked.select("doc_id", F.col(mark).alias("mark"), fingerprint(F.col("text")).alias("fp")), "prints")
-    found = components_of(prints.select("doc_id", "fp"))
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     joined = prints.join(found.select("fp", "root"), "fp", "left")
     grouped = joined.where(F.col("root").isNotNull())
@@ -280,4 +276,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     return kept.drop(mark)
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component: the one with its smallest id.
+
+    Among rows of that id the smallest text stays (null first), and of repeated
+    rows one.  A component whose ids are all null keeps one row by that order.
+    """
+    mark = fresh(docs, "text_mark")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    arrow_rows(docs.sparkSession, TEXT_ROWS)
+    prints = keep(marked.select("doc_id", F.col(mark).alias("mark"), fingerprint(F.col("text")).alias("fp")), "prints")
+    return one_of_each(docs, prints, components_of(prints.select("doc_id", "fp")))
+
+
 __all__ = ["components_of", "drop_near_duplicates", "fingerprint", "fingerprint_of", "simhash_components"]
