@@ -116,8 +116,8 @@ def block_covers(old: np.ndarray, new: np.ndarray, size: int, least: int = 16) -
         j = int(candidates[at])
         options = starts[order[low[j] : high[j]]]
         if diagonal is not None and len(options) > 1:
-            options = options[np.argsort(np.abs(options - j - diagonal), kind="stable")[:64]]
-        i = next((int(o) for o in options[:64] if same_bytes(old, o, new, j, size)), None)
+            options = options[np.argsort(np.abs(options - j - diagonal), kind="stable")]
+        i = next((int(o) for o in options if same_bytes(old, o, new, j, size)), None)
         if i is None:
             at += 1
             continue
