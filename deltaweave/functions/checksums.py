@@ -124,6 +124,28 @@ def fadler32(block: Column, table: np.ndarray | None = None) -> Column:
     return F.arrow_udf(_sums(1 << 16, found & np.uint64(0xFFFF), 1), _PAIR)(block)
 
 
+def wide_table() -> np.ndarray:
+    """The byte table of the widest form: (b + 1) * 0x9E3779B97F4A7C15 modulo 2**64."""
+    return np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def fadler128(block: Column, table: np.ndarray | None = None) -> Column:
+    """Struct (a, s) of 64-bit table values modulo 2**64, as signed LONGs."""
+    values = wide_table() if table is None else table
+
+    def run(blocks: pa.Array) -> pa.Array:
+        out = []
+        for block in blocks:
+            data = values[np.frombuffer(block.as_py() or b"", np.uint8)]
+            place = np.arange(len(data), 0, -1, dtype=np.uint64)
+            out.append((np.uint64(1) + data.sum(dtype=np.uint64), np.uint64(len(data)) + (data * place).sum(dtype=np.uint64)))
+        sums = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+        null = np.array([not b.is_valid for b in blocks], bool)
+        return pa.StructArray.from_arrays([pa.array(sums[:, 0].copy(), mask=null), pa.array(sums[:, 1].copy(), mask=null)], ["a", "s"])
+
+    return F.arrow_udf(run, _PAIR)(block)
+
+
 def zsync_roll(block: Column) -> Column:
     """Struct (a, s) of plain bytes modulo 2**16, from zero."""
     return F.arrow_udf(_sums(BASE_ZSYNC, None, 0), _PAIR)(block)
@@ -144,8 +166,11 @@ def _python_digests() -> dict[str, Callable[[bytes], str]]:
         "adler32": lambda b: f"{zlib.adler32(b):08x}",
         "blake2b": lambda b: hashlib.blake2b(b).hexdigest(),
     }
-    if "md4" in hashlib.algorithms_available:
-        found["md4"] = lambda b: hashlib.new("md4", b).hexdigest()
+    from ..sources.zsync import md4
+
+    found["md4"] = lambda b: md4(b).hex()
+    for bits, base, table in ((32, 1 << 16, (rule_table() >> np.uint64(16)) & np.uint64(0xFFFF)), (64, 1 << 32, rule_table())):
+        found[f"fadler{bits}"] = lambda b, base=base, table=table, width=bits // 8: "".join(f"{x:0{width}x}" for x in reversed(adler(np.frombuffer(b, np.uint8), base, table)))
     try:
         import xxhash
     except ImportError:
@@ -189,6 +214,18 @@ def ceil_log2(value: int) -> int:
     return max(1, (max(1, value) - 1).bit_length())
 
 
+def ceil_log2_of(value: Column) -> Column:
+    """:func:`ceil_log2` of a LONG column."""
+    return F.when(value <= 2, F.lit(1)).otherwise(F.length(F.bin(value - 1))).cast("long")
+
+
+def hash_bits_of(stream_size: Column, blocks: Column, safe_bits: int = 24, least: int = 14) -> tuple[Column, Column]:
+    """:func:`hash_bits` of columns."""
+    total = ceil_log2_of(stream_size) + ceil_log2_of(blocks) + max(safe_bits, least)
+    rolling_bits = F.least(F.greatest(ceil_log2_of(stream_size) + 1, F.lit(least)), F.lit(32)).cast("long")
+    return rolling_bits, F.greatest(total - rolling_bits, F.lit(least)).cast("long")
+
+
 def hash_bits(stream_size: int, blocks: int, safe_bits: int = 24, least: int = 14) -> tuple[int, int]:
     """(rolling bits, strong bits) so that a false match is 2**-safe_bits likely.
 

@@ -66,6 +66,15 @@ def shared_blocks(signed: DataFrame) -> DataFrame:
     return found.where("streams > 1")
 
 
+def known_blocks(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The rows of ``new`` whose strong hash any stream of ``old`` has.
+
+    A semi-join on distinct keys in front of dearer matching; Spark adds a
+    Bloom filter of its own where that pays.
+    """
+    return new.join(old.select("strong").distinct(), "strong", "left_semi")
+
+
 def sequential_matches(new: DataFrame, old: DataFrame) -> DataFrame:
     """Blocks of ``new`` whose hash and next block's hash both follow in ``old``.
 

@@ -193,3 +193,30 @@ def common_prefix_length(a: Column, b: Column) -> Column:
         return pa.array([kernels.common_prefix(kernels.as_array(i.as_py()), kernels.as_array(j.as_py())) for i, j in zip(x, y, strict=True)], pa.int64())
 
     return F.arrow_udf(run, LongType())(a, b)
+
+
+def container_kind(content: Column) -> Column:
+    """The kind of a patch container by its tag, null for none."""
+    from pyspark.sql.types import StringType
+
+    from ..functions import formats
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([formats.sniff(v.as_py() or b"") for v in values], pa.string())
+
+    return F.arrow_udf(run, StringType())(content)
+
+
+def container_info(content: Column) -> Column:
+    """Struct (kind, packing, old_size, new_size) of the head of a container."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from ..functions import formats
+
+    def run(values: pa.Array) -> pa.Array:
+        found = [formats.info(v.as_py()) for v in values]
+        columns = [pa.array([f.kind for f in found], pa.string()), pa.array([f.compress for f in found], pa.string()), pa.array([f.old_size for f in found], pa.int64()), pa.array([f.new_size for f in found], pa.int64())]
+        return pa.StructArray.from_arrays(columns, ["kind", "packing", "old_size", "new_size"])
+
+    kinds = [("kind", StringType()), ("packing", StringType()), ("old_size", LongType()), ("new_size", LongType())]
+    return F.arrow_udf(run, StructType([StructField(*k) for k in kinds]))(content)

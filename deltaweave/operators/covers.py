@@ -87,8 +87,13 @@ def decode_deltas(deltas: DataFrame, order_by: str, from_end: bool = True) -> Da
 
 
 def violations(covers: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The covers that break a rule: length, bounds, or overlap in new."""
-    before = F.max(F.col("new_pos") + F.col("length")).over(by_new().rowsBetween(Window.unboundedPreceding, -1))
+    """The covers that break a rule: length, bounds, or overlap in new.
+
+    Of covers that begin at one place the shorter comes first, then the one with
+    the lesser old place.
+    """
+    order = Window.partitionBy("stream_id").orderBy("new_pos", "length", "old_pos")
+    before = F.max(F.col("new_pos") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     checked = covers.withColumn("before", F.coalesce(before, F.lit(0))).join(sizes, "stream_id", "left")
     fine = (
         (F.col("length") > 0)
@@ -150,26 +155,33 @@ def fitting_cache(covers: DataFrame, budget: int) -> DataFrame:
     return found.where(F.col("upto") <= budget).groupBy("stream_id").agg(F.max("length").alias("longest"), F.max("upto").alias("cached"))
 
 
-def unpack_covers(covers: DataFrame, old_parts: DataFrame, new_parts: DataFrame) -> DataFrame:
+def unpack_covers(covers: DataFrame, old_parts: DataFrame, new_parts: DataFrame, bucket: int = 1 << 16) -> DataFrame:
     """Covers of packed streams in the places of the originals, cut at borders.
 
     Parts are (stream_id, pos, length) of the originals that were laid end to
-    end.  Packed and original places meet by overlap inside one stream.
+    end.  Packed and original places meet by buckets of ``bucket`` bytes inside
+    one stream, an equality join; a pair counts in the bucket where it begins.
     """
 
-    def placed(parts: DataFrame, name: str) -> DataFrame:
+    def cells(begin: Column, end: Column) -> Column:
+        return F.explode(F.sequence(F.floor(begin / bucket), F.floor((end - 1) / bucket)))
+
+    def placed(parts: DataFrame) -> DataFrame:
         begin = F.coalesce(F.sum("length").over(Window.partitionBy("stream_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return parts.select("stream_id", F.col("pos").alias(f"{name}_at"), begin.alias(f"{name}_begin"), (begin + F.col("length")).alias(f"{name}_end"))
+        found = parts.where("length > 0").select("stream_id", F.col("pos").alias("at"), begin.alias("begin"), (begin + F.col("length")).alias("end"))
+        return found.select("*", cells(F.col("begin"), F.col("end")).alias("cell"))
 
-    old, new = placed(old_parts, "o"), placed(new_parts, "n")
-    cut = covers.join(old, "stream_id").where("o_begin < old_pos + length AND o_end > old_pos")
-    lead = F.greatest(F.col("o_begin") - F.col("old_pos"), F.lit(0))
-    tail = F.greatest(F.col("old_pos") + F.col("length") - F.col("o_end"), F.lit(0))
-    cut = cut.select("stream_id", (F.col("o_at") + F.col("old_pos") + lead - F.col("o_begin")).alias("old_pos"), (F.col("new_pos") + lead).alias("new_pos"), (F.col("length") - lead - tail).alias("length"))
-    cut = cut.join(new, "stream_id").where("n_begin < new_pos + length AND n_end > new_pos")
-    lead = F.greatest(F.col("n_begin") - F.col("new_pos"), F.lit(0))
-    tail = F.greatest(F.col("new_pos") + F.col("length") - F.col("n_end"), F.lit(0))
-    return cut.select("stream_id", (F.col("old_pos") + lead).alias("old_pos"), (F.col("n_at") + F.col("new_pos") + lead - F.col("n_begin")).alias("new_pos"), (F.col("length") - lead - tail).alias("length"))
+    def cut(table: DataFrame, parts: DataFrame, side: str) -> DataFrame:
+        other = "new_pos" if side == "old_pos" else "old_pos"
+        stop = F.col(side) + F.col("length")
+        rows = table.where("length > 0").select("*", cells(F.col(side), stop).alias("cell"))
+        met = rows.join(placed(parts), ["stream_id", "cell"]).where((F.col("begin") < stop) & (F.col("end") > F.col(side)))
+        first, last = F.greatest("begin", side), F.least(F.col("end"), stop)
+        met = met.where(F.col("cell") == F.floor(first / bucket))
+        ahead = first - F.col(side)
+        return met.select("stream_id", (F.col("at") + first - F.col("begin")).alias(side), (F.col(other) + ahead).alias(other), (last - first).alias("length"))
+
+    return cut(cut(covers, old_parts, "old_pos"), new_parts, "new_pos").select("stream_id", "old_pos", "new_pos", "length")
 
 
 def with_sentinels(covers: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -225,3 +237,16 @@ def position_codes(positions: DataFrame, longest_run: int = 2048) -> DataFrame:
     runs = runs.withColumn("part", F.floor(place / longest_run)).groupBy("stream_id", "island", "part").agg(F.min("block_index").alias("at"), F.count(F.lit(1)).alias("blocks"))
     missed = runs.select("stream_id", "at", F.lit("miss").alias("kind"), F.col("blocks").alias("value"), "blocks")
     return matched.unionByName(missed)
+
+
+def decode_positions(codes: DataFrame, size: int) -> DataFrame:
+    """(stream_id, block_index, new_pos, length, old_pos) of the codes that
+    :func:`position_codes` made of whole blocks of ``size`` bytes."""
+    order = Window.partitionBy("stream_id").orderBy("at")
+    matched = codes.where("kind = 'match'")
+    # a code counts from the end of the match before: the sum of all so far, and their lengths
+    old = F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0)) + (F.row_number().over(order) - 1) * size
+    own = matched.select("stream_id", F.col("at").alias("block_index"), old.alias("old_pos"))
+    missed = codes.where("kind = 'miss'").select("stream_id", F.explode(F.expr("sequence(at, at + blocks - 1)")).alias("block_index"), F.lit(None).cast("long").alias("old_pos"))
+    every = own.unionByName(missed)
+    return every.select("stream_id", "block_index", (F.col("block_index") * size).alias("new_pos"), F.lit(size).cast("long").alias("length"), "old_pos")

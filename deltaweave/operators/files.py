@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 #: Bytes of a ref stream by which places and files meet.
 BUCKET = 1 << 20
 
@@ -83,21 +85,60 @@ def ref_stream(files: DataFrame, order_by: str = "path", align: int = 1) -> Data
     return files.select("path", "size", begin.alias("begin"), (begin + F.col("size")).alias("end"))
 
 
-def ref_stream_by_range(files: DataFrame, order_by: str = "path", align: int = 1) -> DataFrame:
-    """The layout of :func:`ref_stream` without one task for all files.
+def running_total(rows: DataFrame, order_by: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before, without one task for all.
 
-    Files are sorted by range into partitions; each partition sums its own
-    sizes, and the partition totals (one row a partition) are added up before.
+    Rows are dealt to partitions by range and written once with the number of
+    their partition: the totals of partitions (one row each) and the places
+    inside them must come from one and the same dealing.
     """
+    dealt = written(rows.repartitionByRange(order_by).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_part").agg(F.sum(value).alias("_total"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    before = totals.select("_part", (F.sum("_total").over(upto) - F.col("_total")).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.sum(value).over(inside) - F.col(value))
+    return placed.drop("_part", "_before")
+
+
+def ref_stream_by_range(files: DataFrame, order_by: str = "path", align: int = 1) -> DataFrame:
+    """The layout of :func:`ref_stream` without one task for all files."""
     room = F.ceil(F.col("size") / align).cast("long") * align
-    parts = files.select("path", "size", room.alias("room"), F.col(order_by).alias("place")).repartitionByRange("place")
-    parts = parts.withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    totals = parts.groupBy("part").agg(F.sum("room").alias("total"))
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("before"))
-    begin = F.col("before") + F.sum("room").over(inside) - F.col("room")
-    placed = parts.join(before, "part").select("path", "size", begin.alias("begin"))
-    return placed.withColumn("end", F.col("begin") + F.col("size"))
+    placed = running_total(files.select("path", "size", room.alias("room"), F.col(order_by).alias("place")), "place", "room", "begin")
+    return placed.select("path", "size", "begin", (F.col("begin") + F.col("size")).alias("end"))
+
+
+def numbered(rows: DataFrame, order_by: str) -> DataFrame:
+    """``rows`` with ``index``, their place from 0 in the order of a column."""
+    counted = running_total(rows.withColumn("_one", F.lit(1).cast("long")), order_by, "_one", "index")
+    return counted.drop("_one")
+
+
+def index_deltas(indexes: DataFrame, value: str) -> DataFrame:
+    """(index, delta) of a numbered list: each value less the one before.
+
+    The value before the first counts as -1, and a following value gives its
+    distance less one, so an ascending list has deltas of 0 and up.  Neighbours
+    meet by an equality join on their numbers.
+    """
+    before = indexes.select((F.col("index") + 1).alias("index"), F.col(value).alias("before"))
+    return indexes.join(before, "index", "left").select("index", (F.col(value) - F.coalesce("before", F.lit(-1)) - 1).alias("delta"))
+
+
+def same_pair_deltas(pairs: DataFrame) -> DataFrame:
+    """(index, new_delta, old_delta) of pairs (new_index, old_index) in order of new.
+
+    The new index counts from the one before less one, the old index is a signed
+    distance to the old index before; both start from -1.
+    """
+    listed = numbered(pairs, "new_index")
+    before = listed.select((F.col("index") + 1).alias("index"), F.col("new_index").alias("last_new"), F.col("old_index").alias("last_old"))
+    last = lambda c: F.coalesce(c, F.lit(-1))
+    return listed.join(before, "index", "left").select(
+        "index",
+        (F.col("new_index") - last("last_new") - 1).alias("new_delta"),
+        (F.col("old_index") - last("last_old") - 1).alias("old_delta"),
+    )
 
 
 def combined_sums(sums: DataFrame, base: int, order_by: str = "path") -> DataFrame:

@@ -180,6 +180,43 @@ def find_steps(pairs: DataFrame, finder: str = "block", step_bytes: int = format
     return _apply(pairs, rows, "step_no long, first_new long, covers binary, cover_bytes long, run_code binary, literal binary")
 
 
+def pack_steps(covers: DataFrame, step_bytes: int) -> DataFrame:
+    """(stream_id, step_no, old_pos, new_pos, length): covers in steps whose cover
+    bytes stay in ``step_bytes``; a cover over it is cut.
+
+    The steps of a stream follow each other, so its covers (numbers, no bytes)
+    are gathered in one row.
+    """
+    listed = covers.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("new_pos", "old_pos", "length"))).alias("covers"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, found in enumerate(batch.column(1).to_pylist()):
+                steps = kernels.steps_of([(c["old_pos"], c["new_pos"], c["length"]) for c in found], step_bytes)
+                rows = [(k, *c) for k, step in enumerate(steps) for c in step]
+                columns = zip(*rows, strict=True) if rows else [[], [], [], []]
+                ids = batch.column(0).take(pa.array([i] * len(rows), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns)], ["stream_id", "step_no", "old_pos", "new_pos", "length"])
+
+    kind = covers.schema["stream_id"].dataType.simpleString()
+    return listed.mapInArrow(run, f"stream_id {kind}, step_no long, {COVER_COLUMNS}")
+
+
+def step_covers(steps: DataFrame) -> DataFrame:
+    """(stream_id, step_no, old_pos, new_pos, length): what each step row of
+    :func:`find_steps` is about to copy, batch or streaming."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [len(v.as_py()) // 24 for v in batch.column(2)]
+            rows = np.frombuffer(b"".join(v.as_py() for v in batch.column(2)), "<i8").reshape(-1, 3)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(rows[:, k].copy()) for k in range(3))], ["stream_id", "step_no", "old_pos", "new_pos", "length"])
+
+    kind = steps.schema["stream_id"].dataType.simpleString()
+    return steps.select("stream_id", "step_no", "covers").mapInArrow(run, f"stream_id {kind}, step_no long, {COVER_COLUMNS}")
+
+
 def diff(pairs: DataFrame, kind: str = "steps", packing: str = "zlib", finder: str = "block") -> DataFrame:
     """(stream_id, diff, new_size) of each pair, as one container."""
     kernel = FINDERS[finder]

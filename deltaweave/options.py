@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .functions.codecs import ALIASES, COMPRESS
 from .functions.formats import ENCODE, STEP_BYTES
 from .operators.pairs import FINDERS
@@ -50,6 +53,12 @@ def block_size_for(old_size: int, wanted: int) -> int:
     return max(4, min(wanted, -(-part // 64) * 64))
 
 
+def block_size_of(old_size: Column, wanted: int) -> Column:
+    """:func:`block_size_for` of a LONG column."""
+    part = F.ceil(F.greatest(old_size, F.lit(1)) / 64)
+    return F.greatest(F.lit(4), F.least(F.lit(wanted), F.ceil(part / 64) * 64)).cast("long")
+
+
 def parse_size(text: str) -> int:
     """Bytes of a number with an optional k, m or g (times 1024)."""
     factor = {"k": 10, "m": 20, "g": 30}.get(text[-1:].lower())

@@ -73,17 +73,17 @@ _PAIRS = f"""pairs AS (SELECT doc_id AS stream_id, hex(text) AS o, strlen(text)
     FROM documents WHERE text IS NOT NULL)"""
 
 
-def _windows(name: str, column: str, size: str) -> str:
-    return f"""{name}_pieces AS (SELECT stream_id, c * 1024 AS base, substr({column}, 2048 * c + 1, 2048 + {2 * B - 2}) AS piece
+def _windows(name: str, column: str, size: str, block: int = B) -> str:
+    return f"""{name}_pieces AS (SELECT stream_id, c * 1024 AS base, substr({column}, 2048 * c + 1, 2048 + {2 * block - 2}) AS piece
         FROM (SELECT stream_id, {column}, unnest(range(0, ({size} + 1023) // 1024)) AS c FROM pairs)),
     {name} AS (SELECT stream_id, md5(w) AS h, min(pos) AS pos FROM (
-        SELECT stream_id, base + i AS pos, substr(piece, 2 * i + 1, {2 * B}) AS w
-        FROM (SELECT stream_id, base, piece, unnest(range(0, least(1024, len(piece) // 2 - {B - 1}))) AS i FROM {name}_pieces)) GROUP BY 1, 2)"""
+        SELECT stream_id, base + i AS pos, substr(piece, 2 * i + 1, {2 * block}) AS w
+        FROM (SELECT stream_id, base, piece, unnest(range(0, least(1024, len(piece) // 2 - {block - 1}))) AS i FROM {name}_pieces)) GROUP BY 1, 2)"""
 
 
-def _whole_blocks(name: str, column: str, size: str) -> str:
-    return f"""{name} AS (SELECT stream_id, k AS block_index, k * {B} AS pos, md5(substr({column}, {2 * B} * k + 1, {2 * B})) AS h
-        FROM (SELECT stream_id, {column}, unnest(range(0, {size} // {B})) AS k FROM pairs))"""
+def _whole_blocks(name: str, column: str, size: str, block: int = B) -> str:
+    return f"""{name} AS (SELECT stream_id, k AS block_index, k * {block} AS pos, md5(substr({column}, {2 * block} * k + 1, {2 * block})) AS h
+        FROM (SELECT stream_id, {column}, unnest(range(0, {size} // {block})) AS k FROM pairs))"""
 
 
 _SYNC = f"""{_PAIRS}, {_windows("old_windows", "o", "old_size")}, {_whole_blocks("new_blocks", "n", "new_size")},
@@ -161,7 +161,16 @@ def block_zsync_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sums(spark, sf_dir, checksums.zsync_roll)
 
 
-@query()
+# sums over rows of bytes: the window that ends at a byte has its sum and its sum by place
+_ROLLED = f"""WITH {_RUNS}, valued AS (SELECT stream_id, pos, ((value + 1) * 2654435761) % 4294967296 AS t FROM bytes),
+    summed AS (SELECT stream_id, pos, sum(t) OVER w AS d, sum(t * pos) OVER w AS by_place FROM valued
+        WINDOW w AS (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN {B - 1} PRECEDING AND CURRENT ROW)),
+    rolled AS (SELECT stream_id, ((1 + d) % 4294967296 + (({B} + (pos + 1) * d - by_place) % 2147483648) * 4294967296)::BIGINT AS v
+        FROM summed WHERE pos >= {B - 1})
+    SELECT stream_id, count(*) AS windows, min(v) AS low, max(v) AS high, bit_xor(v) AS "check" FROM rolled GROUP BY stream_id"""
+
+
+@query(_ROLLED)
 def roll_hash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_ops.window_sums(old_streams(spark, sf_dir), B)
 
@@ -386,9 +395,24 @@ def cover_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covers.with_sentinels(sync_covers(spark, sf_dir), pair_sizes(text_pairs(spark, sf_dir)))
 
 
-@query(f"WITH {_COVERS} SELECT stream_id, old_pos, new_pos, length FROM covers WHERE length <= 0")
+@query(
+    f"""WITH {_COVERS}, damaged AS (SELECT stream_id, old_pos, new_pos, length FROM covers
+    UNION ALL SELECT stream_id, old_pos, new_pos + 1, 0 FROM covers
+    UNION ALL SELECT stream_id, old_pos - 5000, new_pos, length FROM covers
+    UNION ALL SELECT stream_id, old_pos, new_pos + length // 2, length FROM covers),
+    placed AS (SELECT *, coalesce(max(new_pos + length) OVER (PARTITION BY stream_id ORDER BY new_pos, length, old_pos
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM damaged)
+    SELECT d.stream_id, old_pos, new_pos, length FROM placed AS d JOIN pairs AS p ON d.stream_id = p.stream_id
+    WHERE length <= 0 OR old_pos < 0 OR new_pos < before OR old_pos + length > old_size OR new_pos + length > new_size"""
+)
 def cover_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return covers.violations(sync_covers(spark, sf_dir), pair_sizes(text_pairs(spark, sf_dir)))
+    """Covers with damaged ones among them: empty, out of bounds, overlapping."""
+    good = sync_covers(spark, sf_dir)
+    rows = lambda old, new, n: good.select("stream_id", F.expr(old).alias("old_pos"), F.expr(new).alias("new_pos"), F.expr(n).alias("length"))
+    damaged = good.select("stream_id", "old_pos", "new_pos", "length")
+    for way in (("old_pos", "new_pos + 1", "0L"), ("old_pos - 5000", "new_pos", "length"), ("old_pos", "new_pos + floor(length / 2)", "length")):
+        damaged = damaged.unionByName(rows(*way))
+    return covers.violations(damaged, pair_sizes(text_pairs(spark, sf_dir)))
 
 
 @query(f"SELECT doc_id AS stream_id, md5({_NEW}) AS made_md5, TRUE AS ok FROM documents WHERE text IS NOT NULL")
@@ -538,14 +562,21 @@ def position_to_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_FILES}, a AS (SELECT path, sha256(new) AS n FROM files WHERE path NOT LIKE '%7'), b AS (SELECT path, sha256(old) AS o FROM files WHERE path NOT LIKE '%3')
+    f"""WITH {_FILES}, a AS (SELECT path, sha256(new) AS n FROM files),
+    b AS (SELECT CASE WHEN old = new THEN path ELSE replace(path, 'doc/', 'old/') END AS path, sha256(old) AS o FROM files)
     SELECT coalesce(a.path, b.path) AS path, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' WHEN n <> o THEN 'changed' ELSE 'same' END AS change
-    FROM a FULL JOIN b ON a.path = b.path"""
+    FROM a FULL JOIN b ON a.path = b.path
+    UNION ALL
+    SELECT path, CASE WHEN old <> new THEN 'changed' ELSE 'same' END FROM files"""
 )
 def manifest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old and new trees of which either lacks some files, to have every change."""
-    new = files.with_digest(_files(spark, sf_dir, "new").where("path NOT LIKE '%7'"))
-    return files.manifest_diff(new, files.with_digest(_files(spark, sf_dir, "old").where("path NOT LIKE '%3'")))
+    """Both whole trees, twice: an old tree whose changed files stood elsewhere,
+    so that files are added and removed, and one in which all kept their paths."""
+    both = text_pairs(spark, sf_dir)
+    new, old = (files.with_digest(_files(spark, sf_dir, side)) for side in ("new", "old"))
+    changed = both.where("old <> new").select(F.format_string("doc/%09d", "stream_id").alias("path"), F.lit(True).alias("moved"))
+    moved = old.join(changed, "path", "left").withColumn("path", F.when(F.col("moved"), F.replace("path", F.lit("doc/"), F.lit("old/"))).otherwise(F.col("path"))).drop("moved")
+    return files.manifest_diff(new, moved).unionByName(files.manifest_diff(new, old))
 
 
 @query(
@@ -563,12 +594,15 @@ def combined_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 # whole operations, by round trip
 
 
+_APPLIED = f"SELECT doc_id AS stream_id, strlen({_NEW}) AS new_size, md5({_NEW}) AS made_md5, TRUE AS ok FROM documents WHERE text IS NOT NULL"
+
+
 def _applied(both: DataFrame, made: DataFrame) -> DataFrame:
-    """(stream_id, new_size, diff_size, ok): whether diffs give new from old."""
+    """(stream_id, new_size, made_md5, ok): what diffs make of old, and whether it is new."""
     joined = made.join(both, "stream_id")
     back = pairs.patch(joined.select("stream_id", "old", "diff", "new_size"))
-    sizes = joined.select("stream_id", "new", F.octet_length("diff").cast("long").alias("diff_size"), "new_size")
-    return sizes.join(back, "stream_id").select("stream_id", "new_size", "diff_size", (F.col("made") == F.col("new")).alias("ok"))
+    wanted = joined.select("stream_id", "new", "new_size").join(back, "stream_id")
+    return wanted.select("stream_id", "new_size", F.md5("made").alias("made_md5"), (F.col("made") == F.col("new")).alias("ok"))
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str, kind: str, packing: str, finder: str) -> DataFrame:
@@ -587,6 +621,7 @@ def _register_roundtrips() -> None:
         ("vcdiff_roundtrip", "vcdiff", ""),
     ):
         QUERIES[name] = lambda spark, sf_dir, k=kind, p=packing: _roundtrip(spark, sf_dir, k, p, "block")
+        ORACLE_SQL[name] = _APPLIED
 
 
 _register_roundtrips()
@@ -618,12 +653,22 @@ def step_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("stream_id", "step_no", "first_new", "cover_bytes", F.octet_length("literal").cast("long").alias("literal_bytes"))
 
 
-@query()
+# an order-one model that counts the blocks of 4,096 bytes before; no text here reaches its window
+@query(
+    f"""WITH {_RUNS}, paired AS (SELECT stream_id, pos // 4096 AS part, coalesce(lag(value) OVER (PARTITION BY stream_id ORDER BY pos), 0) AS before, value FROM bytes),
+    pair_counts AS (SELECT stream_id, before, value, part, count(*) AS n FROM paired GROUP BY ALL),
+    single_counts AS (SELECT stream_id, before, part, count(*) AS n FROM paired GROUP BY ALL),
+    pairs_upto AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY stream_id, before, value ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM pair_counts),
+    singles_upto AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY stream_id, before ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM single_counts),
+    bits AS (SELECT p.stream_id, -sum(p.n * log2((p.seen + 1 / 256) / (s.seen + 1))) AS bits FROM pairs_upto AS p
+        JOIN singles_upto AS s ON p.stream_id = s.stream_id AND p.before = s.before AND p.part = s.part GROUP BY p.stream_id)
+    SELECT stream_id, ceil(coalesce(bits, 0) / 8)::BIGINT AS cost FROM streams LEFT JOIN bits USING (stream_id)"""
+)
 def adaptive_bigram_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_ops.recent_bigram_cost(old_streams(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_FILES} SELECT path, CASE WHEN path IN (SELECT new_path FROM same) THEN 'copy' ELSE 'delta' END AS action, TRUE AS ok FROM files")
 def dir_diff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, old = _files(spark, sf_dir, "new"), _files(spark, sf_dir, "old")
     changes = directory.dir_diff(new, old)
@@ -631,14 +676,20 @@ def dir_diff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(changes.select("path", "action"), "path").select("path", "action", "ok")
 
 
-@query()
+_NEEDED = f"""WITH {_PAIRS}, {_windows("old_windows", "o", "old_size", 256)}, {_whole_blocks("new_blocks", "n", "new_size", 256)},
+    found AS (SELECT b.stream_id, count(*) AS held FROM new_blocks AS b JOIN old_windows AS w ON b.stream_id = w.stream_id AND b.h = w.h GROUP BY 1)
+    SELECT stream_id, TRUE AS ok, (new_size + 255) // 256 AS blocks, (new_size + 255) // 256 - coalesce(held, 0) AS need_blocks
+    FROM pairs LEFT JOIN found USING (stream_id) WHERE new_size > 0"""
+
+
+@query(_NEEDED)
 def sync_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = text_pairs(spark, sf_dir)
     side = lambda name: both.select("stream_id", F.col(name).alias("content"))
     return sync.synchronise(side("old"), side("new"), 256)
 
 
-@query()
+@query(_APPLIED)
 def sign_diff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diffs from block signatures of old alone, applied to old."""
     both = text_pairs(spark, sf_dir)
@@ -678,3 +729,6 @@ def format_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = made if out is None else out.unionByName(made)
     found = out.groupBy("kind").agg(F.sum("d").cast("long").alias("diff_bytes"), F.sum("new_size").alias("new_bytes"))
     return found.withColumn("ratio", F.col("diff_bytes") / F.col("new_bytes"))
+
+
+from . import catalog_parts  # noqa: E402, F401  registers the queries of single operators

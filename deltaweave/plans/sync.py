@@ -38,8 +38,9 @@ def positions(old: DataFrame, new: DataFrame, size: int = 2048) -> DataFrame:
     return pairs.sync_positions(both, size)
 
 
-def fetch(needed: DataFrame, signed: DataFrame, payload: DataFrame) -> DataFrame:
-    """(stream_id, block_index, bytes) of needed blocks, unpacked.
+def fetch(needed: DataFrame, signed: DataFrame, payload: DataFrame, packing: str = "zlib") -> DataFrame:
+    """(stream_id, block_index, bytes) of needed blocks, unpacked; ``packing`` is
+    the compressor that they were published with.
 
     A block that equals an earlier one is read from the block that was
     published, the first of its hash.
@@ -49,11 +50,8 @@ def fetch(needed: DataFrame, signed: DataFrame, payload: DataFrame) -> DataFrame
     origin = signed.groupBy("stream_id", "strong").agg(F.min("block_index").alias("origin"))
     wanted = needed.select("stream_id", "block_index").join(signed.select("stream_id", "block_index", "strong"), ["stream_id", "block_index"]).join(origin, ["stream_id", "strong"])
     got = wanted.join(payload.withColumnRenamed("block_index", "origin"), ["stream_id", "origin"])
-    kinds = [r["packing"] for r in payload.select("packing").distinct().collect()]
-    bytes_ = F.col("bytes")
-    for kind in kinds:
-        if kind:
-            bytes_ = F.when(F.col("packing") == kind, unpacked(F.when(F.col("packing") == kind, F.col("bytes")), F.col("size"), kind)).otherwise(bytes_)
+    mine = F.col("packing") == packing
+    bytes_ = F.when(mine, unpacked(F.when(mine, F.col("bytes")), F.col("size"), packing)).otherwise(F.col("bytes")) if packing else F.col("bytes")
     return got.select("stream_id", "block_index", bytes_.alias("bytes"))
 
 
@@ -62,10 +60,12 @@ def resume(needed: DataFrame, present: DataFrame) -> DataFrame:
     return needed.join(present.select("stream_id", "block_index"), ["stream_id", "block_index"], "left_anti")
 
 
-def rebuild(old: DataFrame, located: DataFrame, fetched: DataFrame, signed: DataFrame, size: int = 2048) -> DataFrame:
-    """(stream_id, content, ok): new streams from old bytes and fetched blocks.
+def rebuilt_blocks(old: DataFrame, located: DataFrame, fetched: DataFrame, signed: DataFrame, size: int = 2048) -> DataFrame:
+    """(stream_id, block_index, bytes, ok): each block of new, from old or fetched.
 
-    Every block is checked against its strong hash.
+    Old streams are read once a row: the places of a stream (numbers) are
+    gathered beside its content.  Blocks stay rows; every one is checked against
+    its strong hash, and nothing brings a whole stream together.
     """
     local = located.where("old_pos IS NOT NULL").select("stream_id", "block_index", "old_pos", "length")
     gathered = local.groupBy("stream_id").agg(F.collect_list(F.struct("block_index", "old_pos", "length")).alias("list"))
@@ -75,28 +75,64 @@ def rebuild(old: DataFrame, located: DataFrame, fetched: DataFrame, signed: Data
     every = own.unionByName(fetched.select("stream_id", "block_index", "bytes"))
     checked = signed.select("stream_id", "block_index", "strong").join(every, ["stream_id", "block_index"], "left")
     good = F.coalesce(F.md5(blocks.padded(F.col("bytes"), size)) == F.col("strong"), F.lit(False))
-    parts = checked.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("block_index", F.hex("bytes").alias("hex")))).alias("parts"), F.bool_and(good).alias("ok"))
+    return checked.select("stream_id", "block_index", "bytes", good.alias("ok"))
+
+
+def rebuild(old: DataFrame, located: DataFrame, fetched: DataFrame, signed: DataFrame, size: int = 2048) -> DataFrame:
+    """(stream_id, content, ok): the blocks of :func:`rebuilt_blocks` put together,
+    for streams that fit a row."""
+    checked = rebuilt_blocks(old, located, fetched, signed, size)
+    parts = checked.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("block_index", F.hex("bytes").alias("hex")))).alias("parts"), F.bool_and("ok").alias("ok"))
     return parts.select("stream_id", F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), "")).alias("content"), "ok")
 
 
-def synchronise(old: DataFrame, new: DataFrame, size: int = 2048) -> DataFrame:
-    """Publish, match, fetch and rebuild; (stream_id, ok, blocks, need_blocks)."""
-    signed, payload = publish(new, size)
+def synchronise(old: DataFrame, new: DataFrame, size: int = 2048, packing: str = "zlib") -> DataFrame:
+    """Publish, match, fetch and rebuild; (stream_id, ok, blocks, need_blocks).
+
+    ``ok`` tells that every block has its published hash and that the file check
+    over all of them is that of new.
+    """
+    signed, payload = publish(new, size, packing)
     located = positions(old, new, size)
     tails = signed.join(located.select("stream_id", "block_index"), ["stream_id", "block_index"], "left_anti")
     needed = covers.needed_blocks(located).select("stream_id", "block_index").unionByName(tails.select("stream_id", "block_index"))
-    made = rebuild(old, located, fetch(needed, signed, payload), signed, size)
-    counts = signed.groupBy("stream_id").agg(F.count(F.lit(1)).alias("blocks"))
+    made = rebuilt_blocks(old, located, fetch(needed, signed, payload, packing), signed, size)
+    again = made.select("stream_id", "block_index", "ok", F.md5(blocks.padded(F.col("bytes"), size)).alias("strong"))
+    checks = blocks.xor_check(again).select("stream_id", F.col("check").alias("made"))
+    wanted = blocks.xor_check(signed).select("stream_id", "blocks", "check")
+    whole = again.groupBy("stream_id").agg(F.bool_and("ok").alias("ok"))
     missing = needed.groupBy("stream_id").agg(F.count(F.lit(1)).alias("need_blocks"))
-    same = made.join(new.select("stream_id", F.col("content").alias("want")), "stream_id")
     return (
-        same.select("stream_id", (F.col("ok") & (F.col("content") == F.col("want"))).alias("ok"))
-        .join(counts, "stream_id")
+        wanted.join(whole, "stream_id")
+        .join(checks, "stream_id")
         .join(missing, "stream_id", "left")
-        .select("stream_id", "ok", "blocks", F.coalesce("need_blocks", F.lit(0).cast("long")).alias("need_blocks"))
+        .select("stream_id", (F.col("ok") & (F.col("made") == F.col("check"))).alias("ok"), "blocks", F.coalesce("need_blocks", F.lit(0).cast("long")).alias("need_blocks"))
     )
 
 
+def local_diff(old: DataFrame, new: DataFrame, size: int = 2048, packing: str = "zlib") -> tuple[DataFrame, DataFrame]:
+    """(codes, blocks): a sync diff as two tables, made where old and new meet.
+
+    ``codes`` has (stream_id, at, kind, value, blocks), the coded places of whole
+    blocks; ``blocks`` has (stream_id, block_index, size, packing, bytes) of the
+    blocks that old lacks and of short last ones, equal blocks once.
+    """
+    signed, payload = publish(new, size, packing)
+    located = positions(old, new, size)
+    held = located.where("old_pos IS NOT NULL").select("stream_id", "block_index")
+    wanted = signed.join(held, ["stream_id", "block_index"], "left_anti").select("stream_id", "strong").distinct()
+    first = signed.join(wanted, ["stream_id", "strong"]).groupBy("stream_id", "strong").agg(F.min("block_index").alias("block_index"))
+    return covers.position_codes(located), payload.join(first.select("stream_id", "block_index"), ["stream_id", "block_index"], "left_semi")
+
+
+def local_patch(old: DataFrame, codes: DataFrame, given: DataFrame, signed: DataFrame, size: int = 2048, packing: str = "zlib") -> DataFrame:
+    """(stream_id, block_index, bytes, ok): new from old and a sync diff, by block."""
+    located = covers.decode_positions(codes, size)
+    held = located.where("old_pos IS NOT NULL").select("stream_id", "block_index")
+    needed = signed.join(held, ["stream_id", "block_index"], "left_anti").select("stream_id", "block_index")
+    return rebuilt_blocks(old, located, fetch(needed, signed, given, packing), signed, size)
+
+
 def rolling_signatures(streams: DataFrame, size: int) -> DataFrame:
     """(stream_id, old_size, block_index, key, strong) of the whole blocks; one
     row without a block for a stream that has none.

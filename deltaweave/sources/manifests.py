@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checksums import digest
-from ..operators.files import ignored
+from ..operators.files import ignored, numbered
 
 VERSION = "Manifest:1.0"
 
@@ -62,13 +62,11 @@ def swapped(hex_digest: F.Column) -> F.Column:
 def manifest_lines(files: DataFrame, checksum: str = "sha256") -> DataFrame:
     """(line_no, value) of the manifest text of files (path, content)."""
     body = files.select("path", F.concat(F.lit("Path:"), swapped(F.coalesce(digest(checksum, F.col("content")), F.lit(""))), F.lit(":"), F.col("path")).alias("value"))
-    from pyspark.sql import Window
-
-    numbered = body.select((F.row_number().over(Window.orderBy("path")) + 2).cast("long").alias("line_no"), "value")
+    lines = numbered(body, "path").select((F.col("index") + 3).alias("line_no"), "value")
     spark = files.sparkSession
     count = body.agg(F.format_string("Count:%d", F.count(F.lit(1))).alias("value")).select(F.lit(2).cast("long").alias("line_no"), "value")
     head = spark.createDataFrame([(0, VERSION), (1, f"ChecksumType:{checksum}")], "line_no long, value string")
-    return head.unionByName(count).unionByName(numbered)
+    return head.unionByName(count).unionByName(lines)
 
 
 def save_manifest(files: DataFrame, path: str, checksum: str = "sha256") -> None:
@@ -76,10 +74,9 @@ def save_manifest(files: DataFrame, path: str, checksum: str = "sha256") -> None
     manifest_lines(files, checksum).orderBy("line_no").coalesce(1).select("value").write.mode("overwrite").text(path)
 
 
-def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, checksum_type, digest) of a saved manifest; its count must match."""
-    lines = spark.read.text(path)
-    heads = {r["value"].split(":", 1)[0]: r["value"].split(":", 1)[1] for r in lines.where("value RLIKE '^(ChecksumType|Count|Manifest):'").collect()}
+def parse_manifest(lines: DataFrame) -> DataFrame:
+    """(path, checksum_type, digest) of manifest text lines; the count must match."""
+    heads = {r["value"].split(":", 1)[0]: r["value"].split(":", 1)[1] for r in lines.where("value RLIKE '^(ChecksumType|Count|Manifest):'").limit(4).collect()}
     if f"Manifest:{heads.get('Manifest')}" != VERSION or "Count" not in heads:
         raise ValueError("not a manifest")
     body = lines.where("value LIKE 'Path:%'")
@@ -93,6 +90,11 @@ def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, checksum_type, digest) of a saved manifest; its count must match."""
+    return parse_manifest(spark.read.text(path))
+
+
 def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """(path, state) of every path: ok, changed, missing or extra."""
     kind = manifest.select("checksum_type").first()

@@ -62,3 +62,36 @@ def test_bits(spark):
     assert row[1:] == ("0f00", "ff00")
     assert [c.ceil_log2(n) for n in (0, 1, 2, 3, 4, 5, 1024, 1025)] == [1, 1, 1, 2, 2, 3, 10, 11]
     assert c.hash_bits(1 << 30, 1 << 19)[0] >= 14
+
+
+def test_widest_sums_and_digests(spark):
+    from pyspark.sql import functions as F
+
+    from deltaweave.functions import checksums
+
+    data = bytes(range(256)) * 3
+    table = [((b + 1) * 0x9E3779B97F4A7C15) % 2**64 for b in range(256)]
+    a, s = 1, 0
+    for b in data:
+        a = (a + table[b]) % 2**64
+        s = (s + a) % 2**64
+    row = spark.createDataFrame([(data,), (b"",), (None,)], "c binary").select(checksums.fadler128(F.col("c")).alias("x")).collect()
+    assert [v % 2**64 for v in row[0]["x"]] == [a, s] and tuple(row[1]["x"]) == (1, 0) and tuple(row[2]["x"]) == (None, None)
+    kinds = spark.createDataFrame([(b"abc",)], "c binary").select(*(checksums.digest(k, F.col("c")).alias(k) for k in ("md4", "fadler32", "fadler64"))).first()
+    assert kinds["md4"] == "a448017aaf21d8525fc10ae87aa6729d"
+    a, s = checksums.adler(__import__("numpy").frombuffer(b"abc", "u1"), 1 << 32, checksums.rule_table())
+    assert kinds["fadler64"] == f"{s:08x}{a:08x}" and len(kinds["fadler32"]) == 8
+
+
+def test_budgets_of_columns_and_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from deltaweave.functions import checksums
+    from deltaweave.options import block_size_for, block_size_of
+
+    sizes = [1, 2, 3, 64, 65, 1000, 4096, 10**6, 2**40]
+    table = spark.createDataFrame([(n, max(1, n // 64)) for n in sizes], "n long, b long")
+    r, s = checksums.hash_bits_of(F.col("n"), F.col("b"))
+    rows = table.select("n", "b", checksums.ceil_log2_of(F.col("n")).alias("log"), r.alias("r"), s.alias("s"), block_size_of(F.col("n"), 1024).alias("size")).collect()
+    for x in rows:
+        assert (x["log"], x["r"], x["s"], x["size"]) == (checksums.ceil_log2(x["n"]), *checksums.hash_bits(x["n"], x["b"]), block_size_for(x["n"], 1024))

@@ -123,3 +123,54 @@ def test_sync_resumes_and_detects_damage(spark):
     assert all(r["ok"] for r in sync.rebuild(old, located, first.unionByName(rest), signed, 64).collect())
     damaged = got.withColumn("bytes", F.when(F.col("stream_id") == 2, F.lit(b"zz").cast("binary")).otherwise(F.col("bytes")))
     assert {r["stream_id"]: r["ok"] for r in sync.rebuild(old, located, damaged, signed, 64).collect()} == {1: True, 2: False}
+
+
+def test_layout_of_a_million_files(spark):
+    """Ranges are dealt once: no place is given twice and none is left out."""
+    n = 1_000_000
+    sized = spark.range(n).select(F.format_string("%s/%07d", F.md5(F.col("id").cast("string")), "id").alias("path"), (F.col("id") % 97 + 1).alias("size"))
+    layout = files.ref_stream_by_range(sized, "path", 16)
+    room = F.ceil(F.col("size") / 16) * 16
+    row = layout.agg(F.countDistinct("begin").alias("begins"), F.max(F.col("begin") + room).alias("end"), F.sum(room).alias("rooms"), F.min("begin").alias("first")).first()
+    assert (row["begins"], row["end"], row["first"]) == (n, row["rooms"], 0)
+
+
+def test_numbers_and_index_codes(spark):
+    paths = spark.createDataFrame([(p,) for p in ("b", "a", "d", "c")], "path string")
+    assert sorted(tuple(r) for r in files.numbered(paths, "path").collect()) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    pairs_ = spark.createDataFrame([(2, 7), (5, 3), (6, 4)], "new_index long, old_index long")
+    assert sorted(tuple(r) for r in files.same_pair_deltas(pairs_).collect()) == [(0, 2, 7), (1, 2, -5), (2, 0, 0)]
+    listed = spark.createDataFrame([(0, 3), (1, 4), (2, 9)], "index long, place long")
+    assert sorted(tuple(r) for r in files.index_deltas(listed, "place").collect()) == [(0, 3), (1, 0), (2, 4)]
+    assert files.numbered(paths.where("false"), "path").count() == 0
+
+
+def test_sync_diff_without_network(spark):
+    content = lambda rows: spark.createDataFrame(rows, "stream_id long, content binary")
+    old = content([(1, b"abcd" * 300), (2, b""), (3, b"q" * 640)])
+    new = content([(1, b"abcd" * 200 + b"changed" * 40 + b"abcd" * 100), (2, b"fresh" * 60), (3, b"q" * 640 + b"r" * 640)])
+    signed, _ = sync.publish(new, 64)
+    codes, given = sync.local_diff(old, new, 64)
+    made = sync.local_patch(old, codes, given, signed, 64)
+    whole = {}
+    for r in made.orderBy("stream_id", "block_index").collect():
+        assert r["ok"]
+        whole[r["stream_id"]] = whole.get(r["stream_id"], b"") + bytes(r["bytes"])
+    assert whole == {r["stream_id"]: bytes(r["content"]) for r in new.collect()}
+    assert given.where("stream_id = 3").count() == 1  # ten equal new blocks, sent once
+    assert codes.where("stream_id = 2").select("kind").distinct().collect()[0]["kind"] == "miss"
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from deltaweave.operators import tables
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError):
+        tables.shared_folder(Session())
