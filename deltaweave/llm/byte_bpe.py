@@ -13,9 +13,15 @@ costs a look-up.  No shuffle takes place.
 Texts are cut at single spaces between non-space characters before the pattern
 is applied; no match of the pattern reaches over the start of such a space.
 
+A long piece (text without spaces) is contracted in overlapping parts.  A
+sequence of tokens is the encoding of its bytes if each two neighbours are the
+encoding of theirs, so two parts that share a token are joined at it exactly;
+two that share none become one longer part and are contracted again.  A query
+takes parts of bounded total work and spills nothing.
+
 Defined cases: a null text is an empty one, with no ids and empty decoded
 bytes; bytes that are no UTF-8 are read as U+FFFD; texts of any length are
-encoded whole, in pieces of bounded memory; repeated rows stay repeated;
+encoded whole; repeated rows stay repeated;
 other columns are ignored; an empty table gives an empty result.
 """
 
@@ -29,14 +35,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .scratch import TEXT_ROWS, arrow_rows
+from .scratch import slices, small_batches
 
-#: Characters of text that are encoded at a time; pieces in one recursive query.
-BATCH_CHARS, BLOCK_PIECES = 3 << 20, 1 << 15
+#: Characters of text that are encoded at a time; pieces in one recursive query,
+#: and its rows, at most half the squares of their bytes.
+BATCH_CHARS, BLOCK_PIECES, BLOCK_SQUARES = 3 << 20, 1 << 14, 1 << 22
 #: Pieces and words that a task remembers beside those of the batch at hand.
 REMEMBERED = 300_000
-#: From so many bytes, equal pairs of a piece are contracted together.
-LONG_PIECE = 256
+#: Longer pieces are contracted in parts of twice as many bytes, which overlap by half.
+STRIDE = 48
+#: From so many bytes, equal pairs of a part are contracted together.
+LONG_PART = 2 * STRIDE + 1
 #: The pattern under which a space and letters are always one match.
 LETTERS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEVER = np.uint64(2**64 - 1)
@@ -56,7 +65,7 @@ WITH RECURSIVE s(w, p, np, t, r, k, x) AS (
             UNION ALL
             SELECT w, p, np, t, xk FROM active WHERE np = xp
         ), now AS (
-            SELECT changed.*, merges.k FROM changed LEFT JOIN merges ON lr = t::BIGINT * 65536 + r
+            SELECT changed.*, merges.k FROM changed LEFT JOIN merges ON lr = t::BIGINT * $base + r
             UNION ALL
             SELECT w, p, np, t, r, k FROM active WHERE p <> xp AND p <> xgone AND np <> xp
         ), best AS (
@@ -81,7 +90,7 @@ WITH RECURSIVE s(w, p, t, i) AS (
                             SELECT x.*, k, together, min(k) OVER (PARTITION BY w) AS best FROM (
                                 SELECT s.*, lead(t) OVER o AS r, row_number() OVER o AS n
                                 FROM s WINDOW o AS (PARTITION BY w ORDER BY p)
-                            ) AS x LEFT JOIN merges ON lr = t::BIGINT * 65536 + r
+                            ) AS x LEFT JOIN merges ON lr = t::BIGINT * $base + r
                         ) WHERE best IS NOT NULL
                     )
                 )
@@ -97,6 +106,8 @@ SELECT list(t ORDER BY place) AS ids, string_agg(latin1, '' ORDER BY place) AS b
 FROM final JOIN vocabulary ON id = t
 """
 
+_DECODE_SQL = "SELECT string_agg(latin1, '' ORDER BY place) AS bytes FROM given JOIN vocabulary USING (id)"
+
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
     """Token bytes to rank, of a file of ``base64(token) rank`` lines."""
@@ -124,7 +135,9 @@ class Encoder:
         for token, rank in self.ranks.items():
             if len(token) == 2:
                 self.pairs[token[0], token[1]] = rank
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
+        self.base = len(self.token_sizes)
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.full = duckdb.OutOfMemoryException
         self._load_tables()
         # of words and pieces alike: a piece by itself is one match of the pattern
         self.ids: dict[str, bytes] = {}
@@ -138,7 +151,7 @@ class Encoder:
         np.minimum.at(least, left, rank)
         np.minimum.at(least, right, rank)
         # together: no pair with the new token comes before the pair that made it
-        merges = pa.table({"lr": left * 65536 + right, "k": rank.astype(np.int32), "together": least[rank] > rank})
+        merges = pa.table({"lr": left * self.base + right, "k": rank.astype(np.int32), "together": least[rank] > rank})
         words = pa.table({"id": pa.array(ranks.values(), pa.int32()), "latin1": [t.decode("latin-1") for t in ranks]})
         for name, table in (("merges", merges), ("vocabulary", words)):
             self.db.register("given", table)
@@ -164,8 +177,17 @@ class Encoder:
             "t": tokens, "r": following, "k": pa.array(pair.astype(np.int32), mask=pair < 0), "x": pa.array(best, mask=best == _NEVER),
         })
         self.db.register("starts", starts)
-        out = self.db.sql(sql + _RESULT_SQL).to_arrow_table()
-        self.db.unregister("starts")
+        try:
+            out = self.db.sql((sql + _RESULT_SQL).replace("$base", str(self.base))).to_arrow_table()
+        except self.full:
+            if len(pieces) < 2:
+                raise
+            out = None
+        finally:
+            self.db.unregister("starts")
+        if out is None:
+            half = len(pieces) // 2
+            return tuple(a + b for a, b in zip(self._contract(pieces[:half], sql), self._contract(pieces[half:], sql), strict=True))
         ids = out.column("ids").combine_chunks().values.to_numpy().astype(np.int32, copy=False)
         decoded = out.column("bytes")[0].as_py().encode("latin-1")
         upto = np.r_[0, np.searchsorted(np.cumsum(self.token_sizes[ids]), ends) + 1] * 4
@@ -173,6 +195,72 @@ class Encoder:
         lists = [flat[i:j] for i, j in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
         return lists, [decoded[i:j] for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
 
+    def _contract_all(self, parts: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """ids and decoded bytes of many parts, in queries of bounded work."""
+        ids, decoded = [b""] * len(parts), [b""] * len(parts)
+        for sql, wanted in ((_SHORT_SQL, lambda n: n < LONG_PART), (_LONG_SQL, lambda n: n >= LONG_PART)):
+            block, work = [], 0
+            todo = [i for i, x in enumerate(parts) if wanted(len(x))]
+            for k, i in enumerate(todo):
+                block.append(i)
+                work += len(parts[i]) ** 2
+                if work >= BLOCK_SQUARES or len(block) >= BLOCK_PIECES or k + 1 == len(todo):
+                    for j, a, b in zip(block, *self._contract([parts[j] for j in block], sql), strict=True):
+                        ids[j], decoded[j] = a, b
+                    block, work = [], 0
+        return ids, decoded
+
+    def _shared_token(self, left: tuple, right: tuple) -> tuple[int, int] | None:
+        """The places in both of a token that two overlapping parts have in common."""
+        (begin, _, ids), (other, _, others) = left, right
+        ends = begin + np.cumsum(self.token_sizes[ids])
+        first = int(np.searchsorted(ends - self.token_sizes[ids], other))
+        their_ends = other + np.cumsum(self.token_sizes[others])
+        mine = (ends[first:] << 8) | self.token_sizes[ids[first:]]
+        theirs = (their_ends << 8) | self.token_sizes[others]
+        _, i, j = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
+        return (first + int(i[0]), int(j[0])) if len(i) else None
+
+    def _encode_long(self, raws: list[bytes]) -> list[np.ndarray]:
+        """The ids of long pieces, from parts that overlap."""
+        pieces = [[(at, min(at + 2 * STRIDE, len(raw)), None) for at in range(0, max(1, len(raw) - STRIDE), STRIDE)] for raw in raws]
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(raws)
+        open_ = list(range(len(raws)))
+        while open_:
+            todo = [(w, k) for w in open_ for k, part in enumerate(pieces[w]) if part[2] is None]
+            needed = [raws[w][pieces[w][k][0] : pieces[w][k][1]] for w, k in todo]
+            different = list(dict.fromkeys(needed))
+            found = dict(zip(different, self._contract_all(different)[0], strict=True))
+            for (w, k), part in zip(todo, needed, strict=True):
+                pieces[w][k] = (*pieces[w][k][:2], np.frombuffer(found[part], np.int32))
+            still = []
+            for w in open_:
+                made, cuts, parts = [], [(0, 0)], pieces[w]
+                for part in parts:
+                    shared = None
+                    if made and made[-1][2] is not None and (shared := self._shared_token(made[-1], part)) is None:
+                        made[-1] = (made[-1][0], part[1], None)  # one longer part
+                    else:
+                        made.append(part)
+                        cuts.append(shared)
+                if len(made) < len(parts):
+                    pieces[w] = made
+                    still.append(w)
+                    continue
+                starts = [0, *(c[1] + 1 for c in cuts[2:])]
+                stops = [*(c[0] + 1 for c in cuts[2:]), len(made[-1][2])]
+                out[w] = np.concatenate([part[2][i:j] for part, i, j in zip(made, starts, stops, strict=True)])
+            open_ = still
+        return out
+
+    def _decode(self, pieces: list[np.ndarray]) -> list[bytes]:
+        ids = np.concatenate(pieces)
+        self.db.register("given", pa.table({"place": np.arange(len(ids)), "id": ids}))
+        found = self.db.sql(_DECODE_SQL).fetchall()[0][0].encode("latin-1")
+        self.db.unregister("given")
+        ends = np.cumsum([int(self.token_sizes[p].sum()) for p in pieces]).tolist()
+        return [found[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
     def _encode_pieces(self, pieces: set[str]) -> None:
         """Add the ids and decoded bytes of unknown pieces."""
         short, long = [], []
@@ -180,16 +268,17 @@ class Encoder:
             raw = piece.encode()
             whole = self.ranks.get(raw)
             if whole is None:
-                (long if len(raw) >= LONG_PIECE else short).append((piece, raw))
+                (long if len(raw) > 2 * STRIDE else short).append((piece, raw))
             else:
                 self.ids[piece] = whole.to_bytes(4, "little")
                 self.raw[piece] = raw
-        for todo, sql, most in ((short, _SHORT_SQL, BLOCK_PIECES), (long, _LONG_SQL, 16)):
-            for at in range(0, len(todo), most):
-                names, raws = zip(*todo[at : at + most], strict=True)
-                ids, decoded = self._contract(list(raws), sql)
-                self.ids.update(zip(names, ids, strict=True))
-                self.raw.update(zip(names, decoded, strict=True))
+        for (piece, _), ids, decoded in zip(short, *self._contract_all([raw for _, raw in short]), strict=True):
+            self.ids[piece], self.raw[piece] = ids, decoded
+        for at in range(0, len(long), 1024):
+            part = long[at : at + 1024]
+            found = self._encode_long([raw for _, raw in part])
+            for (piece, _), ids, decoded in zip(part, found, self._decode(found), strict=True):
+                self.ids[piece], self.raw[piece] = ids.tobytes(), decoded
 
     def _pieces(self, word: str) -> list[str]:
         """The matches of the pattern in one word, in order."""
@@ -267,7 +356,7 @@ def read_vocabulary(spark: SparkSession, path: str) -> bytes:
 
 def _encoding(vocabulary, pattern: str) -> Callable:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for part, texts in text_runs(batch, 1):
                 found = encoder(vocabulary.value, pattern).encode(texts)
                 yield pa.RecordBatch.from_arrays(
@@ -281,7 +370,7 @@ def _encoding(vocabulary, pattern: str) -> Callable:  # noqa: ANN001
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) and decoded (binary) of every row."""
     spark = docs.sparkSession
-    arrow_rows(spark, TEXT_ROWS)
+    small_batches(spark)
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(spark, path))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_encoding(vocabulary, pattern), f"doc_id {kind}, ids array<int>, decoded binary")

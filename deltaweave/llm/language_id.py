@@ -7,7 +7,7 @@ weights are fitted by follow-the-regularised-leader with elastic-net penalties
 on a bounded sample, ``SAMPLE_PER_LANGUAGE`` documents a language in
 expectation; a fifth of it is left out of the fit and sets the temperature of
 the scores.  The model (features x languages) is broadcast: its size does not
-depend on the number of documents.
+depend on the number of documents.  Every label is learned.
 
 Learning reads only text and label; a prediction reads only text.
 
@@ -28,15 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .scratch import TEXT_ROWS, arrow_rows
+from .scratch import small_batches
 
 UNKNOWN = "und"
 BITS, GRAMS = 16, 3
 FEATURES = 1 << BITS
 #: Documents of a language in the sample that the weights are fitted on.
 SAMPLE_PER_LANGUAGE = 1500
-#: Languages learned at most; the most frequent ones.
-MOST_LANGUAGES = 256
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 2.0, 0.1, 1e-4, 1e-4
 _RUN = 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -163,9 +161,9 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(labelled: DataFrame) -> Model:
     """A model of the rows (lang, text, key); ``key`` only orders the sample."""
-    arrow_rows(labelled.sparkSession, TEXT_ROWS)
+    small_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and key is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)))
@@ -178,11 +176,10 @@ def learn(labelled: DataFrame) -> Model:
             idf[feature] = n
     idf = np.where(idf > 0, np.log((1 + total) / (1 + idf)) + 1, 0.0)
     million = 1_000_000
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(million, int(np.ceil(million * SAMPLE_PER_LANGUAGE / r["count"]))))).otherwise(share)
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(million, int(np.ceil(million * SAMPLE_PER_LANGUAGE / r["count"])))) for r in sizes], "lang string, share int")
     order = F.xxhash64("key", F.lit("sample"))
-    sample = labelled.where(F.pmod(order, F.lit(million)) < share).select("lang", "text", order.alias("key"))
+    # one row a language, as many as the model has columns
+    sample = labelled.join(F.broadcast(shares), "lang").where(F.pmod(order, F.lit(million)) < F.col("share")).select("lang", "text", order.alias("key"))
     got = sample.mapInArrow(_sample_rows, "lang string, key long, index binary, counts binary").collect()
     at = {lang: i for i, lang in enumerate(languages)}
     rows = [(np.frombuffer(r["index"], np.int32), np.frombuffer(r["counts"], np.int32), at[r["lang"]]) for r in sorted(got, key=lambda r: (r["key"], r["lang"], r["index"], r["counts"]))]
@@ -197,7 +194,7 @@ _RESULT = StructType([StructField("lang_pred", StringType()), StructField("score
 
 def prediction(model: Model, text: Column, docs: DataFrame) -> Column:
     """A struct (lang_pred, score) for each text."""
-    arrow_rows(docs.sparkSession, TEXT_ROWS)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: pa.Array) -> pa.Array:

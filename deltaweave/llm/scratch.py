@@ -3,54 +3,58 @@
 A table is written once as Parquet below the folder named by
 ``spark.checkpoint.dir`` (shared by driver and executors) and read back, so a
 lost executor costs the recomputation of nothing but its running tasks.  Where
-the setting is absent, as in tests, a local temporary folder is set.
+the setting is absent, a local master gets a temporary folder and a cluster an
+error.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.tables import shared_folder as scratch_dir
+from ..operators.tables import written as keep
 
-#: Rows of an Arrow batch that carries texts, and one of plain numbers.
-TEXT_ROWS, NUMBER_ROWS = 512, 8192
+#: Rows of an Arrow batch where the session does not say; rows handled at a time.
+ARROW_ROWS, TEXT_ROWS, NUMBER_ROWS = 1024, 512, 16_384
+#: Rows of numbers that are broadcast to spare a shuffle.
+BROADCAST_ROWS = 500_000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Set the rows of an Arrow batch for what is planned next.
+def small_batches(spark: SparkSession) -> None:
+    """Have texts go to Python in small Arrow batches, so that neither the
+    executor's buffers nor its workers hold much of a partition.
 
-    Texts go to Python in small batches, so that neither the executor's buffers
-    nor its Python workers hold much of a partition.
+    A session that sets the size itself keeps it; else every operator sets the
+    same one, so that results may be planned in any order.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    default = spark._jvm.org.apache.spark.sql.internal.SQLConf.ARROW_EXECUTION_MAX_RECORDS_PER_BATCH().defaultValueString()
+    if spark.conf.get(_ROWS_SETTING) == default:
+        spark.conf.set(_ROWS_SETTING, str(ARROW_ROWS))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; set to a temporary one only where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the scratch folder, removed when the driver's JVM ends."""
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the scratch folder and read back with its schema."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = NUMBER_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of numbers put together to ``rows`` or a little more."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
 
 
 def forget(spark: SparkSession, df: DataFrame) -> None:
@@ -62,6 +66,13 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def few(df: DataFrame, name: str) -> DataFrame:
+    """``df`` in scratch, broadcast in joins if it is small by count; for rows of
+    a few numbers."""
+    kept = keep(df, name)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -72,3 +83,6 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+__all__ = ["few", "forget", "fresh", "gathered", "is_empty", "keep", "scratch_dir", "slices", "small_batches"]

@@ -1,15 +1,23 @@
-"""Near-duplicate detection by exact Jaccard similarity of word shingles.
-
-A text becomes the set of 64-bit hashes of its runs of five words (a shorter
-text is one run).  Two texts are linked if their sets have a Jaccard similarity
-of 0.8 or more.  No pair is lost: under any total order of the shingles, two
-such sets share one of the first n - ceil(0.8 n) + 1 of each, so these prefixes
-are grouped by shingle, and pairs inside a group are bounded by size, place and
-a bitmap of each set and then verified on the whole sets.  The order puts shingles that are frequent
-in a sample last; it decides the work, not the result.
-
-Equal sets are folded first.  Groups yield pairs in two rounds: stars, then, once these are verified and joined, all pairs whose members are
-still in different components.  So a large group of near copies gives few pairs.
+"""SimHash near-dedup by a similarity: five-word shingles, Jaccard 0.8 or more.
+
+The operator of :mod:`simhash_dedup` for a bound on similarity instead of one on
+bits.  A text becomes the set of 64-bit hashes of its runs of five words (a
+shorter text is one run) and their SimHash fingerprint.  Two texts are linked if
+their sets have a Jaccard similarity of 0.8 or more.
+
+Fingerprints that meet by deletion variants give candidates, which are verified
+on the whole sets.  They cannot give all: texts of that similarity may differ in
+some seventeen of 64 bits.  The rest is exact: under any total order of the
+shingles, two similar sets share one of the first n - ceil(0.8 n) + 1 of each,
+so these prefixes are grouped by shingle, and pairs inside a group are bounded
+by size, place and a bitmap of each set and then verified as well.  The order
+puts shingles that are frequent in a sample last; it decides the work, not the
+result.
+
+Equal sets are folded first.  Groups yield pairs in two rounds: stars, beside
+the candidates by fingerprint, then, once these are verified and joined, all
+pairs whose members are still in different components.  So a large group of
+near copies gives few pairs.
 
 Defined cases: a null or empty text, or one of white space only, has the empty
 set, and all of these are alike; else as in :mod:`simhash_dedup`.
@@ -26,37 +34,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import NUMBER_ROWS, TEXT_ROWS, arrow_rows, fresh, keep
-from .simhash_dedup import _word_runs, components_of, one_of_each
+from .scratch import few, fresh, gathered, keep, slices, small_batches
+from .simhash_dedup import components_of, fingerprint_from, near_links, one_of_each, shingle_hashes
 
 SHINGLE_WORDS = 5
 #: The least similarity as a fraction, so that it is compared in whole numbers.
 SHARED, OF = 4, 5
 #: Sets in the sample that orders the shingles, and the frequent ones kept of it.
 SAMPLE_SETS, FREQUENT = 16_384, 50_000
-#: Rows of numbers that are broadcast to spare the sets a shuffle.
-BROADCAST_ROWS = 500_000
 _ROWS = 1 << 16
 _STRIP = 1 << 20
 _BITS = 1024
-#: Rows of an Arrow batch with two whole sets each.
-_SET_ROWS = 32
 
 
 def shingles_of(text: bytes | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     """The sorted distinct shingle hashes of one UTF-8 text."""
-    parts, tail = [], []
-    digest = xxhash.xxh64_intdigest
-    for words in _word_runs((text or b"").lower()):
-        words = tail + words
-        if len(words) >= width:
-            grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-            parts.append(np.unique(np.fromiter((digest(s, 42) for s in grams), np.uint64)))
-            tail = words[len(words) - width + 1 :]
-        else:
-            tail = words
-    if not parts and tail:
-        parts.append(np.array([digest(b" ".join(tail), 42)], np.uint64))
+    parts = [np.unique(run) for run in shingle_hashes(text, width)]
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
@@ -81,20 +74,25 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
-def _few(df: DataFrame, name: str) -> DataFrame:
-    """``df`` in scratch, broadcast in joins if it is small by count."""
-    kept = keep(df, name)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = [shingles_of(t.as_py()) for t in batch.column(2).cast(pa.binary())]
-        found = [v.tobytes() for v in values]
-        fps = np.array([xxhash.xxh64_intdigest(s) for s in found], np.uint64).view(np.int64)
-        sizes = pa.array([len(v) for v in values], pa.int64())
-        columns = [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), sizes, pa.array([bitmap_of(v) for v in values], pa.binary()), pa.array(found, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp", "n", "bits", "shingles"])
+    for batch in slices(batches):
+        prints, values = [], []
+        for text in batch.column(2).cast(pa.binary()):
+            runs = list(shingle_hashes(text.as_py(), SHINGLE_WORDS))
+            prints.append(fingerprint_from(runs))
+            values.append(np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64))
+        fps = np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in values], np.uint64).view(np.int64)
+        sizes = np.array([len(v) for v in values], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(values).view(np.int64)))
+        numbers = [pa.array(c, pa.int64()) for c in (fps, np.array(prints, np.uint64).view(np.int64), sizes)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array([bitmap_of(v) for v in values], pa.binary()), lists], ["doc_id", "mark", "fp", "print", "n", "bits", "shingles"])
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The lists of a column as arrays of unsigned numbers."""
+    flat = column.flatten().to_numpy().view(np.uint64)
+    ends = np.cumsum(column.value_lengths().to_numpy())
+    return (flat[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if len(ends) else iter(())
 
 
 def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +103,7 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.as_py(), np.int64))], ["shingle"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).flatten()], ["shingle"])
 
     sample = sets.where(F.pmod(F.xxhash64("fp"), F.lit(million)) < share).select("shingles")
     counted = sample.mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
@@ -122,10 +119,9 @@ def _prefixes(sets: DataFrame) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for fp, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.frombuffer(raw.as_py(), np.uint64)
+            for fp, values in zip(batch.column(0).to_pylist(), _lists(batch.column(1)), strict=True):
                 n = len(values)
                 if not n:
                     continue
@@ -148,7 +144,7 @@ def _reach(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
 
 
 def _group_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one group: a star, or all of different roots, in strips."""
+    """Pairs of one group: a star, or all pairs of different roots, in strips."""
     size = len(n)
     if root is None:
         later = np.arange(1, size)
@@ -164,18 +160,19 @@ def _group_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray | None) -> Iter
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of a partition sorted by its first one, cut between groups."""
-    held = None
-    for batch in batches:
+    held: list[list[np.ndarray]] = []
+    for batch in gathered(batches):
         columns = [c.to_numpy().astype(np.int64) for c in batch.columns]
-        columns = columns if held is None else [np.concatenate(c) for c in zip(held, columns, strict=True)]
-        if not len(columns[0]):
+        if held and columns[0][-1] == held[0][0][0]:
+            held.append(columns)  # one group throughout
             continue
+        columns = [np.concatenate(c) for c in zip(*held, columns, strict=True)]
         last = int(np.searchsorted(columns[0], columns[0][-1]))
-        held = [c[last:] for c in columns]
+        held = [[c[last:] for c in columns]]
         if last:
             yield [c[:last] for c in columns]
-    if held is not None:
-        yield held
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +217,10 @@ def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = (OF + SHARED) * differ <= (OF - SHARED) * np.array(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
 
-    nodes = _few(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "nodes")
+    nodes = few(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "nodes")
     wanted = keep(sets.join(nodes, "fp", "left_semi").select("fp", "n", "bits"), "bits")
     left = wanted.select(F.col("fp").alias("a"), F.col("bits").alias("x"), "n")
     right = wanted.select(F.col("fp").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
-    arrow_rows(pairs.sparkSession, NUMBER_ROWS)
     met = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n") + F.col("m")).alias("n"), "x", "y")
     return keep(met.mapInArrow(check, "a long, b long"), "close")
 
@@ -232,34 +228,39 @@ def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) whose sets are similar."""
     close = _close(pairs, sets)
-    nodes = _few(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "nodes")
-    wanted = sets.join(nodes, "fp", "left_semi").select("fp", "shingles")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    left = wanted.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
-    right = wanted.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
-    arrow_rows(pairs.sparkSession, _SET_ROWS)
-    return keep(close.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "verified")
+    nodes = few(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "nodes")
+    wanted = sets.join(nodes, "fp", "left_semi").select("fp", "n", "shingles")
+    left = wanted.select(F.col("fp").alias("a"), "n", F.col("shingles").alias("x"))
+    right = wanted.select(F.col("fp").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return keep(close.join(left, "a").join(right, "b").where(OF * shared >= SHARED * (F.col("n") + F.col("m") - shared)).select("a", "b"), "verified")
+
+
+def _by_fingerprint(sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of sets whose SimHash fingerprints are near: a
+    spanning choice of the links between fingerprints, and of one fingerprint."""
+    first = keep(sets.groupBy("print").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("sets")), "fingerprints")
+    again = sets.select("fp", "print").join(first.where("sets > 1"), "print").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    near = keep(near_links(first.select(F.col("print").alias("fp"))), "near")
+    ends = near.join(few(first.select(F.col("print").alias("a"), F.col("first").alias("x")).join(near.select("a").distinct(), "a", "left_semi"), "left"), "a")
+    ends = ends.join(few(first.select(F.col("print").alias("b"), F.col("first").alias("y")).join(near.select("b").distinct(), "b", "left_semi"), "right"), "b")
+    every = ends.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(again)
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def similar_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join all similar sets of ``sets`` (distinct fp, n, bits, shingles)."""
+    """Links (a, b) that join all similar sets of ``sets`` (distinct fp, print, n, bits, shingles)."""
     spark = sets.sparkSession
-    arrow_rows(spark, TEXT_ROWS)
+    small_batches(spark)
     prefixes = _prefixes(sets).repartition("key").sortWithinPartitions("key")
     index = keep(prefixes.mapInArrow(_met, "key long, fp long, n long, at long"), "prefixes")
-    arrow_rows(spark, NUMBER_ROWS)
     grouped = index.repartition("key").sortWithinPartitions("key", "n", "fp")
-    first = keep(grouped.mapInArrow(lambda x: _pairs_of(x, False), "a long, b long").distinct(), "pairs")
+    stars = grouped.mapInArrow(lambda x: _pairs_of(x, False), "a long, b long")
+    first = keep(stars.unionByName(_by_fingerprint(sets)).distinct(), "pairs")
     links = _verified(first, sets)
     roots = keep(connected_components(links), "roots")
     # a lone set stands for itself; groups of one component have no pairs left
     rooted = index.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    arrow_rows(spark, NUMBER_ROWS)
     grouped = rooted.select("key", "fp", "n", "at", "root").repartition("key").sortWithinPartitions("key", "n", "fp")
     rest = grouped.mapInArrow(lambda x: _pairs_of(x, True), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     return links.unionByName(_verified(keep(rest, "pairs"), sets))
@@ -269,15 +270,15 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component of similar texts, chosen as in :func:`simhash_dedup.drop_near_duplicates`."""
     mark = fresh(docs, "text_mark")
     marked = docs.withColumn(mark, F.xxhash64("text"))
-    arrow_rows(docs.sparkSession, TEXT_ROWS)
+    small_batches(docs.sparkSession)
     source = marked.select(F.col("doc_id").cast("long"), F.col(mark).alias("mark"), F.col("text"))
-    prints = source.mapInArrow(_sets, "doc_id long, mark long, fp long, n long, bits binary, shingles binary")
+    prints = source.mapInArrow(_sets, "doc_id long, mark long, fp long, print long, n long, bits binary, shingles array<bigint>")
     prints = keep(prints.withColumn("row", F.monotonically_increasing_id()), "sets")
 
     def links(classes: DataFrame) -> DataFrame:
         copied = prints.groupBy("fp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        again = _few(prints.select("fp", "row").join(copied, "fp").where("row <> first").select("row"), "again")
-        return similar_links(prints.join(again, "row", "left_anti").select("fp", "n", "bits", "shingles"))
+        again = few(prints.select("fp", "row").join(copied, "fp").where("row <> first").select("row"), "again")
+        return similar_links(prints.join(again, "row", "left_anti").select("fp", "print", "n", "bits", "shingles"))
 
     return one_of_each(docs, prints.select("doc_id", "mark", "fp"), components_of(prints.select("doc_id", "fp"), links))
 

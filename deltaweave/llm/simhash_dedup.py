@@ -20,7 +20,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .components import connected_components
-from .scratch import NUMBER_ROWS, TEXT_ROWS, arrow_rows, fresh, keep
+from .scratch import few, fresh, gathered, keep, small_batches
 
 MAX_BITS = 2
 SHINGLE_WORDS = 3
@@ -54,33 +54,45 @@ def _word_runs(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def _bit_counts(hashes: list[int]) -> np.ndarray:
+def _bit_counts(values: np.ndarray) -> np.ndarray:
     counts = np.zeros(64, np.int64)
-    values = np.array(hashes, np.uint64)
     for i in range(0, len(values), _BLOCK):
         rows = values[i : i + _BLOCK].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return counts
 
 
-def fingerprint_of(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
-    """The unsigned 64-bit fingerprint of one UTF-8 text."""
-    counts, n, tail = np.zeros(64, np.int64), 0, []
+def shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
+    """The hashes of the shingles of one UTF-8 text in order, repeats included, in
+    runs of bounded size; one of all words where there are fewer."""
+    tail, some = [], False
     digest = xxhash.xxh64_intdigest
     for words in _word_runs((text or b"").lower()):
         words = tail + words
         if len(words) >= width:
-            hashes = [digest(s, 42) for s in map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))]
-            counts += _bit_counts(hashes)
-            n += len(hashes)
-            tail = words[len(words) - width + 1 :]
+            grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+            yield np.array([digest(s, 42) for s in grams], np.uint64)
+            some, tail = True, words[len(words) - width + 1 :]
         else:
             tail = words
-    if not n and tail:
-        counts, n = _bit_counts([digest(b" ".join(tail), 42)]), 1
+    if not some and tail:
+        yield np.array([digest(b" ".join(tail), 42)], np.uint64)
+
+
+def fingerprint_from(runs: Iterable[np.ndarray]) -> int:
+    """The unsigned 64-bit fingerprint of runs of shingle hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in runs:
+        counts += _bit_counts(hashes)
+        n += len(hashes)
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little") if n else 0
 
 
+def fingerprint_of(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
+    """The unsigned 64-bit fingerprint of one UTF-8 text."""
+    return fingerprint_from(shingle_hashes(text, width))
+
+
 def _fingerprints(texts: pa.Array) -> pa.Array:
     raw = texts.cast(pa.binary())
     values = [fingerprint_of(x.as_py()) for x in raw]
@@ -171,8 +183,7 @@ def _run_links(key: int, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarr
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Verified links of the variant groups of one sorted partition."""
     forest = _Forest()
-    held_key = np.zeros(0, np.int64)
-    held_fp = np.zeros(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def links_of(keys: np.ndarray, fps: np.ndarray) -> tuple[list[int], list[int]]:
         a, b = [], []
@@ -202,26 +213,33 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [pa.array(np.array(v, np.uint64).view(np.int64), pa.int64()) for v in (a, b)]
         return pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
-    for batch in batches:
-        keys = np.concatenate([held_key, batch.column(0).to_numpy()])
-        fps = np.concatenate([held_fp, batch.column(1).to_numpy().view(np.uint64)])
-        if not len(keys):
-            continue
+    for batch in gathered(batches):
+        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
         last = int(np.searchsorted(keys, keys[-1]))
-        held_key, held_fp = keys[last:], fps[last:]
-        if last:
+        if held and (last or keys[0] != held[0][0][0]):
+            # the group that was open ends in this batch: it is put together once
+            stop = int(np.searchsorted(keys, held[0][0][0], "right"))
+            parts = [*held, (keys[:stop], fps[:stop])]
+            a, b = links_of(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            if a:
+                yield out(a, b)
+            held, keys, fps, last = [], keys[stop:], fps[stop:], last - stop
+        if last > 0:
             a, b = links_of(keys[:last], fps[:last])
             if a:
                 yield out(a, b)
-    if len(held_key):
-        a, b = links_of(held_key, held_fp)
+            keys, fps = keys[last:], fps[last:]
+        if len(keys):
+            held.append((keys, fps))
+    if held:
+        a, b = links_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
         if a:
             yield out(a, b)
 
 
 def near_links(classes: DataFrame) -> DataFrame:
     """Spanning links (a, b) among the distinct fingerprints in column fp."""
-    arrow_rows(classes.sparkSession, NUMBER_ROWS)
+    small_batches(classes.sparkSession)
     variants = _variants(classes).repartition("key").sortWithinPartitions("key")
     return variants.mapInArrow(_links, "a long, b long").distinct()
 
@@ -239,13 +257,13 @@ def components_of(prints: DataFrame, links: Callable[[DataFrame], DataFrame] = n
     joined = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     joined = joined.where((F.col("n") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp"))
     joined = keep(joined, "members")
-    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = few(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     return joined.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row of ``docs``."""
-    arrow_rows(docs.sparkSession, TEXT_ROWS)
+    small_batches(docs.sparkSession)
     prints = keep(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "prints")
     found = components_of(prints).select("fp", F.col("component_id").alias("least"), F.lit(True).alias("grouped"))
     return prints.join(found, "fp", "left").select(
@@ -262,10 +280,12 @@ def one_of_each(docs: DataFrame, prints: DataFrame, found: DataFrame) -> DataFra
     """
     mark = fresh(docs, "text_mark")
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    joined = prints.join(found.select("fp", "root"), "fp", "left")
-    grouped = joined.where(F.col("root").isNotNull())
-    best = grouped.groupBy("root").agg(F.min(one).alias("best"))
-    lost = grouped.join(best, "root").where(one != F.col("best")).select("doc_id", "mark").distinct()
+    # the best row of a fingerprint, then of a component: copies meet no other row
+    firsts = prints.groupBy("fp").agg(F.min(one).alias("first")).join(few(found.select("fp", "root"), "found"), "fp")
+    firsts = keep(firsts, "firsts")
+    best = few(firsts.groupBy("root").agg(F.min("first").alias("best")), "best")
+    chosen = few(firsts.join(best, "root").select("fp", "best"), "chosen")
+    lost = prints.join(chosen, "fp").where(one != F.col("best")).select("doc_id", "mark").distinct()
     repeated = prints.groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark")
     kept = docs.withColumn(mark, F.xxhash64("text"))
     lost = keep(lost.select(F.col("doc_id").alias("lost_id"), F.col("mark").alias("lost_mark")), "lost")
@@ -284,9 +304,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     mark = fresh(docs, "text_mark")
     marked = docs.withColumn(mark, F.xxhash64("text"))
-    arrow_rows(docs.sparkSession, TEXT_ROWS)
+    small_batches(docs.sparkSession)
     prints = keep(marked.select("doc_id", F.col(mark).alias("mark"), fingerprint(F.col("text")).alias("fp")), "prints")
     return one_of_each(docs, prints, components_of(prints.select("doc_id", "fp")))
 
 
-__all__ = ["components_of", "drop_near_duplicates", "fingerprint", "fingerprint_of", "simhash_components"]
+__all__ = ["components_of", "drop_near_duplicates", "fingerprint", "fingerprint_from", "fingerprint_of", "shingle_hashes", "simhash_components"]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .byte_bpe import read_ranks, read_vocabulary, text_runs
-from .scratch import TEXT_ROWS, arrow_rows
+from .scratch import small_batches
 
 ROW_LENGTH, BLOCK_TOKENS, PART_CHARS = 2048, 1 << 21, 1 << 18
 SCHEMA = (
@@ -156,7 +156,7 @@ def _packing(vocabulary, pattern: str, length: int) -> Callable:  # noqa: ANN001
 def pack(docs: DataFrame, path: str, pattern: str, length: int = ROW_LENGTH) -> DataFrame:
     """The packed rows of ``docs`` (doc_id, text) under :data:`SCHEMA`."""
     spark = docs.sparkSession
-    arrow_rows(spark, TEXT_ROWS)
+    small_batches(spark)
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(spark, path))
     table = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text")
     return table.mapInArrow(_packing(vocabulary, pattern, length), SCHEMA)

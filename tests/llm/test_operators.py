@@ -116,6 +116,47 @@ def test_language_accuracy_and_edges(spark):
     assert language_id.identify(edges.where("false"), model).count() == 0
 
 
+def test_language_learns_every_label(spark):
+    rows = [(i, f"{chr(0x4E00 + i // 3)}{chr(0x5E00 + i // 3)} " * 8) for i in range(3 * 300)]
+    table = docs(spark, rows).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") / 3).cast("int").cast("string")))
+    assert len(language_id.learn(table.select("lang", "text", F.col("doc_id").alias("key"))).languages) == 300
+
+
+def test_language_by_brute_force():
+    """Weights and scores against a plain dictionary version of the same formulas."""
+    rnd = random.Random(4)
+    texts = [("ab" if k % 2 else "cd") + " " + " ".join(rnd.choice(["abba", "baba"] if k % 2 else ["cddc", "dccd"]) for _ in range(6)) for k in range(40)]
+    rows = [(np.flatnonzero(c), c[np.flatnonzero(c)], k % 2) for k, c in enumerate(map(language_id.gram_counts, texts))]
+    model = language_id.Model(["even", "odd"], np.ones(language_id.FEATURES), np.zeros((language_id.FEATURES, 2), np.float32))
+    language_id.fit_weights(model, rows)
+    z, n = {}, {}
+
+    def weight(i, k):
+        v = z.get((i, k), 0.0)
+        if abs(v) <= language_id.L1:
+            return 0.0
+        return -(v - np.sign(v) * language_id.L1) / ((language_id.BETA + np.sqrt(n.get((i, k), 0.0))) / language_id.ALPHA + language_id.L2)
+
+    random_ = np.random.default_rng(7)
+    for _ in range(language_id.EPOCHS):
+        for r in random_.permutation(len(rows)):
+            index, counts, label = rows[r]
+            x = 1 + np.log(counts)
+            x = x / np.sqrt((x * x).sum())
+            w = {(i, k): weight(i, k) for i in index for k in (0, 1)}
+            logits = [sum(v * w[i, k] for v, i in zip(x, index, strict=True)) for k in (0, 1)]
+            p = np.exp(np.array(logits) - max(logits))
+            p /= p.sum()
+            for v, i in zip(x, index, strict=True):
+                for k in (0, 1):
+                    g = v * (p[k] - (k == label))
+                    old = n.get((i, k), 0.0)
+                    z[i, k] = z.get((i, k), 0.0) + g - (np.sqrt(old + g * g) - np.sqrt(old)) / language_id.ALPHA * w[i, k]
+                    n[i, k] = old + g * g
+    assert all(abs(model.weights[i, k] - weight(i, k)) < 1e-5 for i, k in z)
+    assert [model.predict(t)[0] for t in texts] == ["odd" if k % 2 else "even" for k in range(40)]
+
+
 def test_language_learns_only_from_the_rest(spark):
     import zlib
 
@@ -312,6 +353,45 @@ def test_bpe_equals_tiktoken(spark):
     assert byte_bpe.encode_decode(docs(spark, rows).where("false"), path, pattern).count() == 0
 
 
+def test_bpe_of_long_pieces():
+    path, pattern = vocabulary()
+    with open(path, "rb") as file:
+        made = byte_bpe.Encoder(file.read(), pattern)
+    encoding, rnd = tiktoken_encoding(), random.Random(5)
+    letters = lambda n: "".join(rnd.choice("etaoinshrdlucmfwyp") for _ in range(n))
+    texts = [letters(100_000), letters(1_000_000), "-" * 100_003, "ab" * 30_001, " " * 5000 + "x", "日本語" * 3000, "a" * 97, letters(97), letters(96), " ".join(letters(255) for _ in range(400))]
+    for text, (ids, raw) in zip(texts, made.encode(texts), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == encoding.encode_ordinary(text) and raw == text.encode()
+
+
+def test_bpe_of_a_large_vocabulary():
+    import base64
+
+    import tiktoken
+
+    ranks = {bytes([b]): b for b in range(256)}
+    for i in range(70_000):  # pairs of letters and pairs of those, with ids beyond 16 bits
+        token = bytes([97 + i % 26, 97 + i // 26 % 26, 97 + i // 676 % 26, 97 + i // 17576 % 26])
+        for part in (token[:2], token[2:], token):
+            ranks.setdefault(part, len(ranks))
+    content = b"\n".join(base64.b64encode(t) + b" " + str(r).encode() for t, r in ranks.items())
+    encoding = tiktoken.Encoding("t", pat_str=r"\w+|\W+", mergeable_ranks=ranks, special_tokens={})
+    text = " ".join("".join(random.Random(i).choice("abcdexyz") for _ in range(3 + i % 40)) for i in range(500))
+    ids, raw = byte_bpe.Encoder(content, r"\w+|\W+").encode([text])[0]
+    assert max(ranks.values()) > 1 << 16 and np.frombuffer(ids, np.int32).tolist() == encoding.encode_ordinary(text) and raw == text.encode()
+
+
+def test_sessions_batch_size_is_set_once(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "77")
+        simhash_dedup.simhash_components(docs(spark, [(1, "a b c d")])).count()
+        assert spark.conf.get(setting) == "77"
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_bpe_on_documents(spark, sf_dir):
     encoding = tiktoken_encoding()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
