@@ -208,7 +208,7 @@ ORACLE_SQL: dict[str, str] = {
         ), item AS (
             SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS words
-            FROM benchmark WHERE item_id IS NOT NULL
+            FROM benchmark
         ), item_windows AS (
             SELECT DISTINCT item_id, n, words[i : i + n - 1] AS window_words FROM (
                 SELECT *, unnest(range(1, len(words) - n + 2)) AS i FROM (
@@ -224,7 +224,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT row, count(DISTINCT j) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS j FROM hits) GROUP BY row
         ), hit_items AS (
             SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-            FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM hits) GROUP BY row
+            FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY row
         )
         SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
                coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,

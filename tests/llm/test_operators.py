@@ -275,6 +275,43 @@ def test_decontamination_edges(spark):
     assert decontaminate.decontaminate(docs(spark, rows), bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontamination_by_brute_force(spark):
+    """Random texts over few words, joined with and without broadcasts."""
+    rnd = random.Random(6)
+    make = lambda n: " ".join(rnd.choice("abc") for _ in range(n))
+    items = [(i if i else None, make(rnd.choice([3, 9, 10, 11, 14, 30, 40]))) for i in range(12)] + [(50, "a " * 30)]
+    rows = [(i, make(rnd.choice([0, 4, 9, 10, 60, 200]))) for i in range(40)] + [(90, "a " * 300), (91, "b " + "a " * 10)]
+    want = {}
+    for i, text in rows:
+        words, hit, ids = text.split(), set(), set()
+        for item, other in items:
+            theirs = other.split()
+            n = min(10, len(theirs))
+            windows = {tuple(theirs[k : k + n]) for k in range(len(theirs) - n + 1)}
+            for k in range(len(words) - n + 1):
+                if tuple(words[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+                    ids |= {str(item)} if item is not None else set()
+        want[i] = (len(words), len(hit), sorted(ids))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for bound in (decontaminate.BROADCAST_WINDOWS, -1):
+        was, decontaminate.BROADCAST_WINDOWS = decontaminate.BROADCAST_WINDOWS, bound
+        try:
+            found = decontaminate.decontaminate(docs(spark, rows), bench).collect()
+            assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in found} == want
+        finally:
+            decontaminate.BROADCAST_WINDOWS = was
+
+
+def test_winnowing_keeps_few_fingerprints(spark):
+    text = " ".join(f"w{i}" for i in range(5000))
+    table = decontaminate._hashed(docs(spark, [(1, text)]), "text")
+    places = table.select(F.col("_places").alias("p"), "_grams").first()
+    grams = places["_grams"]
+    want = sorted({max(range(j, j + 6), key=lambda i: (-grams[i], i)) for j in range(len(grams) - 5)})
+    assert places["p"] == want and len(want) < 0.33 * len(grams)
+
+
 # 8
 
 
