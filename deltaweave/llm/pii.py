@@ -1,27 +1,31 @@
 """Information-theoretic sanitisation of personal data.
 
 Protected entities are found by pattern: e-mail addresses, IP addresses, card
-numbers and phone numbers.  A term (a word of three letters or more, in lower
-case) near an entity discloses it as far as seeing the term tells of the
-entity: with N documents and document counts of term, entity and both,
-
-    disclosure = log2(N * both / (term * entity)) / log2(N / entity)
-
-which is 1 when the term occurs with the entity only.  A term that stands
-beside the entity in ``MIN_CONTEXTS`` different contexts or more is generalised
-from ``GENERALISE`` on and removed from ``REMOVE`` on, in the contexts of that
-entity.  Exact copies repeat one context and so do not add up.
-
-Everything is DataFrame operations.  One pass over the texts writes the
-matches with the text around them to a scratch table; offsets are running sums
-within a document.  Term counts take a second pass over all documents, for the
-candidate terms only.  Counts are combined before they are shuffled; the
-candidates are broadcast if they are few by count and joined otherwise.
+numbers and phone numbers.  An entity is a value, and also what many values
+share: the domain of an address, the network of an IP address.  A term (a word
+of three letters or more, in lower case, outside e-mail addresses) discloses an
+entity as far as seeing the term in a text tells of the entity.  There is one
+event for all counts, that a different text holds a thing: with N texts and
+the texts that hold the term, the entity and both,
+
+    disclosure = log2(N * both / (term * entity)) / log2(N / entity) * (1 - 2 ** -both)
+
+The quotient is 1 when the term occurs with the entity only; the last factor
+smooths it, so that chance meetings in few texts weigh little.  Every occurrence
+of a term in the texts of an entity is generalised from ``GENERALISE`` on and
+removed from ``REMOVE`` on.  Exact copies count as one text.
+
+Everything is DataFrame operations.  One pass over the texts writes the matches
+to a scratch table; offsets are running sums within a document.  A second reads
+the terms of texts with an entity that another text has too, a third counts the
+terms of all texts, a last one places disclosing terms.  Counts are combined
+before they are shuffled; tables of a few numbers a text are broadcast if they
+are few by count and joined otherwise.
 
 Defined cases: a null text is an empty one; a null ``doc_id`` stays; repeated
 rows stay repeated; matches that fail their test are dropped without another
-try; a term may lie inside a span of another kind; other columns are ignored;
-an empty table gives an empty result.
+try; a term that overlaps a match is not added; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import fresh, keep
+from .scratch import few, fresh, keep
 
 #: Fixed patterns of the four kinds, in their order.  Repetitions that cannot
 #: give back are possessive, and a run is entered at its start only (or where
@@ -45,22 +49,20 @@ KINDS = list(PATTERNS)
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[WORD]", "remove": ""}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-CONTEXT_CHARS, MIN_CONTEXTS = 80, 3
+LETTERS = 3
 GENERALISE, REMOVE = 0.6, 0.9
 _NOT_LETTERS = r"[^\p{L}]+"
 
 
 def _hits(kind: str, matches: Column, gaps: Column) -> Column:
     def one(match: Column, i: Column) -> Column:
-        before, after = F.get(gaps, i), F.get(gaps, i + 1)
+        before = F.get(gaps, i)
         return F.struct(
             F.lit(kind).alias("kind"),
             i.alias("i"),
             match.alias("value"),
             F.char_length(before).alias("gap"),
             F.octet_length(before).alias("gap_bytes"),
-            F.substring(before, -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"),
-            F.substring(after, 1, CONTEXT_CHARS).alias("after"),
         )
 
     return F.transform(matches, one)
@@ -116,76 +118,64 @@ def _base_spans(matches: DataFrame) -> DataFrame:
     return placed.where(_valid(F.col("kind"), F.col("value")))
 
 
-def _words_at(context: Column, cut_first: Column, cut_last: Column) -> Column:
-    """(term, at, at_byte) of the whole words of a short context."""
-    gaps = F.split(context, r"\p{L}+", -1)
-    words = F.regexp_extract_all(context, F.lit(r"\p{L}+"), F.lit(0))
-
-    def upto(i: Column, size) -> Column:  # noqa: ANN001
-        before = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, x: a + size(x))
-        return F.aggregate(F.slice(words, 1, i), before, lambda a, x: a + size(x))
-
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("word"), upto(i, F.char_length).alias("at"), upto(i, F.octet_length).alias("at_byte")))
-    whole = F.filter(placed, lambda w: ~(cut_first & (w["at"] == 0)) & ~(cut_last & (w["at"] + F.char_length(w["word"]) == F.char_length(context))))
-    return F.filter(whole, lambda w: F.char_length(w["word"]) >= 3)
-
-
-def _near_terms(spans: DataFrame) -> DataFrame:
-    """(row, entity, context, term, start, end, ...) of the words beside entities."""
-    entity = F.concat_ws(":", "kind", F.lower("value"))
-    full = F.lit(CONTEXT_CHARS)
-    sides = spans.select(
-        "row",
-        entity.alias("entity"),
-        F.xxhash64(F.lower("before"), F.lower("after")).alias("context"),
-        F.explode(
-            F.array(
-                F.struct(
-                    F.col("before").alias("text"),
-                    (F.col("start") - F.char_length("before")).alias("base"),
-                    (F.col("start_byte") - F.octet_length("before")).alias("base_byte"),
-                    (F.char_length("before") == full).alias("first"),
-                    F.lit(False).alias("last"),
-                ),
-                F.struct(
-                    F.col("after").alias("text"),
-                    F.col("end").alias("base"),
-                    F.col("end_byte").alias("base_byte"),
-                    F.lit(False).alias("first"),
-                    (F.char_length("after") == full).alias("last"),
-                ),
-            )
-        ).alias("side"),
-    )
-    words = sides.select("row", "entity", "context", "side", F.explode(_words_at(F.col("side.text"), F.col("side.first"), F.col("side.last"))).alias("w"))
-    start, start_byte = F.col("side.base") + F.col("w.at"), F.col("side.base_byte") + F.col("w.at_byte")
-    return words.select(
-        "row",
-        "entity",
-        "context",
-        F.lower("w.word").alias("term"),
-        start.alias("start"),
-        (start + F.char_length("w.word")).alias("end"),
-        start_byte.alias("start_byte"),
-        (start_byte + F.octet_length("w.word")).alias("end_byte"),
+def _entities(spans: DataFrame, matches: DataFrame) -> DataFrame:
+    """(mark, entity) of the values in each text and of what values share."""
+    value = F.lower("value")
+    each = F.array_compact(
+        F.array(
+            F.concat_ws(":", "kind", value),
+            F.when(F.col("kind") == "email", F.concat(F.lit("domain:"), F.substring_index(value, "@", -1))),
+            F.when(F.col("kind") == "ip", F.concat(F.lit("network:"), F.substring_index(value, ".", 2))),
+        )
     )
+    rows = spans.select("row", F.explode(each).alias("entity"))
+    return rows.join(few(matches.where(F.size("hits") > 0).select("row", "mark"), "rows"), "row").select("mark", "entity").distinct()
+
 
+def _terms(text: Column) -> Column:
+    """The different terms of a text."""
+    bare = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, F.lit(PATTERNS["email"]), F.lit(" "))).otherwise(text)
+    return F.filter(F.array_distinct(F.split(F.lower(bare), _NOT_LETTERS)), lambda w: F.char_length(w) >= LETTERS)
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, n_documents: int) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at ``GENERALISE`` or above."""
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("row").alias("both"))
-    pairs = keep(pairs.where(F.col("contexts") >= MIN_CONTEXTS), "pairs")
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), _NOT_LETTERS))).alias("term"))
-    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
-    joined = pairs.join(entities, "entity").join(counted, "term")
-    n = F.lit(float(n_documents))
-    known = F.log2(n / F.col("entity_docs"))
-    told = F.log2(n * F.col("both") / (F.col("term_docs") * F.col("entity_docs")))
-    ratio = F.when(known > 0, told / F.when(known > 0, known))
+
+def disclosing_terms(docs: DataFrame, entities: DataFrame, copies: DataFrame, n_texts: int) -> DataFrame:
+    """(entity, term, disclosure) of the pairs at ``GENERALISE`` or above.
+
+    ``docs`` has (mark, text), ``entities`` (mark, entity) and ``copies`` (mark,
+    rows) of the texts that several rows have.
+    """
+    known = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts"))
+    # a pair of one text alone is smoothed to one half at most
+    known = few(known.where("entity_texts > 1"), "entities")
+    wanted = entities.join(known, "entity").groupBy("mark").agg(F.collect_set("entity").alias("entities"))
+    texts = docs.join(few(wanted, "wanted"), "mark").dropDuplicates(["mark"])
+    met = texts.select(F.explode(_terms(F.col("text"))).alias("term"), "entities").select("term", F.explode("entities").alias("entity"))
+    pairs = keep(met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where("both > 1"), "pairs")
+    # every copy of a text counts by its share, so that the text counts once
+    share = docs.join(few(copies, "copies"), "mark", "left").select((1 / F.coalesce("rows", F.lit(1))).alias("share"), "text")
+    counted = share.select(F.explode(_terms(F.col("text"))).alias("term"), "share").groupBy("term").agg(F.round(F.sum("share")).alias("term_texts"))
+    joined = pairs.join(known, "entity").join(counted, "term")
+    n = F.lit(float(n_texts))
+    most = F.log2(n / F.col("entity_texts"))
+    told = F.log2(n * F.col("both") / (F.col("term_texts") * F.col("entity_texts")))
+    ratio = F.when(most > 0, told / F.when(most > 0, most)) * (1 - F.pow(F.lit(2.0), -F.col("both")))
     return joined.select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
+def _places(texts: DataFrame) -> DataFrame:
+    """(mark, start, end, start_byte, end_byte, kind) of each occurrence of the
+    ``terms`` (map of term to kind) of the different ``texts`` (mark, text, terms)."""
+    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    listed = F.zip_with(words, F.split("text", r"\p{L}+", -1), lambda w, gap: F.struct(w.alias("word"), F.char_length(gap).alias("gap"), F.octet_length(gap).alias("gap_bytes")))
+    rows = texts.select("mark", "terms", F.posexplode(listed).alias("i", "w")).where("w.word is not null")
+    kind = F.element_at("terms", F.lower("w.word"))
+    sized = rows.select("mark", "i", kind.alias("kind"), F.char_length("w.word").alias("n"), F.octet_length("w.word").alias("n_bytes"), "w.gap", "w.gap_bytes")
+    upto = Window.partitionBy("mark").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end, end_byte = F.sum(F.col("gap").cast("long") + F.col("n")).over(upto), F.sum(F.col("gap_bytes").cast("long") + F.col("n_bytes")).over(upto)
+    ends = sized.select("*", end.alias("end"), end_byte.alias("end_byte")).where("kind is not null")
+    return ends.select("mark", (F.col("end") - F.col("n")).alias("start"), "end", (F.col("end_byte") - F.col("n_bytes")).alias("start_byte"), "end_byte", "kind")
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """row, doc_id, mark, base and added spans of every document.
 
@@ -195,19 +185,24 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """
     matches = _matches(docs)
     spans = keep(_base_spans(matches), "spans")
-    near = keep(_near_terms(spans), "near")
     rank = F.array_position(F.array(*map(F.lit, [*KINDS, "generalise", "remove"])), F.col("kind")).cast("int")
     span = F.struct("start", rank.alias("rank"), "kind", "end", "start_byte", "end_byte")
     base = spans.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("base"))
     empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,start_byte:bigint,end_byte:bigint>>")
     found = matches.select("row", "doc_id", "mark").join(base, "row", "left").withColumn("base", F.coalesce("base", empty))
-    telling = keep(disclosing_terms(docs, near, matches.count()), "telling") if near.take(1) else None
+    telling, entities, texts = None, keep(_entities(spans, matches), "entities"), docs.select(F.xxhash64("text").alias("mark"), "text").where("text is not null")
+    if entities.take(1):
+        copies = keep(matches.groupBy("mark").agg(F.count(F.lit(1)).alias("rows")), "copies")
+        telling = keep(disclosing_terms(texts, entities, copies.where("rows > 1"), copies.count()), "telling")
     if telling is None or not telling.take(1):
         return found.withColumn("added", empty)
     kind = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    terms = near.join(telling, ["entity", "term"]).groupBy("row", "start", "end", "start_byte", "end_byte").agg(F.max(kind).alias("kind"))
-    added = terms.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("added"))
-    return found.join(added, "row", "left").withColumn("added", F.coalesce("added", empty))
+    terms = entities.join(few(telling, "told"), "entity").groupBy("mark", "term").agg(F.max(kind).alias("kind"))
+    terms = terms.groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("terms"))
+    placed = _places(texts.join(few(terms, "terms"), "mark").dropDuplicates(["mark"]))
+    placed = keep(placed.groupBy("mark").agg(F.array_sort(F.collect_list(span)).alias("placed")), "placed")
+    apart = F.filter("placed", lambda p: ~F.exists("base", lambda b: (b["start"] < p["end"]) & (b["end"] > p["start"])))
+    return found.join(placed, "mark", "left").select("row", "doc_id", "mark", "base", F.coalesce(apart, empty).alias("added"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

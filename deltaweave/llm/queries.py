@@ -30,6 +30,7 @@ def span_digests(found: DataFrame) -> DataFrame:
         *map(count, pii.KINDS),
         F.sha2(_span_list(F.col("base")), 256).alias("base_sha256"),
         _span_list(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
     )
 
 

@@ -96,6 +96,51 @@ def test_pii_terms_that_disclose_are_added(spark):
     assert clean[0] == "line apple the  wrote from [EMAIL] the apple other" and clean[100] == rows[4][1]
 
 
+def test_pii_terms_by_brute_force(spark):
+    """Disclosure over different texts, for values and what they share."""
+    rnd = random.Random(2)
+    vocabulary_ = [f"{a}{b}word" for a in "abcdefgh" for b in "xyz"]
+    rows = []
+    for i in range(60):
+        words = rnd.sample(vocabulary_, 6)
+        if i % 4 == 0:
+            words += ["Secret", f"u{i % 8}@hidden.org", "secret"]
+        if i % 5 == 0:
+            words += [f"10.7.{i}.1", "Netname"] + (["çedille"] if i % 2 else [])
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [(100, rows[0][1]), (101, rows[4][1]), (102, None), (103, "")]
+    texts = sorted({t for _, t in rows if t is not None} | {None}, key=str)
+    held, terms = {}, {}
+    for t in texts:
+        plain_ = re.sub(BASE["email"], " ", t or "")
+        terms[t] = {w for w in re.findall(r"[^\W\d_]+", plain_.lower()) if len(w) >= 3}
+        held[t] = set()
+        for m in re.finditer(BASE["email"], t or ""):
+            held[t] |= {f"email:{m.group().lower()}", "domain:" + m.group().lower().rsplit("@")[-1]}
+        for m in re.finditer(BASE["ip"], t or ""):
+            held[t] |= {f"ip:{m.group()}", "network:" + ".".join(m.group().split(".")[:2])}
+    n = len(texts)
+    kinds = {}
+    for e in set().union(*held.values()):
+        of = [t for t in texts if e in held[t]]
+        for w in set().union(*(terms[t] for t in of)):
+            both, term = sum(w in terms[t] for t in of), sum(w in terms[t] for t in texts)
+            value = np.log2(n * both / (term * len(of))) / np.log2(n / len(of)) * (1 - 2.0**-both)
+            if value >= pii.GENERALISE:
+                kinds[e, w] = "remove" if value >= pii.REMOVE else "generalise"
+    assert any(v == "generalise" for v in kinds.values()) and any(v == "remove" for v in kinds.values())
+    for r in pii.find_pii(docs(spark, rows)).collect():
+        text = dict(rows)[r["doc_id"]]
+        base = [(s["start"], s["end"]) for s in r["base"]]
+        want = []
+        for m in re.finditer(r"[^\W\d_]+", text or ""):
+            found = {kinds[e, m.group().lower()] for e in held[text] if (e, m.group().lower()) in kinds}
+            if found and not any(a < m.end() and b > m.start() for a, b in base):
+                want.append((m.start(), m.end(), max(found)))
+        assert [(s["start"], s["end"], s["kind"]) for s in r["added"]] == want
+
+
 def test_pii_empty(spark):
     assert pii.find_pii(docs(spark, [(1, "x")]).where("false")).count() == 0
 
