@@ -191,7 +191,9 @@ ORACLE_SQL: dict[str, str] = {
             SELECT l.source, list(line) AS lines FROM (
                 SELECT source, line, count(*) AS pages FROM lines GROUP BY source, line
             ) AS l JOIN totals AS t ON l.source = t.source
-            WHERE pages >= {line_dedup.MIN_PAGES} AND pages > {line_dedup.RATIO} * total GROUP BY l.source
+            WHERE pages >= {line_dedup.MIN_PAGES}
+              AND pages > CASE WHEN length(line) < {line_dedup.SHORT_CHARS} THEN {line_dedup.SHORT_RATIO} ELSE {line_dedup.RATIO} END * total
+            GROUP BY l.source
         ), left_lines AS (
             SELECT doc_id, d.source, text, list_filter(string_split(text, chr(10)),
                        lambda x: trim(x) = '' OR NOT list_contains(lines, trim(x))) AS lines, bad.lines IS NULL AS same

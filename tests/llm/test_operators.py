@@ -244,6 +244,17 @@ def test_line_dedup_edges(spark):
     assert line_dedup.drop_boilerplate(pages.where("false"), F.col("source")).count() == 0
 
 
+def test_line_dedup_in_a_large_host(spark):
+    """A line on a few percent of a host goes, chance repeats and short lines stay."""
+    long = "word " * 40_000
+    rows = [(i, f"own line number {i}" + ("\nsubscribe to our letter" if i % 33 == 0 else "") + ("\nseen by mere chance" if i % 100 == 0 else "") + ("\nOK." if i % 20 == 0 else ""), "hot") for i in range(2000)]
+    rows += [(5000, f"{long}\nsubscribe to our letter\n{long}", "hot"), (5001, "subscribe to our letter", "other"), (5001, "subscribe to our letter", "other")]
+    got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(docs(spark, rows), F.col("source")).collect()}
+    assert got[0]["text"] == "own line number 0\nseen by mere chance\nOK." and got[33]["text"] == "own line number 33"
+    assert got[5000]["text"] == f"{long}\n{long}" and got[5001]["text"] == "subscribe to our letter"
+    assert sum(r["dropped_lines"] for r in got.values()) == 61 + 1
+
+
 # 5
 
 
