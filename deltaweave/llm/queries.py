@@ -59,6 +59,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"), labels)
 
 
+def url_rules_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter of op5 with labels that URLs explain, so that rules are mined."""
+    pages, url = _table(spark, sf_dir, "pages"), F.col("url")
+    has = lambda part: F.contains(url, F.lit(part))
+    bad = has("/es/") | (has("//m.") & has("/en/"))
+    return url_rules.judge(pages, pages.where("url is not null").select("page_id", bad.alias("bad")))
+
+
 def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every vector whose id is divisible by 100."""
     vectors = ann_search.usable(_table(spark, sf_dir, "embeddings"))
@@ -115,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_license_scan,
         op4_line_dedup,
         op5_url_filter,
+        url_rules_mined,
         op6_ann_search,
         op7_benchmark_decontamination,
         op8_token_packing,
@@ -132,26 +141,12 @@ _RULE_CASES = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND star
 _VERDICTS = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in _EXPLICIT)
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-ORACLE_SQL: dict[str, str] = {
-    "op3_license_scan": f"""
-        WITH templates(template, line) AS (VALUES {_TEMPLATES}), template_words AS (
-            SELECT template, {_LICENSE_WORDS} AS w FROM templates
-        ), template_pairs AS (SELECT template, {_LICENSE_PAIRS} AS t FROM template_words),
-        lines AS (
-            SELECT row, doc_id, unnest(range(0, len(lines))) AS unit, unnest(lines) AS line
-            FROM (SELECT row_number() OVER () AS row, doc_id, string_split(text, chr(10)) AS lines FROM documents)
-        ), line_words AS (SELECT row, doc_id, unit, {_LICENSE_WORDS} AS w FROM lines),
-        line_pairs AS (SELECT row, doc_id, unit, {_LICENSE_PAIRS} AS p FROM line_words WHERE len(w) > 1),
-        scored AS (
-            SELECT row, doc_id, unit, template, 2 * len(list_intersect(p, t)) / (len(p) + len(t)) AS dice
-            FROM line_pairs, template_pairs WHERE list_has_any(p, t)
-        ), best AS (
-            SELECT row, doc_id, unit, arg_min(template, (-dice, template)) AS template, max(dice) AS dice
-            FROM scored WHERE dice >= {license_scan.THRESHOLD} GROUP BY row, doc_id, unit
-        )
-        SELECT doc_id, list_sort(list(DISTINCT template)) AS licenses, count(*) AS n_lines, max(dice)::DOUBLE AS best_dice
-        FROM best GROUP BY row, doc_id""",
-    "op5_url_filter": f"""
+
+
+def _judged(label: str) -> str:
+    """The SQL of a URL filter whose labels a query gives: every set of tokens of
+    a page is tried as a rule."""
+    return f"""
         WITH hosts AS (
             SELECT row_number() OVER () AS row, page_id, coalesce(url, '') AS url,
                    {_LOWER.format("coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '')")} AS host,
@@ -163,15 +158,11 @@ ORACLE_SQL: dict[str, str] = {
                 || list_transform(list_filter(string_split(path, '/'), lambda x: x <> '' AND NOT regexp_matches(x, '[0-9]')), lambda x: 'path:' || lower(x))
                 || list_transform(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'query:' || split_part(x, '=', 1))
             )) AS tokens FROM hosts
-        ), label AS (
-            SELECT doc_id AS page_id, max(coalesce(toxic = 1, FALSE)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
-        ), baskets AS (
+        ), label AS ({label}), baskets AS (
             SELECT row, tokens, bad FROM parsed JOIN label USING (page_id) WHERE len(tokens) > 0 OR bad
         ), subsets AS (
-            SELECT row, list_sort(list_distinct([tokens[i], tokens[j], tokens[k]])) AS subset
-            FROM (SELECT *, unnest(range(j, len(tokens) + 1)) AS k FROM (
-                SELECT *, unnest(range(i, len(tokens) + 1)) AS j FROM (SELECT row, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM parsed)))
-            GROUP BY ALL
+            SELECT row, list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS subset
+            FROM (SELECT row, tokens, unnest(range(1, (1::BIGINT << len(tokens)))) AS mask FROM parsed)
         ), rules AS (
             SELECT subset FROM subsets JOIN baskets USING (row) GROUP BY subset
             HAVING count(*) FILTER (bad) >= (SELECT greatest(ceil({url_rules.MIN_SUPPORT} * count(*)), {url_rules.MIN_COUNT}) FROM baskets)
@@ -179,7 +170,35 @@ ORACLE_SQL: dict[str, str] = {
         ), hit AS (SELECT DISTINCT row FROM subsets JOIN rules USING (subset)),
         judged AS (SELECT row, page_id, host, path, CASE {_RULE_CASES} END AS rule FROM parsed)
         SELECT page_id, host, path, rule, CASE rule {_VERDICTS} ELSE CASE WHEN hit.row IS NULL THEN 'allow' ELSE 'block' END END AS verdict
-        FROM judged LEFT JOIN hit ON judged.row = hit.row""",
+        FROM judged LEFT JOIN hit ON judged.row = hit.row"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": f"""
+        WITH templates(template, line) AS (VALUES {_TEMPLATES}), template_words AS (
+            SELECT template, {_LICENSE_WORDS} AS w FROM templates
+        ), template_pairs AS (SELECT template, {_LICENSE_PAIRS} AS t FROM template_words),
+        lines AS (
+            SELECT row, doc_id, unnest(range(0, len(lines))) AS unit, unnest(lines) AS line
+            FROM (SELECT row_number() OVER () AS row, doc_id, string_split(text, chr(10)) AS lines FROM documents)
+        ), line_words AS (SELECT row, doc_id, unit, {_LICENSE_WORDS} AS w FROM lines),
+        line_pairs AS (SELECT row, doc_id, unit, {_LICENSE_PAIRS} AS p FROM line_words WHERE len(w) > 1),
+        scored AS (
+            SELECT row, doc_id, unit, template, 2 * len(list_intersect(p, t)) / (len(p) + len(t)) AS dice
+            FROM line_pairs, template_pairs WHERE list_has_any(p, t)
+        ), best AS (
+            SELECT row, doc_id, unit, arg_min(template, (-dice, template)) AS template, max(dice) AS dice
+            FROM scored WHERE dice >= {license_scan.THRESHOLD} GROUP BY row, doc_id, unit
+        )
+        SELECT doc_id, list_sort(list(DISTINCT template)) AS licenses, count(*) AS n_lines, max(dice)::DOUBLE AS best_dice
+        FROM best GROUP BY row, doc_id""",
+    "op5_url_filter": _judged(
+        """SELECT doc_id AS page_id, max(coalesce(toxic = 1, FALSE)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id"""
+    ),
+    "url_rules_mined": _judged(
+        """SELECT page_id, max(contains(url, '/es/') OR contains(url, '//m.') AND contains(url, '/en/')) AS bad
+            FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL GROUP BY page_id"""
+    ),
     "op4_line_dedup": f"""
         WITH lines AS (
             SELECT row, source, text, unnest(list_distinct(list_filter(list_transform(

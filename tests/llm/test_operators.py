@@ -280,6 +280,27 @@ def test_url_rules_are_mined(spark):
     assert got[500] == "block" and got[501] == "allow" and all(got[i] == "block" for i, _ in bad) and all(got[i] == "allow" for i, _ in good)
 
 
+def test_url_rules_of_any_length(spark, duck):
+    """Only four tokens together condemn a page; many tokens say the same."""
+    import itertools
+
+    urls = ["x://site/" + "/".join(p for p, on in zip("abcd", bits, strict=True) if on) for bits in itertools.product([0, 1], repeat=4) for _ in range(12)]
+    wide = ["x://wide/" + "/".join(f"t{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))] * 30
+    pages = spark.createDataFrame(list(enumerate(urls + wide + ["x://wide/taa", "x://other/d/c/b/a", "x://site/a/b/c/d", "x://site/a/b/c/d"])), "page_id long, url string")
+    labels = spark.createDataFrame([(i, u.endswith("a/b/c/d") or "wide" in u) for i, u in enumerate(urls + wide)], "page_id long, bad boolean")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labels).collect()}
+    n = len(urls) + len(wide)
+    assert all((got[i] == "block") == (u.endswith("a/b/c/d") or "wide" in u) for i, u in enumerate(urls + wide))
+    assert [got[n + k] for k in range(4)] == ["block", "block", "block", "block"]
+    none = pages.where("false")
+    assert url_rules.judge(none, labels).count() == 0 and url_rules.judge(pages.unionByName(pages), labels).count() == 2 * (n + 4)
+
+
+def test_url_rules_fire(spark, sf_dir):
+    found = queries.url_rules_mined(spark, "/root/testdata/sf0.01").where("rule is null").groupBy("verdict").count().collect()
+    assert {r["verdict"] for r in found} == {"allow", "block"}
+
+
 # 6
 
 
