@@ -18,11 +18,15 @@ hot by copies is just more blocks.
 Only the sample (``SAMPLE`` vectors), its centroids and graph are collected and
 broadcast; their size does not grow with the table.
 
+The lists grow with the vectors up to ``MOST_LISTS``; beyond some half a million
+vectors they grow longer instead, and a query reads more vectors in proportion.
+
 Defined cases: vectors that are null, zero or hold null or non-finite
-components take no part, nor do those without an id or with another length
-than most (the shorter length on a tie); of a repeated id every copy but the
-query's own id is a candidate, reported once by its nearest copy; equal
-distances are ordered by id; an empty table gives an empty result.
+components take no part, nor do those without an id; vectors of each length are
+searched apart, as there is no distance between two lengths; every row but the
+query's own is a candidate, so repeated ids and rows have places of their own,
+and a repeated query has its ranks for each row; equal distances are ordered by
+id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import keep, leaving_nothing
 
 SAMPLE, MOST_LISTS, LIST_SIZE = 32_768, 4096, 128
 NEIGHBOURS, BEAM, BEAM_SHARE, STEPS = 16, 96, 4, 6
@@ -42,6 +46,7 @@ COPY_RATIO, MOST_COPIES, READ_RATIO, LEAST_FOUND = 1.15, 4, 1.4, 256
 BLOCK = 4096
 #: Rounds that move centroids to their members; distance added for a full list.
 ROUNDS, CROWDING = 6, 0.05
+_STRIP = 1024
 
 
 def _halve(points: np.ndarray, rows: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +71,10 @@ def balanced_centroids(points: np.ndarray, lists: int, seed: int = 11) -> np.nda
     centroids = np.array([points[leaf].mean(0) for leaf in leaves])
     size, mean = np.full(len(centroids), len(points) / len(centroids)), len(points) / len(centroids)
     for _ in range(ROUNDS if len(centroids) > 1 else 0):
-        apart = _squares(points, centroids)
-        side = np.argmin(apart + CROWDING * apart.mean() * np.maximum(size / mean - 1, 0), axis=1)
+        apart = (points * points).sum(1).mean() + (centroids * centroids).sum(1).mean() - 2 * points.mean(0) @ centroids.mean(0)
+        crowded = CROWDING * apart * np.maximum(size / mean - 1, 0)
+        # a strip of points at a time: all distances together would fill the driver
+        side = np.concatenate([np.argmin(_squares(points[i : i + _STRIP], centroids) + crowded, axis=1) for i in range(0, len(points), _STRIP)])
         size = np.bincount(side, minlength=len(centroids)).astype(float)
         for c in np.flatnonzero(size):
             centroids[c] = points[side == c].mean(0)
@@ -135,13 +142,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v) of the vectors that take part."""
+    """(row, vec_id, v) of the vectors that take part, rows numbered in scratch."""
     wrong = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(embedding, lambda x: x != 0)
     rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).where(~wrong & some)
-    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"))
-    usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (usual["n"] if usual else 0))
+    return keep(rows.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v")), "vectors")
 
 
 def _posting(shared) -> Callable:  # noqa: ANN001
@@ -149,8 +154,8 @@ def _posting(shared) -> Callable:  # noqa: ANN001
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows, lists = map(pa.array, shared.value.copies(_matrix(part.column(1))))
-                yield pa.RecordBatch.from_arrays([lists.cast(pa.int32()), part.column(0).take(rows), part.column(1).take(rows)], ["list", "vec_id", "v"])
+                rows, lists = map(pa.array, shared.value.copies(_matrix(part.column(2))))
+                yield pa.RecordBatch.from_arrays([lists.cast(pa.int32()), *(part.column(c).take(rows) for c in range(3))], ["list", "row", "vec_id", "v"])
 
     return run
 
@@ -160,34 +165,33 @@ def _probing(shared, sizes: np.ndarray) -> Callable:  # noqa: ANN001
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                lists, d = shared.value.search(_matrix(part.column(1)))
+                lists, d = shared.value.search(_matrix(part.column(2)))
                 before = np.cumsum(sizes[lists], axis=1) - sizes[lists]
                 read = np.isfinite(d) & ((d <= READ_RATIO * d[:, :1]) | (before < LEAST_FOUND))
                 rows, place = np.nonzero(read)
-                yield pa.RecordBatch.from_arrays([pa.array(lists[rows, place], pa.int32()), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], ["list", "query_id", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists[rows, place], pa.int32()), *(part.column(c).take(pa.array(rows)) for c in range(3))], ["list", "query_row", "query_id", "q"])
 
     return run
 
 
 def _best_of_blocks(k: int) -> Callable:
     def run(postings: pa.Table, queries: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"query_row": [], "query_id": [], "row": [], "vec_id": [], "score": []}
         if postings.num_rows and queries.num_rows:
-            ids = postings.column("vec_id").to_numpy()
+            rows, ids = (postings.column(c).to_numpy() for c in ("row", "vec_id"))
             v, q = _matrix(postings.column("v").combine_chunks()), _matrix(queries.column("q").combine_chunks())
-            for query, x in zip(queries.column("query_id").to_pylist(), q, strict=True):
+            for row, query, x in zip(queries.column("query_row").to_pylist(), queries.column("query_id").to_pylist(), q, strict=True):
                 d = np.sqrt(((v - x) ** 2).sum(1))
-                d[ids == query] = np.inf
-                if len(d) > 4 * k:
-                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                else:
-                    near = np.arange(len(d))
-                best = near[np.lexsort((ids[near], d[near]))][:k]
+                d[rows == row] = np.inf
+                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > 4 * k else np.arange(len(d))
+                best = near[np.lexsort((rows[near], ids[near], d[near]))][:k]
                 best = best[np.isfinite(d[best])]
+                out["query_row"] += [row] * len(best)
                 out["query_id"] += [query] * len(best)
+                out["row"] += rows[best].tolist()
                 out["vec_id"] += ids[best].tolist()
                 out["score"] += d[best].tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+        return pa.table({c: pa.array(x, pa.float64() if c == "score" else pa.int64()) for c, x in out.items()})
 
     return run
 
@@ -195,17 +199,25 @@ def _best_of_blocks(k: int) -> Callable:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found of each query.
 
-    Both tables are those of :func:`usable`; a query is no candidate of its own.
+    Both tables are those of :func:`usable`; a query's row is no candidate of its own.
     """
+    out, first = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double"), True
+    for length in sorted(r[0] for r in vectors.select(F.size("v")).distinct().collect()):
+        same = F.size("v") == length
+        found = _search(vectors.where(same), queries.where(same), k)
+        out = found if first else out.unionByName(found)
+        first = False
+    return out
+
+
+def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """:func:`nearest` of vectors of one length; there are some."""
     spark = vectors.sparkSession
-    vectors = keep(vectors, "vectors")
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    if not sample.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).select("v").toArrow()
     lists = min(MOST_LISTS, max(1, vectors.count() // LIST_SIZE), max(1, sample.num_rows // 8))
     shared = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(_matrix(sample.column("v").combine_chunks()), lists)))
     kind = vectors.schema["v"].dataType.simpleString()
-    postings = keep(vectors.mapInArrow(_posting(shared), f"list int, vec_id long, v {kind}"), "postings")
+    postings = keep(vectors.select("row", "vec_id", "v").mapInArrow(leaving_nothing(_posting(shared)), f"list int, row long, vec_id long, v {kind}"), "postings")
     n_lists = len(shared.value.centroids)
 
     def counts(table: DataFrame) -> np.ndarray:
@@ -215,7 +227,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return out
 
     sizes = counts(postings)
-    probes = queries.select("vec_id", "v").mapInArrow(_probing(shared, sizes), f"list int, query_id long, q {kind}")
+    probes = queries.select("row", "vec_id", "v").mapInArrow(leaving_nothing(_probing(shared, sizes)), f"list int, query_row long, query_id long, q {kind}")
     probes = keep(probes, "probes")
     table = spark.createDataFrame(
         [(i, max(1, -(-int(a) // BLOCK)), max(1, -(-int(b) // BLOCK))) for i, (a, b) in enumerate(zip(sizes, counts(probes), strict=True))],
@@ -223,10 +235,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     )
     known = F.broadcast(table)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = postings.join(known, "list").select("list", F.pmod(F.xxhash64("vec_id"), "v_blocks").cast("int").alias("v_block"), each("q_blocks").alias("q_block"), "vec_id", "v")
-    right = probes.join(known, "list").select("list", F.pmod(F.xxhash64("query_id"), "q_blocks").cast("int").alias("q_block"), each("v_blocks").alias("v_block"), "query_id", "q")
+    left = postings.join(known, "list").select("list", F.pmod(F.xxhash64("row"), "v_blocks").cast("int").alias("v_block"), each("q_blocks").alias("q_block"), "row", "vec_id", "v")
+    right = probes.join(known, "list").select("list", F.pmod(F.xxhash64("query_row"), "q_blocks").cast("int").alias("q_block"), each("v_blocks").alias("v_block"), "query_row", "query_id", "q")
     keys = ("list", "v_block", "q_block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best_of_blocks(k), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    schema = "query_row long, query_id long, row long, vec_id long, score double"
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best_of_blocks(k), schema)
+    found = found.dropDuplicates(["query_row", "row"])
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -330,6 +330,39 @@ def test_ann_recall_and_edges(spark):
     assert ann_search.nearest(few.where("false"), few.where("false")).count() == 0
 
 
+def test_ann_rows_and_lengths(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.5]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (200, [1.0, 2.0, 3.0]), (8, [1.0, 2.0, 4.0]), (9, [5.0])]
+    table = ann_search.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("ROW", F.lit(1)))
+    got = sorted(tuple(r) for r in ann_search.nearest(table, table.where("vec_id % 100 = 0")).collect())
+    assert got == [(100, 1, 7, 0.0), (100, 1, 7, 0.5), (100, 2, 7, 0.0), (100, 2, 7, 0.5), (100, 3, 100, 0.5), (100, 3, 100, 0.5), (200, 1, 8, 1.0)]
+
+
+def test_ann_recall_on_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    found = {}
+    for r in queries.op6_ann_search(spark, "/root/testdata/sf0.01").collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    rows = table.select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    hits = 0
+    for q, got in found.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hits += len(got & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hits >= 0.9 * 10 * len(found)
+
+
+def test_ann_fits_in_strips():
+    import tracemalloc
+
+    x = np.random.default_rng(3).normal(size=(8192, 64))
+    tracemalloc.start()
+    centroids = ann_search.balanced_centroids(x, 1024)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(centroids) >= 1000 and peak < 100e6
+
+
 # 7
 
 
