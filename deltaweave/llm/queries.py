@@ -133,7 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _LICENSE_WORDS = f"string_split_regex(trim(regexp_replace(regexp_replace(lower(line), '{license_scan.NOT_WORDS}', ' ', 'g'), '{license_scan.FINAL_DOTS}', ' ', 'g')), ' +')"
-_LICENSE_PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+_LICENSE_PAIRS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+_LEAST, _MOST = license_scan.THRESHOLD / (2 - license_scan.THRESHOLD), (2 - license_scan.THRESHOLD) / license_scan.THRESHOLD
 _TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in license_scan.TEMPLATES.items())
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _EXPLICIT = sorted(url_rules.RULES, key=lambda r: -len(r[1] + r[2]))
@@ -177,21 +178,41 @@ ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": f"""
         WITH templates(template, line) AS (VALUES {_TEMPLATES}), template_words AS (
             SELECT template, {_LICENSE_WORDS} AS w FROM templates
-        ), template_pairs AS (SELECT template, {_LICENSE_PAIRS} AS t FROM template_words),
-        lines AS (
-            SELECT row, doc_id, unnest(range(0, len(lines))) AS unit, unnest(lines) AS line
-            FROM (SELECT row_number() OVER () AS row, doc_id, string_split(text, chr(10)) AS lines FROM documents)
-        ), line_words AS (SELECT row, doc_id, unit, {_LICENSE_WORDS} AS w FROM lines),
-        line_pairs AS (SELECT row, doc_id, unit, {_LICENSE_PAIRS} AS p FROM line_words WHERE len(w) > 1),
-        scored AS (
-            SELECT row, doc_id, unit, template, 2 * len(list_intersect(p, t)) / (len(p) + len(t)) AS dice
-            FROM line_pairs, template_pairs WHERE list_has_any(p, t)
+        ), template_sets AS (SELECT template, list_distinct({_LICENSE_PAIRS}) AS t FROM template_words),
+        template_pairs AS (SELECT template, len(t) AS size, unnest(t) AS pair FROM template_sets),
+        segments AS (
+            SELECT row, unnest(range(0, len(segments))) AS segment, unnest(segments) AS line FROM (
+                SELECT row_number() OVER () AS row, string_split(regexp_replace(text, '{license_scan.SEGMENT_END}', '\\1' || chr(10), 'g'), chr(10)) AS segments FROM documents)
+        ), words AS (
+            SELECT row, segment, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM (SELECT row, segment, {_LICENSE_WORDS} AS w FROM segments)
+        ), numbered AS (SELECT row, segment, word, row_number() OVER (PARTITION BY row ORDER BY segment, i) AS k FROM words WHERE word <> ''),
+        pairs AS (
+            SELECT a.row, a.k, a.word || ' ' || b.word AS pair, a.segment AS a, b.segment AS b FROM numbered AS a JOIN numbered AS b ON a.row = b.row AND b.k = a.k + 1
+        ), hits AS (SELECT row, k, template, size, pair, a, b FROM pairs JOIN template_pairs USING (pair)),
+        enough AS (
+            SELECT row, template, size FROM hits GROUP BY ALL HAVING count(DISTINCT pair) >= size * {_LEAST} - 1e-9
+        ), bounds AS (SELECT row, segment, min(k) AS first_k, max(k) AS last_k FROM numbered GROUP BY ALL),
+        units AS (
+            SELECT u.row, u.template, u.size, u.unit, u.last, f.first_k, l.last_k - f.first_k AS n_pairs FROM (
+                SELECT DISTINCT row, template, size, x.a AS unit, y.b AS last FROM enough JOIN hits AS x USING (row, template, size) JOIN hits AS y USING (row, template, size) WHERE y.b >= x.a
+            ) AS u JOIN bounds AS f ON u.row = f.row AND u.unit = f.segment JOIN bounds AS l ON u.row = l.row AND u.last = l.segment
+            WHERE l.last_k - f.first_k >= u.size * {_LEAST} - 1e-9 AND l.last_k - f.first_k <= u.size * {_MOST} + 1e-9
+        ), shared AS (
+            SELECT u.row, u.template, unit, last, count(DISTINCT h.pair) AS shared FROM units AS u JOIN hits AS h ON u.row = h.row AND u.template = h.template AND h.a >= unit AND h.b <= last GROUP BY ALL
+        ), sizes AS (
+            SELECT u.row, unit, last, count(DISTINCT pair) AS n FROM (SELECT DISTINCT row, unit, last, first_k, n_pairs FROM units) AS u
+            JOIN pairs AS p ON u.row = p.row AND p.k >= first_k AND p.k < first_k + n_pairs GROUP BY ALL
+        ), scored AS (
+            SELECT u.row, u.unit, u.last, n_pairs, u.template, 2 * shared / (n + size) AS dice FROM units AS u
+            JOIN shared AS s ON u.row = s.row AND u.template = s.template AND u.unit = s.unit AND u.last = s.last
+            JOIN sizes AS z ON u.row = z.row AND u.unit = z.unit AND u.last = z.last
         ), best AS (
-            SELECT row, doc_id, unit, arg_min(template, (-dice, template)) AS template, max(dice) AS dice
-            FROM scored WHERE dice >= {license_scan.THRESHOLD} GROUP BY row, doc_id, unit
-        )
-        SELECT doc_id, list_sort(list(DISTINCT template)) AS licenses, count(*) AS n_lines, max(dice)::DOUBLE AS best_dice
-        FROM best GROUP BY row, doc_id""",
+            SELECT *, row_number() OVER (ORDER BY dice DESC, n_pairs DESC, unit, last, template) AS place FROM (
+                SELECT *, row_number() OVER (PARTITION BY row, unit, last ORDER BY dice DESC, template) AS nth FROM scored WHERE dice >= {license_scan.THRESHOLD}) WHERE nth = 1
+        ), tops AS (SELECT row, segment, min(place) AS place FROM (SELECT row, place, unnest(range(unit, last + 1)) AS segment FROM best) GROUP BY ALL),
+        won AS (SELECT b.* FROM best AS b JOIN (SELECT place, count(*) AS n FROM tops GROUP BY place) AS t ON b.place = t.place AND t.n = last - unit + 1)
+        SELECT any_value(doc_id) AS doc_id, list_sort(list(DISTINCT template)) AS licenses, count(*) AS n_lines, max(dice)::DOUBLE AS best_dice
+        FROM won JOIN (SELECT row_number() OVER () AS row, doc_id FROM documents) USING (row) GROUP BY row""",
     "op5_url_filter": _judged(
         """SELECT doc_id AS page_id, max(coalesce(toxic = 1, FALSE)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id"""
     ),

@@ -225,6 +225,28 @@ def test_license_scan(spark):
     assert license_scan.license_of(docs(spark, rows).where("false")).count() == 0
 
 
+def test_license_scan_over_lines(spark):
+    """Wrapped, commented and re-flowed notices, and notices beside other words."""
+    import textwrap
+
+    rows, want = [], {}
+    for k, (name, text) in enumerate(sorted(license_scan.TEMPLATES.items())):
+        for w, width in enumerate((30, 72, 100, 10_000)):
+            wrapped = "\n".join(f"{'# ' if w % 2 else ''}{line}" for line in textwrap.wrap(text, width))
+            rows.append((100 * k + w, f"First a line of code.\n{wrapped}\nAnd then more of it, at some length.\n" * (1 + (k == 3))))
+            want[100 * k + w] = [name]
+    rows += [(9000, "Released under the MIT License, see the file named COPYING."), (9001, "a word " * 20_000 + "\nReleased under the\nMIT License.\n" + "b word " * 20_000), (9002, "The software license of this work is not stated."), (9003, None)]
+    want |= {9000: ["MIT"], 9001: ["MIT"]}
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.license_of(docs(spark, rows)).collect()}
+    assert got == want
+
+
+def test_license_ties_name_the_first(spark):
+    two = {"b": "alpha beta gamma delta epsilon one", "a": "alpha beta gamma delta epsilon two"}
+    found = license_scan.license_of(docs(spark, [(1, "alpha beta gamma delta epsilon"), (1, "alpha beta gamma delta epsilon"), (2, "alpha beta gamma delta epsilon one")]), two).collect()
+    assert sorted((r["doc_id"], r["licenses"]) for r in found) == [(1, ["a"]), (1, ["a"]), (2, ["b"])]
+
+
 # 4
 
 
