@@ -167,69 +167,102 @@ def signature_covers(indexes: list[int], keys: np.ndarray, strong: list[str], ol
     return [c for c in covers if c[2] >= least and c[0] + c[2] <= old_size]
 
 
-def suffix_order(data: np.ndarray) -> np.ndarray:
-    """The suffix array by prefix doubling."""
+def suffix_ranks(data: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The suffix array by prefix doubling, and the ranks by the first 2**k bytes
+    for k = 0, 1, ...: equal ranks are equal beginnings.
+
+    Memory is four bytes a byte and doubling, of which there are as many as the
+    longest repeat needs.
+    """
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64)
-    rank, width = data.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+        return np.zeros(0, np.int64), []
+    rank = np.unique(data, return_inverse=True)[1].astype(np.int64)
+    levels, width = [], 1
     while True:
-        second = np.full(n, -1, np.int64)
-        second[: max(n - width, 0)] = rank[width:]
-        order = np.lexsort((second, rank))
-        changed = (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])
+        levels.append(rank.astype(np.int32))
+        second = np.zeros(n, np.int64)
+        second[: max(n - width, 0)] = rank[width:] + 1
+        key = rank * (n + 1) + second
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
         fresh = np.empty(n, np.int64)
-        fresh[order] = np.r_[0, np.cumsum(changed)]
+        fresh[order] = np.r_[0, np.cumsum(ranked[1:] != ranked[:-1])]
         rank = fresh
         if rank[order[-1]] == n - 1 or width >= n:
-            return order
+            return order, levels
         width *= 2
 
 
-def _longest_at(old: bytes, order: np.ndarray, new: bytes, at: int, old_array: np.ndarray, new_array: np.ndarray) -> tuple[int, int]:
-    """(length, old_pos) of the longest match of new[at:] by binary search."""
-    low, high = 0, len(order)
-    probe = new[at : at + 64]
-    while low < high:
-        mid = (low + high) // 2
-        i = int(order[mid])
-        if old[i : i + 64] < probe or old[i : i + 64] == probe and old[i:] < new[at:]:
-            low = mid + 1
-        else:
-            high = mid
-    best = (0, 0)
-    for k in (low - 1, low, low + 1, low - 2):
-        if 0 <= k < len(order):
-            i = int(order[k])
-            length = common_prefix(old_array[i:], new_array[at:])
-            if length > best[0]:
-                best = (length, i)
-    return best
+def suffix_order(data: np.ndarray) -> np.ndarray:
+    """The suffix array by prefix doubling."""
+    return suffix_ranks(data)[0]
+
+
+def longest_matches(old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(length, old_pos) of the longest match in ``old`` at every place of ``new``.
+
+    In the suffix array of both, the longest match of a new suffix is with one of
+    the old suffixes nearest to it on either side; their common beginnings come
+    from the ranks of the doublings, the widest first, for all places at once.
+    """
+    n, m = len(old), len(new)
+    if not n or not m:
+        return np.zeros(m, np.int64), np.zeros(m, np.int64)
+    # a letter of its own between the two, so that no match runs out of old
+    both = np.concatenate([old.astype(np.int16), np.array([256], np.int16), new.astype(np.int16)])
+    order, levels = suffix_ranks(both)
+    place = np.arange(len(order))
+    is_old = order < n
+    before = np.maximum.accumulate(np.where(is_old, place, -1))
+    after = np.minimum.accumulate(np.where(is_old, place, len(order))[::-1])[::-1]
+    at = np.flatnonzero(order > n)
+    start = order[at]
+    length, source = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    for near in (before[at], after[at]):
+        some = (near >= 0) & (near < len(order))
+        i, j = order[np.clip(near, 0, len(order) - 1)], start.copy()
+        found = np.zeros(len(at), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            width, rank = 1 << k, levels[k]
+            fits = some & (i + width <= n) & (j + width <= len(both))
+            same = fits & (rank[np.minimum(i, len(both) - 1)] == rank[np.minimum(j, len(both) - 1)])
+            step = np.where(same, width, 0)
+            found, i, j = found + step, i + step, j + step
+        better = found > length[start - n - 1]
+        length[start[better] - n - 1] = found[better]
+        source[start[better] - n - 1] = (i - found)[better]
+    return length, source
+
+
+def _sizes(values: np.ndarray) -> np.ndarray:
+    """Bytes of variable-length integers."""
+    return 1 + sum((values >> (7 * k) > 0).astype(np.int64) for k in range(1, 9))
 
 
 def longest_covers(old: np.ndarray, new: np.ndarray, least: int = 5, score: int = 2) -> list[Cover]:
     """Greedy longest matches of ``new`` in ``old`` by suffix array.
 
     A match counts if it is ``least`` bytes or more and saves ``score`` bytes
-    over the cost of its control code.
+    over the cost of its control code.  Places are tried in order, many at a time.
     """
-    order, old_bytes, new_bytes = suffix_order(old), old.tobytes(), new.tobytes()
-    seeds = set(zip(*(old[i : len(old) - least + 1 + i].tolist() for i in range(least)), strict=True)) if len(old) >= least else set()
-    covers, at, end, last_old = [], 0, 0, 0
-    while at + least <= len(new):
-        if tuple(new[at : at + least].tolist()) not in seeds:
-            at += 1
-            continue
-        length, i = _longest_at(old_bytes, order, new_bytes, at, old, new)
-        cost = varint_size(2 * abs(i - last_old)) + varint_size(length) + varint_size(at - end)
-        if length < least or length - cost < score:
-            at += 1
+    length, source = longest_matches(old, new)
+    places = np.flatnonzero(length >= least)
+    covers: list[Cover] = []
+    at, end, last_old, part = 0, 0, 0, 64
+    while at < len(places):
+        tried = places[at : at + part]
+        n, i = length[tried], source[tried]
+        cost = _sizes(2 * np.abs(i - last_old)) + _sizes(n) + _sizes(tried - end)
+        good = np.flatnonzero(n - cost >= score)
+        if not len(good):
+            at, part = at + len(tried), min(2 * part, 1 << 14)
             continue
-        back = common_suffix(old[:i], new[end:at])
-        covers.append((i - back, at - back, length + back))
-        at = end = at + length
-        last_old = i + length
+        j, n, i = int(tried[good[0]]), int(n[good[0]]), int(i[good[0]])
+        back = common_suffix(old[:i], new[end:j])
+        covers.append((i - back, j - back, n + back))
+        end, last_old, part = j + n, i + n, 64
+        at = int(np.searchsorted(places, end))
     return covers
 
 

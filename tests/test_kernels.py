@@ -11,3 +11,33 @@ def test_block_covers_tries_every_colliding_block(monkeypatch):
     assert kernels.block_covers(old, np.full(16, 90, np.uint8), 16) == [(90 * 16, 0, 16)]
     new = np.r_[np.full(16, 90, np.uint8), np.full(16, 3, np.uint8)]
     assert kernels.block_covers(old, new, 16) == [(90 * 16, 0, 16), (3 * 16, 16, 16)]
+
+
+def test_longest_matches_by_brute_force():
+    rnd = np.random.default_rng(4)
+    for _ in range(60):
+        old, new = (rnd.integers(0, rnd.choice([2, 4, 200]), rnd.integers(0, 60)).astype(np.uint8) for _ in range(2))
+        length, source = kernels.longest_matches(old, new)
+        for j in range(len(new)):
+            best = max((kernels.common_prefix(old[i:], new[j:]) for i in range(len(old))), default=0)
+            assert length[j] == best
+            assert kernels.same_bytes(old, int(source[j]), new, j, best)
+
+
+def test_suffix_array_of_runs_and_texts():
+    rnd = np.random.default_rng(5)
+    for data in (b"", b"a", b"aaaaaaaa", b"banana", bytes(rnd.integers(0, 3, 200).astype(np.uint8))):
+        assert kernels.suffix_order(np.frombuffer(data, np.uint8)).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+
+
+def test_longest_covers_are_quick_on_long_streams():
+    import time
+
+    rnd = np.random.default_rng(6)
+    old = rnd.integers(97, 123, 200_000).astype(np.uint8)
+    new = np.concatenate([old[:90_000], rnd.integers(97, 123, 500).astype(np.uint8), old[70_000:]])
+    begun = time.process_time()
+    covers = kernels.longest_covers(old, new)
+    assert time.process_time() - begun < 20
+    assert kernels.check_covers(covers, len(old), len(new)) and sum(n for *_, n in covers) >= len(new) - 600
+    assert all(kernels.same_bytes(old, i, new, j, n) for i, j, n in covers)
