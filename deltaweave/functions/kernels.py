@@ -13,6 +13,8 @@ import numpy as np
 from .codecs import varint_size
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Equal bytes that an extension starts with.
+SMOOTHING = 4
 Cover = tuple[int, int, int]
 
 
@@ -266,12 +268,22 @@ def longest_covers(old: np.ndarray, new: np.ndarray, least: int = 5, score: int
     return covers
 
 
-def extend_covers(old: np.ndarray, new: np.ndarray, covers: list[Cover], ratio: float = 0.5) -> list[Cover]:
+def extension_ratio(score: int = 6) -> float:
+    """The share of equal bytes that an extension needs, by a match score.
+
+    Fixed values: 36 for each point and 254, from 200 to 800, of 1024.
+    """
+    return min(max(36 * score + 254, 200), 800) / 1024
+
+
+def extend_covers(old: np.ndarray, new: np.ndarray, covers: list[Cover], score: int = 6) -> list[Cover]:
     """Covers grown both ways over unequal bytes while enough bytes are equal.
 
-    A side grows to the place where equal bytes less ``ratio`` of all bytes
-    peaks, within the gap to the neighbour.
+    A side grows while the share of equal bytes, smoothed by ``SMOOTHING`` equal
+    ones, stays above :func:`extension_ratio`, and back to the place where equal
+    bytes less that share of all bytes peaks, within the gap to the neighbour.
     """
+    ratio = extension_ratio(score)
     out: list[Cover] = []
     for k, (i, j, n) in enumerate(covers):
         floor = out[-1][1] + out[-1][2] if out else 0
@@ -291,19 +303,39 @@ def extend_covers(old: np.ndarray, new: np.ndarray, covers: list[Cover], ratio:
 
 
 def _peak(equal: np.ndarray, ratio: float) -> int:
-    gain = np.cumsum(equal - ratio)
-    best = int(np.argmax(gain))
-    return best + 1 if gain[best] > 0 else 0
-
-
-def link_covers(covers: list[Cover], most: int = 511) -> list[Cover]:
-    """Covers on one diagonal with a gap of ``most`` bytes or less become one."""
+    at, gained, best, length = 0, 0.0, 0.0, 0
+    while at < len(equal):
+        gain = gained + np.cumsum(equal[at : at + 4096] - ratio)
+        low = np.flatnonzero(gain + SMOOTHING * (1 - ratio) < 0)
+        if len(low):
+            gain = gain[: low[0]]
+        if len(gain) and gain.max() > best:
+            best, length = float(gain.max()), at + int(np.argmax(gain)) + 1
+        if len(low):
+            break
+        at, gained = at + 4096, float(gain[-1])
+    return length
+
+
+def _control_size(cover: Cover, last: Cover) -> int:
+    """Bytes of the control code of a cover behind another one."""
+    (i, j, n), (a, b, m) = cover, last
+    return varint_size(2 * abs(i - a - m)) + varint_size(n) + varint_size(max(0, j - b - m))
+
+
+def link_covers(covers: list[Cover], most: int = 511, old: np.ndarray | None = None, new: np.ndarray | None = None) -> list[Cover]:
+    """Covers on one diagonal with a gap of ``most`` bytes or less become one.
+
+    With both streams the gap must also pay: the runs of its difference may cost
+    no more than the control code of another cover.
+    """
     out: list[Cover] = []
     for i, j, n in covers:
         if out:
             a, b, m = out[-1]
             gap = j - b - m
-            if a + j == i + b and 0 <= gap <= most:
+            pays = old is None or new is None or gap < 1 or region_rle_cost(new[b + m : j] - old[a + m : i]) <= _control_size((i, j, n), out[-1])
+            if a + j == i + b and 0 <= gap <= most and pays:
                 out[-1] = (a, b, j + n - b)
                 continue
         out.append((i, j, n))
@@ -356,7 +388,7 @@ def select_covers(old: np.ndarray, new: np.ndarray, covers: list[Cover], least:
         last = out[-1] if out else (0, 0, 0)
         linked = bool(out) and last[0] + j == i + last[1]
         difference = new[j : j + n] - old[i : i + n]
-        control = varint_size(2 * abs(i - last[0] - last[2])) + varint_size(n) + varint_size(j - last[1] - last[2])
+        control = _control_size((i, j, n), last)
         if linked or n - region_rle_cost(difference) - control >= least:
             out.append((i, j, n))
     return out

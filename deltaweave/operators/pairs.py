@@ -106,7 +106,7 @@ def diagonal_islands(hits: DataFrame) -> DataFrame:
 FINDERS: dict[str, Callable[..., list]] = {
     "block": lambda old, new, size=64: kernels.block_covers(old, new, size),
     "longest": lambda old, new, size=0: kernels.longest_covers(old, new),
-    "selected": lambda old, new, size=0: kernels.select_covers(old, new, kernels.link_covers(kernels.extend_covers(old, new, kernels.longest_covers(old, new)))),
+    "selected": lambda old, new, size=0: kernels.select_covers(old, new, kernels.extend_covers(old, new, kernels.link_covers(kernels.longest_covers(old, new), old=old, new=new))),
 }
 
 

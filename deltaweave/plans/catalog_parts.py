@@ -237,6 +237,34 @@ def prefiltered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.known_blocks(signed.where("block_index > 0"), signed.where("block_index = 0")).select("stream_id", "block_index", "strong")
 
 
+@query(
+    f"""WITH {_SIGNED}, keyed AS (SELECT stream_id, block_index, strong, coalesce(lead(strong) OVER o, '') AS a, coalesce(lead(strong, 2) OVER o, '') AS b
+        FROM signed WINDOW o AS (PARTITION BY stream_id ORDER BY block_index))
+    SELECT stream_id, block_index, row_number() OVER (PARTITION BY stream_id ORDER BY strong, a, b, block_index DESC) - 1 AS place FROM keyed"""
+)
+def digest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.digest_order(blocks.signatures(old_streams(spark, sf_dir), B))
+
+
+# blocks of eight bytes, so that many are equal
+_EIGHTS = f"""{_PAIRS}, a AS (SELECT stream_id, 8 * k AS pos, substr(n, 16 * k + 1, 16) AS b FROM (SELECT stream_id, n, unnest(range(0, new_size // 8)) AS k FROM pairs)),
+    b AS (SELECT stream_id, 8 * k AS pos, substr(o, 16 * k + 1, 16) AS b FROM (SELECT stream_id, o, unnest(range(0, old_size // 8)) AS k FROM pairs)),
+    once AS (SELECT x.stream_id, y.pos - x.pos AS diagonal FROM (SELECT stream_id, b, min(pos) AS pos FROM a GROUP BY 1, 2 HAVING count(*) = 1) AS x
+        JOIN (SELECT stream_id, b, min(pos) AS pos FROM b GROUP BY 1, 2 HAVING count(*) = 1) AS y ON x.stream_id = y.stream_id AND x.b = y.b),
+    usual AS (SELECT stream_id, diagonal FROM (SELECT stream_id, diagonal, row_number() OVER (PARTITION BY stream_id ORDER BY count(*) DESC, diagonal) AS nth FROM once GROUP BY 1, 2) WHERE nth = 1)"""
+
+
+@query(
+    f"""WITH {_EIGHTS} SELECT stream_id, new_pos, old_pos FROM (SELECT a.stream_id, a.pos AS new_pos, b.pos AS old_pos,
+        row_number() OVER (PARTITION BY a.stream_id, a.pos ORDER BY abs(b.pos - a.pos - coalesce(diagonal, 0)), b.pos) AS nth
+        FROM a JOIN b ON a.stream_id = b.stream_id AND a.b = b.b LEFT JOIN usual ON a.stream_id = usual.stream_id) WHERE nth = 1"""
+)
+def nearest_block_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = text_pairs(spark, sf_dir)
+    cut = lambda side: blocks.split_blocks(both.select("stream_id", F.col(side).alias("content")), 8, tail=False).select("stream_id", "pos", F.md5("block").alias("strong"))
+    return blocks.nearest_matches(cut("new"), cut("old"))
+
+
 # containers
 
 _TAGGED = ("sections", "steps", "lite", "bsdiff", "endsley", "vcdiff")

@@ -41,3 +41,20 @@ def test_longest_covers_are_quick_on_long_streams():
     assert time.process_time() - begun < 20
     assert kernels.check_covers(covers, len(old), len(new)) and sum(n for *_, n in covers) >= len(new) - 600
     assert all(kernels.same_bytes(old, i, new, j, n) for i, j, n in covers)
+
+
+def test_links_must_pay_and_extensions_keep_a_share():
+    rnd = np.random.default_rng(8)
+    old = rnd.integers(0, 256, 400).astype(np.uint8)
+    new = old.copy()
+    new[100:104] = 0  # a short gap on the diagonal pays, a long one of noise does not
+    covers = [(0, 0, 100), (104, 104, 296)]
+    assert kernels.link_covers(covers, old=old, new=new) == [(0, 0, 400)]
+    new[100:300] = rnd.integers(0, 256, 200)
+    covers = [(0, 0, 100), (300, 300, 100)]
+    assert kernels.link_covers(covers) == [(0, 0, 400)] and kernels.link_covers(covers, old=old, new=new) == covers
+    assert [kernels.extension_ratio(k) for k in (-9, 6, 99)] == [200 / 1024, 470 / 1024, 800 / 1024]
+    new = old.copy()
+    new[110:130:4] ^= 1  # three of four bytes equal: grown over
+    new[200:] ^= 1
+    assert kernels.extend_covers(old, new, [(50, 50, 60)]) == [(0, 0, 200)]
