@@ -161,6 +161,14 @@ def test_language_accuracy_and_edges(spark):
     assert language_id.identify(edges.where("false"), model).count() == 0
 
 
+def test_language_ties_and_repeats(spark):
+    rows = [(i, "same words here") for i in range(20)] + [(3, "same words here")] * 2
+    table = docs(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "bb").otherwise("aa"))
+    flat = language_id.Model(["aa", "bb"], np.ones(language_id.FEATURES), np.zeros((language_id.FEATURES, 2), np.float32))
+    got = language_id.identify(table, flat).collect()
+    assert len(got) == 22 and {(r["lang_pred"], r["score"]) for r in got} == {("aa", 0.5)}
+
+
 def test_language_learns_every_label(spark):
     rows = [(i, f"{chr(0x4E00 + i // 3)}{chr(0x5E00 + i // 3)} " * 8) for i in range(3 * 300)]
     table = docs(spark, rows).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") / 3).cast("int").cast("string")))
@@ -522,6 +530,20 @@ def test_bpe_equals_tiktoken(spark):
     assert byte_bpe.encode_decode(docs(spark, rows).where("false"), path, pattern).count() == 0
 
 
+def test_packing_edges(spark):
+    path, pattern = vocabulary()
+    assert token_pack.pack(docs(spark, [(1, "x")]).where("false"), path, pattern, 64).count() == 0
+    long = docs(spark, [(1, "word " * 50_000), (1, "word " * 50_000), (2, None)])
+    found = token_pack.pack(long, path, pattern, 1000).collect()
+    sizes = Counter()
+    for r in found:
+        assert r["n_tokens"] <= 1000
+        for doc, a, b in zip(r["doc_ids"], r["cumulative_lengths"][:-1], r["cumulative_lengths"][1:], strict=True):
+            sizes[doc] += b - a
+    n = len(tiktoken_encoding().encode_ordinary("word " * 50_000)) + 1
+    assert sizes == {1: 2 * n, 2: 1}
+
+
 def test_bpe_of_long_pieces():
     path, pattern = vocabulary()
     with open(path, "rb") as file:
