@@ -2,7 +2,8 @@
 
 A step row (see :func:`deltaweave.operators.pairs.find_steps`) can be applied
 when all steps before it were.  The state of a stream is the number of steps
-applied and the end of its output; steps that come early wait in the state.
+applied and the end of its output; steps that come early wait in the state, with
+their old stream once for all of them and only while there are some.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from ..functions.codecs import unpack_zero_runs
 from ..functions.kernels import as_array
 
 OUTPUT = "stream_id long, step_no long, out_pos long, bytes binary"
-STATE = "next_step long, made long, waiting binary"
+STATE = "next_step long, made long, old binary, waiting binary"
 
 
 def apply_step(old: np.ndarray, covers: bytes, run_code: bytes, literal: bytes, made: int, last: bool) -> bytes:
@@ -51,19 +52,21 @@ def _unpack(data: bytes) -> list[tuple]:
 
 
 def _run(key: tuple, parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    following, made, waiting = state.get if state.exists else (0, 0, b"")
+    following, made, old, waiting = state.get if state.exists else (0, 0, b"", b"")
+    old = bytes(old)
     rows = {r[0]: r for r in _unpack(bytes(waiting))}
     for part in parts:
         for r in part.itertuples(index=False):
             if r.step_no >= following:
-                rows[r.step_no] = (r.step_no, bytes(r.old), bytes(r.covers), bytes(r.run_code), bytes(r.literal), bool(r.last))
+                rows[r.step_no] = (r.step_no, bytes(r.covers), bytes(r.run_code), bytes(r.literal), bool(r.last))
+                old = bytes(r.old)
     out = []
     while following in rows:
-        number, old, covers, code, literal, last = rows.pop(following)
+        number, covers, code, literal, last = rows.pop(following)
         piece = apply_step(as_array(old), covers, code, literal, made, last)
         out.append((key[0], number, made, piece))
         made, following = made + len(piece), following + 1
-    state.update((following, made, _pack(sorted(rows.values()))))
+    state.update((following, made, old if rows else b"", _pack(sorted(rows.values()))))
     if out:
         yield pd.DataFrame(out, columns=["stream_id", "step_no", "out_pos", "bytes"])
 
