@@ -111,6 +111,16 @@ def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.pack(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def packed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the packed rows of op8 hold of each document, and whether they keep
+    to the length of a row."""
+    packed = op8_token_packing(spark, sf_dir)
+    parts = token_pack.segment_bytes(packed.where(F.col("n_tokens") <= token_pack.ROW_LENGTH), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    listed = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("doc_offset", F.hex("bytes").alias("hex")))).alias("parts"))
+    whole = F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), ""))
+    return listed.select("doc_id", F.sha2(whole, 256).alias("decoded_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -127,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_ann_search,
         op7_benchmark_decontamination,
         op8_token_packing,
+        packed_texts,
         op9_byte_bpe,
         op10_simhash_near_dedup,
     )
@@ -175,6 +186,7 @@ def _judged(label: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "packed_texts": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
     "op3_license_scan": f"""
         WITH templates(template, line) AS (VALUES {_TEMPLATES}), template_words AS (
             SELECT template, {_LICENSE_WORDS} AS w FROM templates

@@ -162,6 +162,23 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = ROW_LENGTH) ->
     return table.mapInArrow(_packing(vocabulary, pattern, length), SCHEMA)
 
 
+def segment_bytes(packed: DataFrame, path: str) -> DataFrame:
+    """(doc_id, doc_offset, bytes) of the segments of packed rows, end marks left out."""
+    vocabulary = packed.sparkSession.sparkContext.broadcast(read_vocabulary(packed.sparkSession, path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = read_ranks(vocabulary.value)
+        tokens = {rank: token for token, rank in ranks.items()}
+        kind = np.dtype("<u2" if max(tokens) + 1 < 1 << 16 else "<u4")
+        for batch in batches:
+            for ids, ends, docs, offsets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = np.frombuffer(ids, kind)
+                made = [b"".join(tokens.get(i, b"") for i in row[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(offsets, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "doc_offset", "bytes"])
+
+    return packed.select("ids", "cumulative_lengths", "doc_ids", "doc_offsets").mapInArrow(run, "doc_id long, doc_offset long, bytes binary")
+
+
 def _writing(folder: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
