@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .scratch import slices, small_batches
+from .scratch import leaving_nothing, slices, small_batches
 
 #: Characters of text that are encoded at a time; pieces in one recursive query,
 #: and its rows, at most half the squares of their bytes.
@@ -328,6 +328,13 @@ def encoder(content: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def forget_encoders() -> None:
+    """Close the encoders of this process, which outlives its tasks."""
+    for each in _ENCODERS.values():
+        each.db.close()
+    _ENCODERS.clear()
+
+
 def text_runs(batch: pa.RecordBatch, column: int, most: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of ``batch`` of bounded text, with the texts (null: empty)."""
     texts = batch.column(column).cast(pa.binary())
@@ -364,7 +371,7 @@ def _encoding(vocabulary, pattern: str) -> Callable:  # noqa: ANN001
                     ["doc_id", "ids", "decoded"],
                 )
 
-    return run
+    return leaving_nothing(run, forget_encoders)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

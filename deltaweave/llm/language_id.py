@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .scratch import small_batches
+from .scratch import give_back, leaving_nothing, small_batches
 
 UNKNOWN = "und"
 BITS, GRAMS = 16, 3
@@ -167,7 +167,7 @@ def learn(labelled: DataFrame) -> Model:
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)))
-    frequencies = labelled.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    frequencies = labelled.select("text").mapInArrow(leaving_nothing(_frequencies), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     idf, total = np.zeros(FEATURES), 0
     for feature, n in frequencies.collect():
         if feature < 0:
@@ -180,7 +180,7 @@ def learn(labelled: DataFrame) -> Model:
     order = F.xxhash64("key", F.lit("sample"))
     # one row a language, as many as the model has columns
     sample = labelled.join(F.broadcast(shares), "lang").where(F.pmod(order, F.lit(million)) < F.col("share")).select("lang", "text", order.alias("key"))
-    got = sample.mapInArrow(_sample_rows, "lang string, key long, index binary, counts binary").collect()
+    got = sample.mapInArrow(leaving_nothing(_sample_rows), "lang string, key long, index binary, counts binary").collect()
     at = {lang: i for i, lang in enumerate(languages)}
     rows = [(np.frombuffer(r["index"], np.int32), np.frombuffer(r["counts"], np.int32), at[r["lang"]]) for r in sorted(got, key=lambda r: (r["key"], r["lang"], r["index"], r["counts"]))]
     model = Model(languages, idf, np.zeros((FEATURES, len(languages)), np.float32))
@@ -199,6 +199,7 @@ def prediction(model: Model, text: Column, docs: DataFrame) -> Column:
 
     def predict(texts: pa.Array) -> pa.Array:
         found = [shared.value.predict(t.as_py()) for t in texts]
+        give_back()
         return pa.StructArray.from_arrays([pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], ["lang_pred", "score"])
 
     return F.arrow_udf(predict, _RESULT)(text)

@@ -9,7 +9,9 @@ error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_ROWS_SETTING, str(ARROW_ROWS))
 
 
+def give_back() -> None:
+    """Return unused memory of this Python process, which Spark keeps for later
+    tasks, to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def leaving_nothing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], also: Callable[[], None] = lambda: None) -> Callable:
+    """``run``, a function over the batches of a task, and :func:`give_back` behind it."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            also()
+            give_back()
+
+    return each
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows``."""
     for batch in batches:
@@ -85,4 +108,4 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["few", "forget", "fresh", "gathered", "is_empty", "keep", "scratch_dir", "slices", "small_batches"]
+__all__ = ["few", "forget", "fresh", "gathered", "give_back", "is_empty", "keep", "leaving_nothing", "scratch_dir", "slices", "small_batches"]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import few, fresh, gathered, keep, slices, small_batches
+from .scratch import few, fresh, gathered, keep, leaving_nothing, slices, small_batches
 from .simhash_dedup import components_of, fingerprint_from, near_links, one_of_each, shingle_hashes
 
 SHINGLE_WORDS = 5
@@ -106,7 +106,7 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column(0).flatten()], ["shingle"])
 
     sample = sets.where(F.pmod(F.xxhash64("fp"), F.lit(million)) < share).select("shingles")
-    counted = sample.mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    counted = sample.mapInArrow(leaving_nothing(each), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     rows = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
     values = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(values)
@@ -134,7 +134,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["key", "fp", "n", "at"])
 
-    return sets.select("fp", "shingles").mapInArrow(prefixes, "key long, fp long, n int, at int")
+    return sets.select("fp", "shingles").mapInArrow(leaving_nothing(prefixes), "key long, fp long, n int, at int")
 
 
 def _reach(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = wanted.select(F.col("fp").alias("a"), F.col("bits").alias("x"), "n")
     right = wanted.select(F.col("fp").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n") + F.col("m")).alias("n"), "x", "y")
-    return keep(met.mapInArrow(check, "a long, b long"), "close")
+    return keep(met.mapInArrow(leaving_nothing(check), "a long, b long"), "close")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -253,16 +253,16 @@ def similar_links(sets: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     small_batches(spark)
     prefixes = _prefixes(sets).repartition("key").sortWithinPartitions("key")
-    index = keep(prefixes.mapInArrow(_met, "key long, fp long, n long, at long"), "prefixes")
+    index = keep(prefixes.mapInArrow(leaving_nothing(_met), "key long, fp long, n long, at long"), "prefixes")
     grouped = index.repartition("key").sortWithinPartitions("key", "n", "fp")
-    stars = grouped.mapInArrow(lambda x: _pairs_of(x, False), "a long, b long")
+    stars = grouped.mapInArrow(leaving_nothing(lambda x: _pairs_of(x, False)), "a long, b long")
     first = keep(stars.unionByName(_by_fingerprint(sets)).distinct(), "pairs")
     links = _verified(first, sets)
     roots = keep(connected_components(links), "roots")
     # a lone set stands for itself; groups of one component have no pairs left
     rooted = index.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     grouped = rooted.select("key", "fp", "n", "at", "root").repartition("key").sortWithinPartitions("key", "n", "fp")
-    rest = grouped.mapInArrow(lambda x: _pairs_of(x, True), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    rest = grouped.mapInArrow(leaving_nothing(lambda x: _pairs_of(x, True)), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     return links.unionByName(_verified(keep(rest, "pairs"), sets))
 
 
@@ -272,7 +272,7 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn(mark, F.xxhash64("text"))
     small_batches(docs.sparkSession)
     source = marked.select(F.col("doc_id").cast("long"), F.col(mark).alias("mark"), F.col("text"))
-    prints = source.mapInArrow(_sets, "doc_id long, mark long, fp long, print long, n long, bits binary, shingles array<bigint>")
+    prints = source.mapInArrow(leaving_nothing(_sets), "doc_id long, mark long, fp long, print long, n long, bits binary, shingles array<bigint>")
     prints = keep(prints.withColumn("row", F.monotonically_increasing_id()), "sets")
 
     def links(classes: DataFrame) -> DataFrame:

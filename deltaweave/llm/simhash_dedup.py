@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .components import connected_components
-from .scratch import few, fresh, gathered, keep, small_batches
+from .scratch import few, fresh, gathered, keep, leaving_nothing, small_batches
 
 MAX_BITS = 2
 SHINGLE_WORDS = 3
@@ -241,7 +241,7 @@ def near_links(classes: DataFrame) -> DataFrame:
     """Spanning links (a, b) among the distinct fingerprints in column fp."""
     small_batches(classes.sparkSession)
     variants = _variants(classes).repartition("key").sortWithinPartitions("key")
-    return variants.mapInArrow(_links, "a long, b long").distinct()
+    return variants.mapInArrow(leaving_nothing(_links), "a long, b long").distinct()
 
 
 def components_of(prints: DataFrame, links: Callable[[DataFrame], DataFrame] = near_links) -> DataFrame:
