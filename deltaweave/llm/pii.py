@@ -18,9 +18,10 @@ removed from ``REMOVE`` on.  Exact copies count as one text.
 Everything is DataFrame operations.  One pass over the texts writes the matches
 to a scratch table; offsets are running sums within a document.  A second reads
 the terms of texts with an entity that another text has too, a third counts the
-terms of all texts, a last one places disclosing terms.  Counts are combined
-before they are shuffled; tables of a few numbers a text are broadcast if they
-are few by count and joined otherwise.
+terms of all texts, a last one places disclosing terms.  A text is given only
+those disclosing terms that it holds.  Counts are combined before they are
+shuffled; tables are broadcast if they are few by count and bytes and joined
+otherwise.
 
 Defined cases: a null text is an empty one; a null ``doc_id`` stays; repeated
 rows stay repeated; matches that fail their test are dropped without another
@@ -138,6 +139,14 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(bare), _NOT_LETTERS)), lambda w: F.char_length(w) >= LETTERS)
 
 
+def _with_entities(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(mark, text, entities) of the different texts of ``docs`` that ``entities``
+    (mark, entity) names."""
+    wanted = keep(entities.groupBy("mark").agg(F.collect_set("entity").alias("entities")), "wanted")
+    held = docs.join(few(wanted.select("mark"), "marks"), "mark", "left_semi").dropDuplicates(["mark"])
+    return held.join(wanted, "mark")
+
+
 def disclosing_terms(docs: DataFrame, entities: DataFrame, copies: DataFrame, n_texts: int) -> DataFrame:
     """(entity, term, disclosure) of the pairs at ``GENERALISE`` or above.
 
@@ -147,8 +156,7 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame, copies: DataFrame, n_
     known = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts"))
     # a pair of one text alone is smoothed to one half at most
     known = few(known.where("entity_texts > 1"), "entities")
-    wanted = entities.join(known, "entity").groupBy("mark").agg(F.collect_set("entity").alias("entities"))
-    texts = docs.join(few(wanted, "wanted"), "mark").dropDuplicates(["mark"])
+    texts = _with_entities(docs, entities.join(known, "entity").select("mark", "entity"))
     met = texts.select(F.explode(_terms(F.col("text"))).alias("term"), "entities").select("term", F.explode("entities").alias("entity"))
     pairs = keep(met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where("both > 1"), "pairs")
     # every copy of a text counts by its share, so that the text counts once
@@ -162,6 +170,17 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame, copies: DataFrame, n_
     return joined.select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
+def _terms_to_place(texts: DataFrame, telling: DataFrame) -> DataFrame:
+    """(mark, terms), a map of term to kind, of the words of ``texts`` (mark,
+    text, entities) that disclose an entity of their text."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), F.lower))
+    met = texts.select("mark", F.explode(F.filter(words, lambda w: F.char_length(w) >= LETTERS)).alias("term"), "entities")
+    kind = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
+    told = few(telling.select("entity", "term", kind.alias("kind")), "told")
+    found = met.select("mark", "term", F.explode("entities").alias("entity")).join(told, ["entity", "term"]).groupBy("mark", "term").agg(F.max("kind").alias("kind"))
+    return found.groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("terms"))
+
+
 def _places(texts: DataFrame) -> DataFrame:
     """(mark, start, end, start_byte, end_byte, kind) of each occurrence of the
     ``terms`` (map of term to kind) of the different ``texts`` (mark, text, terms)."""
@@ -196,10 +215,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
         telling = keep(disclosing_terms(texts, entities, copies.where("rows > 1"), copies.count()), "telling")
     if telling is None or not telling.take(1):
         return found.withColumn("added", empty)
-    kind = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    terms = entities.join(few(telling, "told"), "entity").groupBy("mark", "term").agg(F.max(kind).alias("kind"))
-    terms = terms.groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("terms"))
-    placed = _places(texts.join(few(terms, "terms"), "mark").dropDuplicates(["mark"]))
+    named = entities.join(few(telling.select("entity").distinct(), "named"), "entity", "left_semi").select("mark", "entity")
+    meant = keep(_with_entities(texts, named), "meant")
+    placed = _places(meant.join(few(_terms_to_place(meant, telling), "terms"), "mark").select("mark", "text", "terms"))
     placed = keep(placed.groupBy("mark").agg(F.array_sort(F.collect_list(span)).alias("placed")), "placed")
     apart = F.filter("placed", lambda p: ~F.exists("base", lambda b: (b["start"] < p["end"]) & (b["end"] > p["start"])))
     return found.join(placed, "mark", "left").select("row", "doc_id", "mark", "base", F.coalesce(apart, empty).alias("added"))

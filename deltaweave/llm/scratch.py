@@ -16,14 +16,16 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..operators.tables import shared_folder as scratch_dir
 from ..operators.tables import written as keep
 
 #: Rows of an Arrow batch where the session does not say; rows handled at a time.
 ARROW_ROWS, TEXT_ROWS, NUMBER_ROWS = 1024, 512, 16_384
-#: Rows of numbers that are broadcast to spare a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows that are broadcast to spare a shuffle, and their bytes (as JSON) where
+#: they hold more than numbers.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -90,10 +92,13 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
 
 
 def few(df: DataFrame, name: str) -> DataFrame:
-    """``df`` in scratch, broadcast in joins if it is small by count; for rows of
-    a few numbers."""
+    """``df`` in scratch, broadcast in joins if it is small by count and, with
+    columns that are no numbers, by bytes."""
     kept = keep(df, name)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    small = kept.count() <= BROADCAST_ROWS
+    if small and not all(isinstance(f.dataType, NumericType) for f in kept.schema):
+        small = (kept.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+    return F.broadcast(kept) if small else kept
 
 
 def is_empty(df: DataFrame) -> bool:

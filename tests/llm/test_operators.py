@@ -20,6 +20,7 @@ from deltaweave.llm import (
     line_dedup,
     pii,
     queries,
+    scratch,
     simhash_dedup,
     token_pack,
     url_rules,
@@ -141,6 +142,24 @@ def test_pii_terms_by_brute_force(spark):
         assert [(s["start"], s["end"], s["kind"]) for s in r["added"]] == want
 
 
+def test_pii_texts_carry_their_own_terms_only(spark, monkeypatch):
+    """Texts of one domain with terms of their own: none carries the others'."""
+    seen, places = [], pii._places
+    monkeypatch.setattr(pii, "_places", lambda texts: seen.extend(texts.collect()) or places(texts))
+    rows = [(i, f"x{i} " + " ".join(f"{chr(97 + i // 3)}{chr(97 + k)}term" for k in range(20)) + f" u{i}@example.com") for i in range(30)]
+    rows += [(100 + i, f"the other {i}") for i in range(300)]
+    found = {r["doc_id"]: r["added"] for r in pii.find_pii(docs(spark, rows)).collect()}
+    assert all(len(found[i]) == 20 for i in range(30)) and not any(found[i] for i in range(100, 400))
+    assert len(seen) == 30 and all(set(r["terms"]) <= set(r["text"].split()) for r in seen)
+
+
+def test_few_wide_rows_are_not_broadcast(spark):
+    wide = spark.range(30).select("id", F.create_map(F.lit("a"), F.repeat(F.lit("x"), 1 << 20)).alias("m"))
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString()
+    assert not hinted(scratch.few(wide, "wide"))
+    assert hinted(scratch.few(wide.limit(3), "wide")) and hinted(scratch.few(spark.range(10), "long"))
+
+
 def test_pii_empty(spark):
     assert pii.find_pii(docs(spark, [(1, "x")]).where("false")).count() == 0
 
