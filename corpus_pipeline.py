@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from deltaweave.llm import byte_bpe, decontaminate, language_id, line_dedup, shingle_dedup
 from deltaweave.llm.queries import token_digests
-from deltaweave.llm.scratch import keep
+from deltaweave.llm.scratch import heaps_give_back, keep
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    heaps_give_back(spark)
     return shingle_dedup.drop_similar(docs)
 
 
@@ -48,6 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    heaps_give_back(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return token_digests(byte_bpe.encode_decode(docs, path, public_tokenizers.PATTERN))
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import few, fresh, gathered, keep, leaving_nothing, slices, small_batches
+from .scratch import few, fresh, gathered, heaps_give_back, keep, leaving_nothing, slices, small_batches
 from .simhash_dedup import components_of, fingerprint_from, near_links, one_of_each, shingle_hashes
 
 SHINGLE_WORDS = 5
@@ -227,6 +227,7 @@ def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) whose sets are similar."""
+    heaps_give_back(sets.sparkSession)
     close = _close(pairs, sets)
     nodes = few(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "nodes")
     wanted = sets.join(nodes, "fp", "left_semi").select("fp", "n", "shingles")
@@ -254,11 +255,13 @@ def similar_links(sets: DataFrame) -> DataFrame:
     small_batches(spark)
     prefixes = _prefixes(sets).repartition("key").sortWithinPartitions("key")
     index = keep(prefixes.mapInArrow(leaving_nothing(_met), "key long, fp long, n long, at long"), "prefixes")
+    heaps_give_back(spark)
     grouped = index.repartition("key").sortWithinPartitions("key", "n", "fp")
     stars = grouped.mapInArrow(leaving_nothing(lambda x: _pairs_of(x, False)), "a long, b long")
     first = keep(stars.unionByName(_by_fingerprint(sets)).distinct(), "pairs")
     links = _verified(first, sets)
     roots = keep(connected_components(links), "roots")
+    heaps_give_back(spark)
     # a lone set stands for itself; groups of one component have no pairs left
     rooted = index.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     grouped = rooted.select("key", "fp", "n", "at", "root").repartition("key").sortWithinPartitions("key", "n", "fp")

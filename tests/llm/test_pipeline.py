@@ -76,3 +76,18 @@ def test_language_stage_drops_what_it_cannot_name(spark, sf_dir):
     odd = spark.createDataFrame([(10**6, None, "en", "a", 0), (10**6 + 1, "", "en", "a", 0), (10**6 + 2, "12 34 !", "en", "a", 7), (10**6 + 3, "the " * 200_000, "en", "a", 1)], docs.schema)
     kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(odd), sf_dir).where("doc_id >= 1000000").collect()}
     assert kept == {10**6 + 3}
+
+
+def test_heaps_give_back(spark):
+    import gc
+
+    from deltaweave.llm.scratch import heaps_give_back
+
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    garbage = spark.sparkContext._gateway.new_array(jvm.byte, 200 << 20)
+    before = runtime.totalMemory() - runtime.freeMemory()
+    del garbage
+    gc.collect()
+    heaps_give_back(spark)
+    assert before - (runtime.totalMemory() - runtime.freeMemory()) > 100 << 20
