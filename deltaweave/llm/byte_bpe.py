@@ -28,14 +28,15 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .scratch import leaving_nothing, slices, small_batches
+from .scratch import TEXT_ROWS, leaving_nothing, slices, small_batches
 
 #: Characters of text that are encoded at a time; pieces in one recursive query,
 #: and its rows, at most half the squares of their bytes.
@@ -48,6 +49,8 @@ STRIDE = 48
 LONG_PART = 2 * STRIDE + 1
 #: The pattern under which a space and letters are always one match.
 LETTERS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What ends a word under that pattern and is a match of its own.
+_ENDS = tuple(".,;:")
 _NEVER = np.uint64(2**64 - 1)
 
 _SHORT_SQL = """
@@ -140,8 +143,9 @@ class Encoder:
         self.full = duckdb.OutOfMemoryException
         self._load_tables()
         # of words and pieces alike: a piece by itself is one match of the pattern
-        self.ids: dict[str, bytes] = {}
-        self.raw: dict[str, bytes] = {}
+        self.place: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.raw: list[bytes] = []
 
     def _load_tables(self) -> None:
         ranks = self.ranks
@@ -261,60 +265,75 @@ class Encoder:
         ends = np.cumsum([int(self.token_sizes[p].sum()) for p in pieces]).tolist()
         return [found[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
+    def _remember(self, words: Collection[str], ids: Iterable[bytes], raw: Iterable[bytes]) -> None:
+        first = len(self.ids)
+        self.ids += ids
+        self.raw += raw
+        self.place.update(zip(words, range(first, first + len(words)), strict=True))
+
     def _encode_pieces(self, pieces: set[str]) -> None:
         """Add the ids and decoded bytes of unknown pieces."""
-        short, long = [], []
+        ranks = self.ranks
+        known, short, long = {}, {}, []
         for piece in pieces:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            if whole is None:
-                (long if len(raw) > 2 * STRIDE else short).append((piece, raw))
+            data = piece.encode()
+            if data in ranks:
+                known[piece] = data
+            elif len(data) > 2 * STRIDE:
+                long.append((piece, data))
             else:
-                self.ids[piece] = whole.to_bytes(4, "little")
-                self.raw[piece] = raw
-        for (piece, _), ids, decoded in zip(short, *self._contract_all([raw for _, raw in short]), strict=True):
-            self.ids[piece], self.raw[piece] = ids, decoded
+                short[piece] = data
+        self._remember(known, [ranks[data].to_bytes(4, "little") for data in known.values()], known.values())
+        self._remember(short, *self._contract_all(list(short.values())))
         for at in range(0, len(long), 1024):
             part = long[at : at + 1024]
             found = self._encode_long([raw for _, raw in part])
-            for (piece, _), ids, decoded in zip(part, found, self._decode(found), strict=True):
-                self.ids[piece], self.raw[piece] = ids.tobytes(), decoded
-
-    def _pieces(self, word: str) -> list[str]:
-        """The matches of the pattern in one word, in order."""
-        if self.letters and word[:1] == " ":
-            if word[1:].isalpha():
-                return [word]
-            if word[-1] in ".,;:" and word[1:-1].isalpha():
-                return [word[:-1], word[-1]]
-        return self.pattern.findall(word)
+            self._remember([piece for piece, _ in part], [ids.tobytes() for ids in found], self._decode(found))
 
     def _learn(self, words: set[str]) -> None:
-        missing = {w: self._pieces(w) for w in words.difference(self.ids)}
-        self._encode_pieces(set().union(*missing.values()).difference(self.ids))
-        ids, raw = self.ids, self.raw
-        for word, pieces in missing.items():
-            if len(pieces) != 1:
-                ids[word] = b"".join([ids[p] for p in pieces])
-                raw[word] = b"".join([raw[p] for p in pieces])
+        missing = words.difference(self.place)
+        # words that are one match need no list of their pieces
+        whole = {w for w in missing if w[:1] == " " and w[1:].isalpha()} if self.letters else set()
+        pairs, several = [], {}
+        for word in missing.difference(whole):
+            if self.letters and word[:1] == " " and word[-1] in _ENDS and word[1:-1].isalpha():
+                pairs.append(word)
+            else:
+                several[word] = self.pattern.findall(word)
+        unknown = whole.union([w[:-1] for w in pairs], [w[-1] for w in pairs], *several.values())
+        self._encode_pieces(unknown.difference(self.place))
+        place, ids, raw = self.place, self.ids, self.raw
+        parts = [(place[w[:-1]], place[w[-1]]) for w in pairs]
+        self._remember(pairs, [ids[i] + ids[j] for i, j in parts], [raw[i] + raw[j] for i, j in parts])
+        several = {w: [place[p] for p in pieces] for w, pieces in several.items() if len(pieces) != 1}
+        self._remember(several, [b"".join([ids[i] for i in x]) for x in several.values()], [b"".join([raw[i] for i in x]) for x in several.values()])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian int32, decoded bytes) of each text."""
-        cut = [(" " + x).replace(" ", "\0 ").split("\0")[1:] if "\0" not in x else None for x in texts]
-        loose = {w for w in set().union(*filter(None, cut)) if w == " " or w != " " + w.strip()}
+        cut = [x.replace(" ", "\0 ").split("\0") if "\0" not in x else None for x in texts]
+        used = set().union(*filter(None, cut))
+        loose = {w for w in used if w[:1] == " " and (w == " " or w != " " + w.strip())}
+        again = False
         for i, (text, words) in enumerate(zip(texts, cut, strict=True)):
-            if words is None or not loose.isdisjoint(words):
+            if words is None or not words[0] or words[0] != words[0].strip() or loose and not loose.isdisjoint(words):
                 words = self.cut.split(text)
                 cut[i] = words[:1] + [" " + w for w in words[1:]]
-            else:
-                words[0] = words[0][1:]
-        used = set().union(*cut)
-        if len(self.ids) > REMEMBERED:
-            self.ids = {w: x for w in used if (x := self.ids.get(w)) is not None}
-            self.raw = {w: self.raw[w] for w in self.ids}
+                again = True
+        if again:
+            used = set().union(*cut)
+        if len(self.place) > REMEMBERED:
+            kept = [w for w in used if w in self.place]
+            places = [self.place[w] for w in kept]
+            ids, raw = [self.ids[i] for i in places], [self.raw[i] for i in places]
+            self.place, self.ids, self.raw = {}, [], []
+            self._remember(kept, ids, raw)
         self._learn(used)
-        ids, raw = self.ids.__getitem__, self.raw.__getitem__
-        return [(b"".join(map(ids, words)), b"".join(map(raw, words))) for words in cut]
+        place, ids, raw = self.place.__getitem__, self.ids.__getitem__, self.raw.__getitem__
+        out = []
+        for words in cut:
+            places = list(map(place, words))
+            out.append((b"".join(map(ids, places)), b"".join(map(raw, places))))
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -363,9 +382,14 @@ def read_vocabulary(spark: SparkSession, path: str) -> bytes:
 
 def _encoding(vocabulary, pattern: str) -> Callable:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 2 * TEXT_ROWS):
             for part, texts in text_runs(batch, 1):
-                found = encoder(vocabulary.value, pattern).encode(texts)
+                made = encoder(vocabulary.value, pattern)
+                gc.disable()  # many lists, no cycles
+                try:
+                    found = made.encode(texts)
+                finally:
+                    gc.enable()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), _id_lists([a for a, _ in found]), pa.array([b for _, b in found], pa.binary())],
                     ["doc_id", "ids", "decoded"],

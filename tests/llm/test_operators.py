@@ -563,6 +563,17 @@ def test_packing_edges(spark):
     assert sizes == {1: 2 * n, 2: 1}
 
 
+def test_bpe_forgets_words_and_keeps_texts(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 3)
+    path, pattern = vocabulary()
+    with open(path, "rb") as file:
+        encoder = byte_bpe.Encoder(file.read(), pattern)
+    texts = ["Zxqvwords met again, zxqvwords!", "  \xa0Zxqvwords\n met\0 ", " zxqvwords", "", " ", "a  b\n c", "zxqvwords, met. again"]
+    for part in (texts, texts[::-1], texts[:2], texts):
+        for text, (ids, raw) in zip(part, encoder.encode(part), strict=True):
+            assert np.frombuffer(ids, np.int32).tolist() == tiktoken_encoding().encode_ordinary(text) and raw == text.encode()
+
+
 def test_bpe_of_long_pieces():
     path, pattern = vocabulary()
     with open(path, "rb") as file:
