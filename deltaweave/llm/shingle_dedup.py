@@ -8,16 +8,19 @@ their sets have a Jaccard similarity of 0.8 or more.
 Fingerprints that meet by deletion variants give candidates, which are verified
 on the whole sets.  They cannot give all: texts of that similarity may differ in
 some seventeen of 64 bits.  The rest is exact: under any total order of the
-shingles, two similar sets share one of the first n - ceil(0.8 n) + 1 of each,
-so these prefixes are grouped by shingle, and pairs inside a group are bounded
-by size, place and a bitmap of each set and then verified as well.  The order
-puts shingles that are frequent in a sample last; it decides the work, not the
-result.
+shingles, what two similar sets share lies in the first n - ceil(0.8 n) + 4 of
+each but for what the one whose prefix ends first has behind it.  So these
+prefixes are grouped by shingle, a pair must meet as often as that asks (four
+times at least), and what is left is bounded by size, place and a bitmap of each
+set and then verified.  The order puts shingles that are frequent in a sample
+last; it decides the work, not the result.
 
 Equal sets are folded first.  Groups yield pairs in two rounds: stars, beside
 the candidates by fingerprint, then, once these are verified and joined, all
-pairs whose members are still in different components.  So a large group of
-near copies gives few pairs.
+pairs whose members are still in different components.  The meetings of a pair
+are counted over the small groups.  A large group does not become its pairs: its
+rows carry bitmaps, so that it yields stars around leaders, then only pairs whose
+bitmaps agree; a pair that meets in a large group needs no count.
 
 Defined cases: a null or empty text, or one of white space only, has the empty
 set, and all of these are alike; else as in :mod:`simhash_dedup`.
@@ -45,6 +48,8 @@ SAMPLE_SETS, FREQUENT = 16_384, 50_000
 _ROWS = 1 << 16
 _STRIP = 1 << 20
 _BITS = 1024
+#: Meetings of a similar pair at least, and members of a group that yields its pairs.
+_MEETS, _SMALL = 4, 48
 
 
 def shingles_of(text: bytes | None, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -113,6 +118,11 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], (len(rows) - np.arange(len(rows)))[order]
 
 
+def _prefix(n: np.ndarray) -> np.ndarray:
+    """The shingles in the prefix of a set of ``n``."""
+    return np.minimum(n, n - -(-SHARED * n // OF) + _MEETS)
+
+
 def _prefixes(sets: DataFrame) -> DataFrame:
     """(key, fp, n, at) of the shingles in each set's prefix."""
     shared = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
@@ -128,7 +138,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
                 if len(often):
                     at = np.minimum(np.searchsorted(often, values), len(often) - 1)
                     values = values[np.argsort(np.where(often[at] == values, rank[at], 0), kind="stable")]
-                first = values[: n - -(-SHARED * n // OF) + 1]
+                first = values[: _prefix(n)]
                 m = len(first)
                 rows.append((first.view(np.int64), np.full(m, fp, np.int64), np.full(m, n, np.int32), np.arange(m, dtype=np.int32)))
             if rows:
@@ -143,26 +153,75 @@ def _reach(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
     return (SHARED + OF) * most >= SHARED * (n[i] + n[j])
 
 
-def _group_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one group: a star, or all pairs of different roots, in strips."""
-    size = len(n)
-    if root is None:
-        later = np.arange(1, size)
-        yield np.zeros(size - 1, np.int64), later
-        return
-    if (root == root[0]).all():
+def _needed(n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The meetings that a similar pair of these sizes has in its prefixes.
+
+    Of the two prefixes one ends first in the order of the shingles.  Whatever
+    the sets share up to there is in both.
+    """
+    behind = n - _prefix(n)
+    return -(-SHARED * (n[i] + n[j]) // (SHARED + OF)) - np.maximum(behind[i], behind[j])
+
+
+def _group_pairs(root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different roots in one group, in strips."""
+    values, counts = np.unique(root, return_counts=True)
+    if len(values) == 1:
         return
+    # the members of the commonest root meet the others only
+    most = root == values[counts.argmax()]
+    size, rows = len(root), np.flatnonzero(~most)
     step = max(1, _STRIP // size)
-    for low in range(0, size, step):
-        i, j = np.nonzero((root[low : low + step, None] != root[None, :]) & (np.arange(low, min(low + step, size))[:, None] < np.arange(size)))
-        yield i + low, j
+    for low in range(0, len(rows), step):
+        strip = rows[low : low + step]
+        i, j = np.nonzero((root[strip, None] != root[None, :]) & (most[None, :] | (strip[:, None] < np.arange(size))))
+        yield strip[i], j
+
+
+def _alike(n: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the bitmaps leave it open that the sets are similar."""
+    differ = np.zeros(len(i), np.int64)
+    for word in maps.T:
+        differ += np.bitwise_count(word[i] ^ word[j])
+    return (OF + SHARED) * differ <= (OF - SHARED) * (n[i] + n[j])
+
+
+def _leader_pairs(n: np.ndarray, at: np.ndarray, maps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that join most of a large group: a member beside no leader yet leads;
+    it is paired with all others beside no leader, and with one beside each leader."""
+    led = np.full(len(n), -1)
+    for first in range(len(n)):
+        if led[first] >= 0:
+            continue
+        j = np.flatnonzero(_reach(n, at, np.full(len(n), first), np.arange(len(n))))
+        j = j[_alike(n, maps, np.full(len(j), first), j)]
+        j = j[j != first]
+        _, one = np.unique(led[j], return_index=True)
+        one = one[led[j[one]] >= 0]
+        free = j[led[j] < 0]
+        yield np.full(len(free) + len(one), first), np.r_[free, j[one]]
+        led[free] = led[first] = first
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (fp, bits) with the bitmaps folded to the least size."""
+    for batch in batches:
+        maps = [np.bitwise_xor.reduce(np.frombuffer(x.as_py(), np.uint64).reshape(-1, _BITS // 64), axis=0).tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], ["fp", "bits"])
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """Numbers, or bitmaps of the least size as a row of words each."""
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy().astype(np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, _BITS // 64)
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of a partition sorted by its first one, cut between groups."""
     held: list[list[np.ndarray]] = []
     for batch in gathered(batches):
-        columns = [c.to_numpy().astype(np.int64) for c in batch.columns]
+        columns = [_words(c) for c in batch.columns]
         if held and columns[0][-1] == held[0][0][0]:
             held.append(columns)  # one group throughout
             continue
@@ -175,31 +234,83 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
+def _cuts(keys: np.ndarray) -> np.ndarray:
+    """Where the groups of sorted keys begin, and the end."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (key, fp, n, at) whose key is in two sets or more."""
+    """The rows (key, fp, n, at) whose key is in two sets or more, and in how many."""
     for columns in _whole_groups(batches):
-        same = columns[0][1:] == columns[0][:-1]
-        often = np.r_[False, same] | np.r_[same, False]
-        yield pa.RecordBatch.from_arrays([pa.array(c[often]) for c in columns], ["key", "fp", "n", "at"])
-
-
-def _pairs_of(batches: Iterator[pa.RecordBatch], rooted: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b) of the groups of one partition sorted by key."""
-    for keys, fps, n, at, *root in _whole_groups(batches):
-        found, total = [], 0
-        cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        for low, high in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True):
-            part = slice(low, high)
-            for i, j in _group_pairs(n[part], at[part], root[0][part] if rooted else None):
-                good = _reach(n[part], at[part], i, j)
-                a, b = fps[part][i[good]], fps[part][j[good]]
-                found.append((np.minimum(a, b), np.maximum(a, b)))
-                total += len(a)
-                if total > _ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
-                    found, total = [], 0
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
+        sizes = np.diff(_cuts(columns[0]))
+        columns.append(np.repeat(sizes, sizes))
+        often = columns[-1] > 1
+        yield pa.RecordBatch.from_arrays([pa.array(c[often]) for c in columns], ["key", "fp", "n", "at", "sets"])
+
+
+def _put_out(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Pairs with the meetings they need, the smaller first, in batches."""
+    held, total = [], 0
+    for a, b, needed in parts:
+        held.append((np.minimum(a, b), np.maximum(a, b), needed))
+        total += len(a)
+        if total > _ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["a", "b", "needed"])
+            held, total = [], 0
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["a", "b", "needed"])
+
+
+def _small_pairs(batches: Iterator[pa.RecordBatch], rooted: bool) -> Iterator[pa.RecordBatch]:
+    """Meetings (a, b, needed) in the small groups of one partition sorted by key: stars, or of different roots."""
+
+    def parts() -> Iterator[tuple[np.ndarray, ...]]:
+        for keys, fps, n, at, *root in _whole_groups(batches):
+            cut = _cuts(keys)
+            sizes = np.diff(cut)
+            start, place = np.repeat(cut[:-1], sizes), np.arange(len(keys)) - np.repeat(cut[:-1], sizes)
+            for back in range(1, int(sizes.max())):
+                j = np.flatnonzero(place >= back)
+                i = j - back if rooted else start[j]
+                if rooted:
+                    apart = root[0][i] != root[0][j]
+                    i, j = i[apart], j[apart]
+                good = _reach(n, at, i, j)
+                i, j = i[good], j[good]
+                yield fps[i], fps[j], _needed(n, i, j)
+                if not rooted:
+                    break
+
+    yield from _put_out(parts())
+
+
+def _large_pairs(batches: Iterator[pa.RecordBatch], rooted: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, needed) of the large groups of one partition sorted by key, by bitmap."""
+
+    def parts() -> Iterator[tuple[np.ndarray, ...]]:
+        for keys, *columns in _whole_groups(batches):
+            cut = _cuts(keys)
+            for low, high in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                fps, n, at, maps, *root = (c[low:high] for c in columns)
+                for i, j in _group_pairs(root[0]) if rooted else _leader_pairs(n, at, maps):
+                    good = _reach(n, at, i, j)
+                    i, j = i[good], j[good]
+                    good = _alike(n, maps, i, j)
+                    i, j = i[good], j[good]
+                    yield fps[i], fps[j], np.zeros(len(i), np.int64)
+
+    yield from _put_out(parts())
+
+
+def _group_candidates(small: DataFrame, large: DataFrame, rooted: bool) -> DataFrame:
+    """Candidate pairs (a, b) of all groups, those of small ones by their meetings."""
+    small, large = (t.repartition("key").sortWithinPartitions("key", "n", "fp") for t in (small, large))
+    met = small.mapInArrow(leaving_nothing(lambda x: _small_pairs(x, rooted)), "a long, b long, needed long")
+    # a star leaves out meetings, and what it does not give comes in the next round
+    needed = F.max("needed") if rooted else F.lit(2)
+    often = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("meetings"), needed.alias("needed")).where("meetings >= needed")
+    alike = large.mapInArrow(leaving_nothing(lambda x: _large_pairs(x, rooted)), "a long, b long, needed long")
+    return often.select("a", "b").unionByName(alike.select("a", "b")).distinct()
 
 
 def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -254,18 +365,20 @@ def similar_links(sets: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     small_batches(spark)
     prefixes = _prefixes(sets).repartition("key").sortWithinPartitions("key")
-    index = keep(prefixes.mapInArrow(leaving_nothing(_met), "key long, fp long, n long, at long"), "prefixes")
+    index = keep(prefixes.mapInArrow(leaving_nothing(_met), "key long, fp long, n long, at long, sets long"), "prefixes")
     heaps_give_back(spark)
-    grouped = index.repartition("key").sortWithinPartitions("key", "n", "fp")
-    stars = grouped.mapInArrow(leaving_nothing(lambda x: _pairs_of(x, False)), "a long, b long")
-    first = keep(stars.unionByName(_by_fingerprint(sets)).distinct(), "pairs")
+    small = index.where(F.col("sets") <= _SMALL).drop("sets")
+    large = index.where(F.col("sets") > _SMALL).drop("sets")
+    members = few(large.select("fp").distinct(), "members")
+    maps = sets.select("fp", "bits").join(members, "fp", "left_semi").mapInArrow(leaving_nothing(_folded), "fp long, bits binary")
+    large = keep(large.join(maps, "fp").select("key", "fp", "n", "at", "bits"), "large")
+    first = keep(_group_candidates(small, large, False).unionByName(_by_fingerprint(sets)).distinct(), "pairs")
     links = _verified(first, sets)
-    roots = keep(connected_components(links), "roots")
+    roots = few(connected_components(links).withColumnRenamed("node", "fp"), "roots")
     heaps_give_back(spark)
     # a lone set stands for itself; groups of one component have no pairs left
-    rooted = index.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    grouped = rooted.select("key", "fp", "n", "at", "root").repartition("key").sortWithinPartitions("key", "n", "fp")
-    rest = grouped.mapInArrow(leaving_nothing(lambda x: _pairs_of(x, True)), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    rooted = (t.join(roots, "fp", "left").select(*t.columns, F.coalesce("root", "fp").alias("root")) for t in (small, large))
+    rest = _group_candidates(*rooted, True).join(first, ["a", "b"], "left_anti")
     return links.unionByName(_verified(keep(rest, "pairs"), sets))
 
 

@@ -59,3 +59,29 @@ def test_similarity_is_met_exactly(spark):
     rows = [(1, " ".join(words)), (2, " ".join([*words, "x"])), (3, " ".join([*words[:12], "y"])), (4, " ".join(words[:10] + ["z"]))]
     sets = [shingle_dedup.shingles_of(t.encode()) for _, t in rows]
     assert shingle_dedup.similar(sets[0], sets[1]) and shingle_dedup.similar(sets[0], sets[2]) and not shingle_dedup.similar(sets[0], sets[3])
+
+
+def test_groups_yield_few_pairs(spark, monkeypatch):
+    """Variants too far apart, in groups as large as all of them, and texts with one run of words in common."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for _ in range(120):
+        words = list(base)
+        for i in rnd.sample(range(150), rnd.choice([1, 3, 7, 9])):
+            words[i] = f"x{rnd.randrange(12)}"
+        rows.append((len(rows), " ".join(words)))
+    for _ in range(40):
+        words = [f"y{rnd.randrange(10**6)}" for _ in range(100)]
+        rows.append((len(rows), " ".join([*words[:50], "one", "run", "of", "five", "words", *words[50:]])))
+    seen, verified = [], shingle_dedup._verified
+
+    def counted(pairs, sets):
+        seen.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(shingle_dedup, "_verified", counted)
+    table = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.near_duplicates(spark, table, "")
+    assert Counter(r["doc_id"] for r in kept.collect()) == brute_kept(rows)
+    assert len(seen) == 2 and sum(seen) < 4 * len(rows), seen
