@@ -58,3 +58,13 @@ def test_links_must_pay_and_extensions_keep_a_share():
     new[110:130:4] ^= 1  # three of four bytes equal: grown over
     new[200:] ^= 1
     assert kernels.extend_covers(old, new, [(50, 50, 60)]) == [(0, 0, 200)]
+
+
+def test_selected_covers_off_the_diagonal():
+    from deltaweave.operators import pairs
+
+    # two covers with a gap of another size on either side: nothing to link, no error
+    old = np.frombuffer(b"first part of the text, twelve" + b"0123456789" + b"second part of the text, as long", np.uint8)
+    new = np.frombuffer(b"first part of the text, twelve" + b"#" + b"second part of the text, as long", np.uint8)
+    assert kernels.link_covers([(0, 0, 30), (40, 31, 32)], old=old, new=new) == [(0, 0, 30), (40, 31, 32)]
+    assert pairs.FINDERS["selected"](old, new) == [(0, 0, 30), (40, 31, 32)]
