@@ -113,10 +113,11 @@ FINDERS: dict[str, Callable[..., list]] = {
 def block_then_longest(old: np.ndarray, new: np.ndarray, size: int = 64) -> list:
     """Block covers first, longest matches in what they leave, put together."""
     covers = kernels.block_covers(old, new, size)
-    out, end = list(covers), 0
+    out, end, index = list(covers), 0, None
     for _, j, n in [*covers, (0, len(new), 0)]:
         if j - end >= 16:
-            out += [(a, b + end, m) for a, b, m in kernels.longest_covers(old, new[end:j])]
+            index = index or kernels.Suffixes(old)
+            out += [(a, b + end, m) for a, b, m in kernels.longest_covers(old, new[end:j], index=index)]
         end = j + n
     return kernels.collate_covers(out)
 

@@ -65,6 +65,31 @@ def test_selected_covers_off_the_diagonal():
 
     # two covers with a gap of another size on either side: nothing to link, no error
     old = np.frombuffer(b"first part of the text, twelve" + b"0123456789" + b"second part of the text, as long", np.uint8)
-    new = np.frombuffer(b"first part of the text, twelve" + b"#" + b"second part of the text, as long", np.uint8)
-    assert kernels.link_covers([(0, 0, 30), (40, 31, 32)], old=old, new=new) == [(0, 0, 30), (40, 31, 32)]
-    assert pairs.FINDERS["selected"](old, new) == [(0, 0, 30), (40, 31, 32)]
+    new = np.frombuffer(b"first part of the text, twelve" + b"#-#" + b"second part of the text, as long", np.uint8)
+    assert kernels.link_covers([(0, 0, 30), (40, 33, 32)], old=old, new=new) == [(0, 0, 30), (40, 33, 32)]
+    assert pairs.FINDERS["selected"](old, new) == [(0, 0, 30), (40, 33, 32)]
+
+
+def test_longest_covers_look_up_few_places():
+    import time
+
+    rnd = np.random.default_rng(9)
+    words = [rnd.integers(97, 123, k).astype(np.uint8) for k in rnd.integers(3, 9, 2000)]
+    old = np.concatenate([words[k] for k in rnd.integers(0, len(words), 70_000)])
+    new = np.concatenate([old[:9000], old[9040:]])
+    begun = time.process_time()
+    assert kernels.longest_covers(old, new) == [(0, 0, 9000), (9040, 9000, len(old) - 9040)]
+    assert time.process_time() - begun < 1.5
+
+
+def test_window_hashes_of_long_streams_and_windows(monkeypatch):
+    monkeypatch.setattr(kernels, "PIECE", 256)
+    kernels._powers.cache_clear()
+    data = np.random.default_rng(3).integers(0, 2, 3000).astype(np.uint8)
+    for size in (1, 5, 64, 130, 700):
+        hashes, seen = kernels.window_hashes(data, size), {}
+        for i, h in enumerate(hashes.tolist()):
+            seen.setdefault(h, set()).add(data[i : i + size].tobytes())
+        assert len(hashes) == len(data) - size + 1 and all(len(v) == 1 for v in seen.values())
+        assert len(seen) == len({data[i : i + size].tobytes() for i in range(len(hashes))})
+    kernels._powers.cache_clear()
