@@ -34,3 +34,31 @@ def test_damage_is_refused():
     control = zsync.read_control(raw)
     with pytest.raises(ValueError):
         zsync.rebuild(control, b"", [-1] * 8, {i: b"no" for i in range(8)})
+
+
+def test_blocks_of_many_streams_are_digested_together():
+    import numpy as np
+
+    rnd = random.Random(6)
+    for size in (1, 55, 56, 64, 256):
+        rows = np.frombuffer(rnd.randbytes(20 * size), np.uint8).reshape(20, size)
+        assert [d.tobytes() for d in zsync.md4_rows(rows)] == [zsync.md4(r.tobytes()) for r in rows]
+    olds = [b"", b"ab" * 900, rnd.randbytes(3000), b"\0" * 500]
+    news = [b"x" * 70, b"ab" * 500 + b"tail", olds[2][7:], b"\0" * 130]
+    raw = zsync.make_controls(news, 64)
+    assert raw == [zsync.make_control(new, 64) for new in news]
+    controls = [zsync.read_control(r) for r in raw]
+    found = zsync.locate_each(controls, olds)
+    assert found == [zsync.locate(c, o) for c, o in zip(controls, olds)]
+    assert found[1] == [0] * 14 + [1736, -1] and found[0] == [-1, -1]
+
+
+def test_many_blocks_take_little_time():
+    import time
+
+    rnd = random.Random(7)
+    data = rnd.randbytes(1_000_000)
+    begun = time.process_time()
+    control = zsync.read_control(zsync.make_control(data, 256))
+    assert zsync.locate(control, data) == list(range(0, len(data), 256))
+    assert time.process_time() - begun < 1.5
