@@ -98,34 +98,6 @@ def digest_order(signed: DataFrame, depth: int = 2) -> DataFrame:
     return keyed.select("stream_id", "block_index", (F.row_number().over(order) - 1).cast("long").alias("place"))
 
 
-def usual_diagonal(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(stream_id, diagonal): the most frequent old place less new place of blocks
-    whose hash either side has once; the least on a tie."""
-    keys = ["stream_id", "strong"]
-    once = lambda t, name: t.groupBy(*keys).agg(F.min("pos").alias(name), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    met = once(new, "new_pos").join(once(old, "old_pos"), keys)
-    counted = met.groupBy("stream_id", (F.col("old_pos") - F.col("new_pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("stream_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "diagonal")).alias("best")).select("stream_id", "best.diagonal")
-
-
-def nearest_matches(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(stream_id, new_pos, old_pos): for each block of ``new`` the equal block of
-    ``old`` that lies nearest to the usual diagonal, the lesser place on a tie.
-
-    Blocks of one hash are put in one order by place, and each new block looks to
-    the old one before and behind it, so frequent blocks never become pairs.
-    """
-    lead = F.coalesce("diagonal", F.lit(0))
-    asked = new.join(usual_diagonal(new, old), "stream_id", "left").select("stream_id", "strong", (F.col("pos") + lead).alias("at"), F.col("pos").alias("new_pos"), F.lit(None).cast("long").alias("old_pos"))
-    given = old.select("stream_id", "strong", F.col("pos").alias("at"), F.lit(None).cast("long").alias("new_pos"), F.col("pos").alias("old_pos"))
-    order = Window.partitionBy("stream_id", "strong").orderBy("at", F.col("old_pos").isNull())
-    before = F.last("old_pos", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("old_pos", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = asked.unionByName(given).withColumn("before", before).withColumn("after", after).where("new_pos is not null")
-    nearer = F.when(F.col("after").isNull() | (F.col("at") - F.col("before") <= F.col("after") - F.col("at")), F.col("before")).otherwise(F.col("after"))
-    return both.select("stream_id", "new_pos", F.coalesce(nearer, "after").alias("old_pos")).where("old_pos is not null")
-
-
 def xor_check(signed: DataFrame) -> DataFrame:
     """(stream_id, blocks, check): an order-free check over numbered block hashes."""
     numbered = F.md5(F.concat_ws(":", "block_index", "strong"))

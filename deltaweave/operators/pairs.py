@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats, kernels
+from .tables import parts
 
 COVER_COLUMNS = "old_pos long, new_pos long, length long"
 #: Rows that a task hands on at a time.
@@ -45,15 +46,43 @@ def _apply(pairs: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
     return pairs.select("stream_id", "old", "new").mapInArrow(run, f"stream_id {kind}, {schema}")
 
 
+def _apply_arrays(pairs: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], tuple], names: list[str]) -> DataFrame:
+    """Like :func:`_apply` for kernels whose columns are arrays of LONG; a value
+    below zero is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in parts(batch)):
+            found = [kernel(kernels.as_array(o.as_py()), kernels.as_array(n.as_py())) for o, n in zip(part.column(1), part.column(2), strict=True)]
+            ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
+            columns = [np.concatenate([f[k] for f in found]) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64(), mask=c < 0) for c in columns)], ["stream_id", *names])
+
+    kind = pairs.schema["stream_id"].dataType.simpleString()
+    return pairs.select("stream_id", "old", "new").mapInArrow(run, f"stream_id {kind}, " + ", ".join(f"{n} long" for n in names))
+
+
+def sequential_matches(pairs: DataFrame, size: int) -> DataFrame:
+    """(stream_id, block_index, old_index) of whole blocks of new that equal an old
+    one together with the next block, the least old block where there are several."""
+    return _apply_arrays(pairs, lambda old, new: kernels.sequential_blocks(old, new, size), ["block_index", "old_index"])
+
+
+def nearest_matches(pairs: DataFrame, size: int) -> DataFrame:
+    """(stream_id, new_pos, old_pos): for each whole block of new the equal block of
+    old that lies nearest to the usual diagonal, the lesser place on a tie."""
+    return _apply_arrays(pairs, lambda old, new: kernels.nearest_blocks(old, new, size), ["new_pos", "old_pos"])
+
+
 def sync_positions(pairs: DataFrame, size: int) -> DataFrame:
     """(stream_id, block_index, new_pos, length, old_pos) of each whole block of
     new; ``old_pos`` is its first place in old, at any offset, or null."""
 
-    def kernel(old: np.ndarray, new: np.ndarray) -> list[tuple]:
-        found = kernels.sync_positions(old, new, size).tolist()
-        return [(i, i * size, size, None if at < 0 else at) for i, at in enumerate(found)]
+    def kernel(old: np.ndarray, new: np.ndarray) -> tuple:
+        found = kernels.sync_positions(old, new, size)
+        index = np.arange(len(found), dtype=np.int64)
+        return index, index * size, np.full(len(found), size, np.int64), found
 
-    return _apply(pairs, kernel, "block_index long, new_pos long, length long, old_pos long")
+    return _apply_arrays(pairs, kernel, ["block_index", "new_pos", "length", "old_pos"])
 
 
 def sign_positions(pairs: DataFrame, size: int) -> DataFrame:

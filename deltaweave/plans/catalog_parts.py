@@ -260,9 +260,7 @@ _EIGHTS = f"""{_PAIRS}, a AS (SELECT stream_id, 8 * k AS pos, substr(n, 16 * k +
         FROM a JOIN b ON a.stream_id = b.stream_id AND a.b = b.b LEFT JOIN usual ON a.stream_id = usual.stream_id) WHERE nth = 1"""
 )
 def nearest_block_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = text_pairs(spark, sf_dir)
-    cut = lambda side: blocks.split_blocks(both.select("stream_id", F.col(side).alias("content")), 8, tail=False).select("stream_id", "pos", F.md5("block").alias("strong"))
-    return blocks.nearest_matches(cut("new"), cut("old"))
+    return pairs.nearest_matches(text_pairs(spark, sf_dir), 8)
 
 
 # containers

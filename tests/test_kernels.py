@@ -93,3 +93,29 @@ def test_window_hashes_of_long_streams_and_windows(monkeypatch):
         assert len(hashes) == len(data) - size + 1 and all(len(v) == 1 for v in seen.values())
         assert len(seen) == len({data[i : i + size].tobytes() for i in range(len(hashes))})
     kernels._powers.cache_clear()
+
+
+def test_nearest_blocks_by_brute_force():
+    rnd = np.random.default_rng(12)
+    for size in (2, 8, 9):
+        for _ in range(60):
+            old, new = (np.repeat(rnd.integers(0, 3, rnd.integers(0, 40)).astype(np.uint8), size) for _ in range(2))
+            a, b = ([v[i : i + size].tobytes() for i in range(0, len(v) - size + 1, size)] for v in (old, new))
+            once = [(a.index(x) - b.index(x)) * size for x in set(a) & set(b) if a.count(x) == b.count(x) == 1]
+            usual = min(once, key=lambda d: (-once.count(d), d), default=0)
+            want = []
+            for j, x in enumerate(b):
+                places = [i * size for i, y in enumerate(a) if x == y]
+                if places:
+                    want.append((j * size, min(places, key=lambda i: (abs(i - j * size - usual), i))))
+            assert list(zip(*(c.tolist() for c in kernels.nearest_blocks(old, new, size)), strict=True)) == want
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_nearest_matches_without_a_shuffle(spark, sf_dir):
+    from deltaweave.plans import catalog
+
+    assert _shuffles(catalog.QUERIES["nearest_block_matches"](spark, sf_dir)) == 0
