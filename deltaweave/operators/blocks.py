@@ -75,19 +75,6 @@ def known_blocks(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(old.select("strong").distinct(), "strong", "left_semi")
 
 
-def sequential_matches(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Blocks of ``new`` whose hash and next block's hash both follow in ``old``.
-
-    (stream_id, block_index, old_index), the least old block where there are
-    several.  The next hashes are joined as one key.
-    """
-    order = Window.partitionBy("stream_id").orderBy("block_index")
-    pair = lambda t: t.withColumn("following", F.lead("strong").over(order)).where("following IS NOT NULL")
-    left = pair(new).select("stream_id", "strong", "following", "block_index")
-    right = pair(old).groupBy("stream_id", "strong", "following").agg(F.min("block_index").alias("old_index"))
-    return left.join(right, ["stream_id", "strong", "following"]).select("stream_id", "block_index", "old_index")
-
-
 def digest_order(signed: DataFrame, depth: int = 2) -> DataFrame:
     """(stream_id, block_index, place): the blocks of a stream by their digest, then
     by up to ``depth`` digests behind it, the later block first on a tie."""

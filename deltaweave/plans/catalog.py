@@ -217,13 +217,7 @@ def xor_file_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY a.stream_id, a.block_index"""
 )
 def seq_match_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = text_pairs(spark, sf_dir)
-
-    def signed(side: str) -> DataFrame:
-        cut = blocks.split_blocks(both.select("stream_id", F.col(side).alias("content")), B, tail=False)
-        return cut.select("stream_id", "block_index", F.md5("block").alias("strong"))
-
-    return blocks.sequential_matches(signed("new"), signed("old"))
+    return pairs.sequential_matches(text_pairs(spark, sf_dir), B)
 
 
 # matching

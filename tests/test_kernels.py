@@ -119,3 +119,16 @@ def test_nearest_matches_without_a_shuffle(spark, sf_dir):
     from deltaweave.plans import catalog
 
     assert _shuffles(catalog.QUERIES["nearest_block_matches"](spark, sf_dir)) == 0
+
+
+def test_sequential_blocks_by_brute_force(spark, sf_dir):
+    from deltaweave.plans import catalog
+
+    rnd = np.random.default_rng(13)
+    for size in (1, 4, 64):
+        for _ in range(60):
+            old, new = (np.repeat(rnd.integers(0, 3, rnd.integers(0, 30)).astype(np.uint8), size) for _ in range(2))
+            a, b = ([v[i : i + size].tobytes() for i in range(0, len(v) - size + 1, size)] for v in (old, new))
+            want = [(j, i[0]) for j in range(len(b) - 1) if (i := [k for k in range(len(a) - 1) if a[k : k + 2] == b[j : j + 2]])]
+            assert list(zip(*(c.tolist() for c in kernels.sequential_blocks(old, new, size)), strict=True)) == want
+    assert _shuffles(catalog.QUERIES["seq_match_blocks"](spark, sf_dir)) == 0
