@@ -6,17 +6,20 @@ is shuffled.  A null content is an empty one.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats, kernels
-from .tables import parts
+from .covers import violations
+from .tables import parts, written
 
 COVER_COLUMNS = "old_pos long, new_pos long, length long"
+COVER_LIST = "array<struct<new_pos:bigint,old_pos:bigint,length:bigint>>"
 #: Rows that a task hands on at a time.
 BATCH_ROWS = 1 << 16
 Kernel = Callable[[np.ndarray, np.ndarray], list[tuple]]
@@ -164,24 +167,51 @@ def find_covers_in_chunks(pairs: DataFrame, finder: str = "block", size: int = 6
     """Covers of long streams: chunks of new are matched by separate tasks.
 
     A chunk reaches ``overlap`` bytes into the next one; the covers of a stream
-    are then put in order and freed of overlap.
+    are then put in order and freed of overlap.  A cover that meets the end of its
+    chunk grows on over some bytes behind it: the next chunk may have taken another
+    old place there, whose end leaves less than a block to find.  The few streams in
+    which one meets the end of those bytes as well are grown once more, whole.
     """
-    kernel = FINDERS[finder]
+    kernel, ahead = FINDERS[finder], max(2 * size, 64)
+
+    def within(old: np.ndarray, new: np.ndarray) -> list[tuple]:
+        part = new[: chunk + overlap]
+        found = kernel(old, part, size)
+        if found and found[-1][1] + found[-1][2] == len(part) < len(new):
+            i, j, n = found[-1]
+            found[-1] = (i, j, n + kernels.common_prefix(old[i + n :], new[j + n :]))
+        return found
+
     count = F.greatest(F.ceil(F.octet_length("new") / chunk).cast("int"), F.lit(1))
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.struct((c.cast("long") * chunk).alias("begin"), F.substring("new", c * chunk + 1, chunk + overlap).alias("part")))
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.struct((c.cast("long") * chunk).alias("begin"), F.substring("new", c * chunk + 1, chunk + overlap + ahead).alias("part")))
     rows = pairs.select("stream_id", "old", F.explode(cut).alias("c")).select(F.struct("stream_id", "c.begin").alias("key"), "old", F.col("c.part").alias("new"))
     rows = rows.repartition("key").withColumnRenamed("key", "stream_id")
-    found = _apply(rows, lambda old, new: kernel(old, new, size), COVER_COLUMNS)
+    found = _apply(rows, within, COVER_COLUMNS)
     found = found.select("stream_id.stream_id", "old_pos", (F.col("new_pos") + F.col("stream_id.begin")).alias("new_pos"), "length")
 
     def collate(table: pa.Table) -> pa.Table:
         covers = zip(*(table.column(c).to_pylist() for c in ("old_pos", "new_pos", "length")), strict=True)
         made = kernels.collate_covers(list(covers))
         columns = list(zip(*made, strict=True)) if made else [[], [], []]
+        begins = [*columns[1][1:], None]
+        open_end = any((j + n - overlap - ahead) % chunk == 0 and j + n != after for (_, j, n), after in zip(made, begins, strict=True))
         ids = table.column("stream_id").combine_chunks().take(pa.array([0] * len(made), pa.int64()))
-        return pa.table([ids, *(pa.array(c, pa.int64()) for c in columns)], names=["stream_id", "old_pos", "new_pos", "length"])
+        return pa.table([ids, *(pa.array(c, pa.int64()) for c in columns), pa.array([open_end] * len(made), pa.bool_())], names=["stream_id", "old_pos", "new_pos", "length", "open_end"])
+
+    kind = pairs.schema["stream_id"].dataType.simpleString()
+    collated = written(found.groupBy("stream_id").applyInArrow(collate, f"stream_id {kind}, {COVER_COLUMNS}, open_end boolean"), "chunks")
+    lists = collated.where("open_end").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("new_pos", "old_pos", "length"))).alias("covers"))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in parts(batch)):
+            for i in range(part.num_rows):
+                covers = [(c["old_pos"], c["new_pos"], c["length"]) for c in part.column(3)[i].as_py()]
+                made = kernels.grow_ends(kernels.as_array(part.column(1)[i].as_py()), kernels.as_array(part.column(2)[i].as_py()), covers)
+                ids = part.column(0).take(pa.array([i] * len(made), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in zip(*made, strict=True))], ["stream_id", "old_pos", "new_pos", "length"])
 
-    return found.groupBy("stream_id").applyInArrow(collate, found.schema)
+    grown = pairs.select("stream_id", "old", "new").join(lists, "stream_id").mapInArrow(grow, f"stream_id {kind}, {COVER_COLUMNS}")
+    return collated.where("NOT open_end").drop("open_end").unionByName(grown)
 
 
 def covers_of(diffs: DataFrame) -> DataFrame:
@@ -285,6 +315,35 @@ def resave(diffs: DataFrame, packing: str) -> DataFrame:
     return diffs.withColumn("diff", F.arrow_udf(run, BinaryType())("diff"))
 
 
+def rebuilt(old: Column, new: Column, covers: Column) -> Column:
+    """A new stream from old bytes under its list of covers and literals from new."""
+
+    def piece(c, i):  # noqa: ANN001, ANN202
+        last = F.get(covers, i - 1)
+        end = F.when(i == 0, F.lit(0)).otherwise(last["new_pos"] + last["length"])
+        literal = F.substring(new, (end + 1).cast("int"), (c["new_pos"] - end).cast("int"))
+        return F.hex(F.concat(literal, F.substring(old, (c["old_pos"] + 1).cast("int"), c["length"].cast("int"))))
+
+    last = F.try_element_at(covers, F.lit(-1))
+    end = F.coalesce(last["new_pos"] + last["length"], F.lit(0))
+    tail = F.substring(new, (end + 1).cast("int"), F.octet_length(new))
+    made = F.array_join(F.transform(covers, piece), "")
+    return F.unhex(F.concat(made, F.hex(tail)))
+
+
+def growable(old: Column, new: Column, covers: Column) -> Column:
+    """How many covers of a list could be longer at their end: the next bytes of
+    both streams are equal, and no other cover begins there."""
+
+    def grows(c, i):  # noqa: ANN001, ANN202
+        a, b = c["old_pos"] + c["length"], c["new_pos"] + c["length"]
+        stop = F.coalesce(F.get(covers, i + 1)["new_pos"], F.octet_length(new))
+        free = (a < F.octet_length(old)) & (b < stop)
+        return free & (F.substring(old, (a + 1).cast("int"), F.lit(1)) == F.substring(new, (b + 1).cast("int"), F.lit(1)))
+
+    return F.size(F.filter(F.transform(covers, grows), lambda g: g)).cast("long")
+
+
 def rebuild(pairs: DataFrame, covers: DataFrame) -> DataFrame:
     """(stream_id, made): new streams from old bytes under covers and new literals.
 
@@ -292,18 +351,28 @@ def rebuild(pairs: DataFrame, covers: DataFrame) -> DataFrame:
     so only covers are grouped, not bytes.
     """
     lists = covers.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("new_pos", "old_pos", "length"))).alias("covers"))
-    joined = pairs.join(lists, "stream_id", "left")
-    empty = F.array().cast("array<struct<new_pos:bigint,old_pos:bigint,length:bigint>>")
-    listed = joined.withColumn("covers", F.coalesce("covers", empty))
+    listed = pairs.join(lists, "stream_id", "left").withColumn("covers", F.coalesce("covers", F.array().cast(COVER_LIST)))
+    return listed.select("stream_id", rebuilt(F.col("old"), F.col("new"), F.col("covers")).alias("made"))
 
-    def piece(c, i):  # noqa: ANN001, ANN202
-        last = F.get(F.col("covers"), i - 1)
-        end = F.when(i == 0, F.lit(0)).otherwise(last["new_pos"] + last["length"])
-        literal = F.substring("new", (end + 1).cast("int"), (c["new_pos"] - end).cast("int"))
-        return F.hex(F.concat(literal, F.substring("old", (c["old_pos"] + 1).cast("int"), c["length"].cast("int"))))
 
-    last = F.try_element_at("covers", F.lit(-1))
-    end = F.coalesce(last["new_pos"] + last["length"], F.lit(0))
-    tail = F.substring("new", (end + 1).cast("int"), F.octet_length("new"))
-    made = F.array_join(F.transform("covers", piece), "")
-    return listed.select("stream_id", F.unhex(F.concat(made, F.hex(tail))).alias("made"))
+def checked_rebuilds(pairs: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """(finder, stream_id, made, growable, wrong) of the covers of several finders:
+    what they rebuild, how many could be longer at their end, and how many break
+    a rule.
+
+    Every finder runs once: its covers (numbers) are written; all lists of a
+    stream meet its pair in one join.
+    """
+    tagged = [table.select(F.lit(name).alias("finder"), "stream_id", "old_pos", "new_pos", "length") for name, table in found.items()]
+    every = written(functools.reduce(DataFrame.unionByName, tagged), "covers")
+    finders = F.explode(F.array(*map(F.lit, found))).alias("finder")
+    lists = every.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("finder", "new_pos", "old_pos", "length"))).alias("list"))
+    mine = F.transform(F.filter("list", lambda c: c["finder"] == F.col("finder")), lambda c: F.struct(c["new_pos"].alias("new_pos"), c["old_pos"].alias("old_pos"), c["length"].alias("length")))
+    rows = pairs.join(lists, "stream_id", "left").select("stream_id", "old", "new", "list", finders)
+    rows = rows.select("finder", "stream_id", "old", "new", F.coalesce(mine, F.array().cast(COVER_LIST)).alias("covers"))
+    made = rows.select("finder", "stream_id", rebuilt(F.col("old"), F.col("new"), F.col("covers")).alias("made"), growable(F.col("old"), F.col("new"), F.col("covers")).alias("growable"))
+    key = F.struct("finder", "stream_id").alias("stream_id")
+    sizes = pairs.select("stream_id", F.octet_length("old").cast("long").alias("old_size"), F.octet_length("new").cast("long").alias("new_size")).select("*", finders)
+    broken = violations(every.select(key, "old_pos", "new_pos", "length"), sizes.select(key, "old_size", "new_size"))
+    counted = broken.groupBy("stream_id.finder", "stream_id.stream_id").agg(F.count(F.lit(1)).alias("wrong"))
+    return made.join(counted, ["finder", "stream_id"], "left").withColumn("wrong", F.coalesce("wrong", F.lit(0).cast("long")))

@@ -9,7 +9,7 @@ from ..functions import checksums
 from ..operators import blocks, bytes as byte_ops, covers, files, pairs
 from ..sources import manifests
 from . import directory, sync
-from .catalog import _APPLIED, _BLOCKS, _BOTH_BYTES, _BYTE, _COVERS, _FILES, _LAYOUT, _NEEDED, _NEW, _PAIRS, _RUNS, _SIGNED, _SYNC, B, _files, _layout, _sums, _sums_sql, old_streams, pair_sizes, query, sync_covers, sync_rows, text_pairs
+from .catalog import _APPLIED, _BLOCKS, _BOTH_BYTES, _BYTE, _COVERS, _FILES, _LAYOUT, _NEEDED, _NEW, _PAIRS, _RUNS, _SIGNED, _SYNC, B, _files, _layout, _sums, _sums_sql, old_streams, query, sync_covers, sync_rows, text_pairs
 
 
 def _weighed(values: F.Column) -> F.Column:
@@ -218,13 +218,8 @@ def cover_rebuilds(spark: SparkSession, sf_dir: str) -> DataFrame:
         "containers": read_back,
         "steps": by_step,
     }
-    out = None
-    for name, table in found.items():
-        made = pairs.rebuild(both, table).select("stream_id", F.md5("made").alias("made_md5"))
-        wrong = covers.violations(table, pair_sizes(both)).groupBy("stream_id").agg(F.count(F.lit(1)).alias("wrong"))
-        rows = made.join(wrong, "stream_id", "left").select(F.lit(name).alias("finder"), "stream_id", "made_md5", F.coalesce("wrong", F.lit(0).cast("long")).alias("wrong"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    made = pairs.checked_rebuilds(both, found)
+    return made.select("finder", "stream_id", F.md5("made").alias("made_md5"), (F.col("wrong") + F.col("growable")).alias("wrong"))
 
 
 @query(

@@ -132,3 +132,34 @@ def test_sequential_blocks_by_brute_force(spark, sf_dir):
             want = [(j, i[0]) for j in range(len(b) - 1) if (i := [k for k in range(len(a) - 1) if a[k : k + 2] == b[j : j + 2]])]
             assert list(zip(*(c.tolist() for c in kernels.sequential_blocks(old, new, size)), strict=True)) == want
     assert _shuffles(catalog.QUERIES["seq_match_blocks"](spark, sf_dir)) == 0
+
+
+def test_covers_that_could_be_longer_are_counted(spark):
+    from deltaweave.operators import pairs
+
+    both = spark.createDataFrame([(1, b"abcdefgh--", b"xxabcdefgh"), (2, b"same", b"same")], "stream_id long, old binary, new binary")
+    table = lambda rows: spark.createDataFrame(rows, "stream_id long, old_pos long, new_pos long, length long")
+    found = {"short": table([(1, 0, 2, 3), (2, 0, 0, 4)]), "cut": table([(1, 0, 2, 3), (1, 3, 5, 5)]), "broken": table([(2, 0, 0, 4), (2, 0, 1, 3)])}
+    got = {(r["finder"], r["stream_id"]): (bytes(r["made"]), r["growable"], r["wrong"]) for r in pairs.checked_rebuilds(both, found).collect()}
+    assert got[("short", 1)] == (b"xxabcdefgh", 1, 0) and got[("cut", 1)] == (b"xxabcdefgh", 0, 0)
+    assert got[("short", 2)] == (b"same", 0, 0) and got[("broken", 2)][2] == 1 and len(got) == 6
+    assert kernels.collate_covers([(0, 0, 20), (50, 10, 12), (90, 12, 30)]) == [(0, 0, 12), (90, 12, 30)]
+
+
+def test_chunks_end_where_whole_streams_do(spark):
+    from deltaweave.operators import pairs
+
+    # a later chunk takes another old place for repeated bytes, whose end leaves less than a block
+    rnd = np.random.default_rng(21)
+    rows = []
+    for k in range(40):
+        part = rnd.integers(97, 123, 130).astype(np.uint8)
+        old = rnd.integers(97, 123, 900).astype(np.uint8)
+        old[40 + k : 170 + k] = part
+        old[580 + k : 710 + k] = part
+        rows.append((k, old.tobytes(), b"INSERTED " + old[:800].tobytes()))
+    both = spark.createDataFrame(rows, "stream_id long, old binary, new binary")
+    made = pairs.checked_rebuilds(both, {"chunks": pairs.find_covers_in_chunks(both, "block", 64, 512, 128)}).collect()
+    assert len(made) == 40 and all(r["growable"] == r["wrong"] == 0 for r in made)
+    line = np.arange(50, dtype=np.uint8)
+    assert kernels.grow_ends(line, line, [(0, 0, 10), (20, 20, 5)]) == [(0, 0, 50)]
