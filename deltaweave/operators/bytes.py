@@ -1,91 +1,129 @@
 """Byte-grain operators: rows of single bytes, runs, differences, histograms.
 
-A content becomes bytes in its row, as an array of 0 to 255, and rows only at
-the grain of runs where the result allows it.
+A content stays a binary in its row; rows come only at the grain of runs, where
+the result is one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..functions import codecs, kernels
+from .tables import parts
 
 
-def byte_values(content: Column) -> Column:
-    """The bytes of a binary as an array of INT 0 to 255."""
+def _of_rows(kernel: Callable[..., object], kind: pa.DataType, columns: Sequence[pa.Array]) -> pa.Array:
+    """A kernel on each row of binaries, some megabytes at a time."""
+    batch = pa.RecordBatch.from_arrays(list(columns), [str(k) for k in range(len(columns))])
+    made = [pa.array([kernel(*(kernels.as_array(v.as_py()) for v in row)) for row in zip(*part.columns, strict=True)], kind) for part in parts(batch)]
+    return pa.concat_arrays(made) if made else pa.array([], kind)
 
-    def run(values: pa.Array) -> pa.Array:
-        flat = pa.array(np.frombuffer(b"".join(v.as_py() or b"" for v in values), np.uint8).astype(np.int32))
-        ends = np.r_[0, np.cumsum([len(v.as_py() or b"") for v in values], dtype=np.int64)].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
-    return F.arrow_udf(run, ArrayType(IntegerType()))(content)
+def subtract(new: Column, old: Column) -> Column:
+    """new - old modulo 256 of two binaries; the shorter one decides the size."""
 
+    def run(n: pa.Array, o: pa.Array) -> pa.Array:
+        return _of_rows(lambda x, y: (x[: len(y)] - y[: len(x)]).tobytes(), pa.binary(), (n, o))
 
-def subtract(new: Column, old: Column) -> Column:
-    """new - old modulo 256 of two byte arrays; the shorter one decides the size."""
-    n = F.least(F.size(new), F.size(old))
-    return F.zip_with(F.slice(new, 1, n), F.slice(old, 1, n), lambda x, y: F.pmod(x - y, F.lit(256)))
+    return F.arrow_udf(run, BinaryType())(new, old)
 
 
 def add(difference: Column, old: Column) -> Column:
-    """difference + old modulo 256 of two byte arrays."""
-    return F.zip_with(difference, old, lambda x, y: F.pmod(x + y, F.lit(256)))
+    """difference + old modulo 256 of two binaries; the shorter one decides the size."""
+
+    def run(d: pa.Array, o: pa.Array) -> pa.Array:
+        return _of_rows(lambda x, y: (x[: len(y)] + y[: len(x)]).tobytes(), pa.binary(), (d, o))
+
+    return F.arrow_udf(run, BinaryType())(difference, old)
+
+
+def byte_sums(content: Column) -> Column:
+    """Struct (bytes, zeros, weighed) of a binary: its size, how many bytes are
+    zero, and the bytes weighed by their place, as a number to compare."""
+    kinds = [("bytes", LongType()), ("zeros", LongType()), ("weighed", LongType())]
+
+    def kernel(data: np.ndarray) -> dict:
+        weighed = int((data * (np.arange(len(data)) % 251 + 1)).sum()) if len(data) else 0
+        return {"bytes": len(data), "zeros": len(data) - int(np.count_nonzero(data)), "weighed": weighed}
+
+    def run(values: pa.Array) -> pa.Array:
+        return _of_rows(kernel, pa.struct([(n, pa.int64()) for n, _ in kinds]), (values,))
+
+    return F.arrow_udf(run, StructType([StructField(*k) for k in kinds]))(content)
 
 
 def _per_stream(streams: DataFrame, kernel, kinds: list[tuple[str, str]]) -> DataFrame:  # noqa: ANN001
     names = [n for n, _ in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                columns = kernel(kernels.as_array(batch.column(1)[i].as_py()))
-                ids = batch.column(0).take(pa.array(np.full(len(columns[0]), i), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.asarray(c, np.int64)) for c in columns)], ["stream_id", *names])
+        for part in (p for batch in batches for p in parts(batch)):
+            found = [kernel(kernels.as_array(v.as_py())) for v in part.column(1)]
+            ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
+            columns = [np.concatenate([np.asarray(f[k], np.int64) for f in found]) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], ["stream_id", *names])
 
     kind = streams.schema["stream_id"].dataType.simpleString()
     return streams.select("stream_id", "content").mapInArrow(run, f"stream_id {kind}, " + ", ".join(f"{n} {k}" for n, k in kinds))
 
 
+def _runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pos, value, length) of the maximal runs of equal bytes."""
+    cut = np.flatnonzero(np.r_[True, data[1:] != data[:-1]]) if len(data) else np.zeros(0, np.int64)
+    return cut, data[cut], np.diff(np.r_[cut, len(data)]) if len(data) else cut
+
+
 def runs(streams: DataFrame) -> DataFrame:
     """(stream_id, pos, value, length) of the maximal runs of equal bytes."""
+    return _per_stream(streams, _runs, [("pos", "long"), ("value", "long"), ("length", "long")])
 
-    def kernel(data: np.ndarray):  # noqa: ANN202
-        cut = np.flatnonzero(np.r_[True, data[1:] != data[:-1]]) if len(data) else np.zeros(0, np.int64)
-        return cut, data[cut], np.diff(np.r_[cut, len(data)]) if len(data) else cut
 
-    return _per_stream(streams, kernel, [("pos", "long"), ("value", "long"), ("length", "long")])
+def run_lists(streams: DataFrame) -> DataFrame:
+    """(stream_id, values, lengths): the runs of a stream in its row, a byte and a
+    length each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in parts(batch)):
+            found = [_runs(kernels.as_array(v.as_py())) for v in part.column(1)]
+            ends = np.r_[0, np.cumsum([len(f[0]) for f in found])].astype(np.int32)
+            lengths = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[2] for f in found]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[1].tobytes() for f in found], pa.binary()), lengths], ["stream_id", "values", "lengths"])
+
+    kind = streams.schema["stream_id"].dataType.simpleString()
+    return streams.select("stream_id", "content").mapInArrow(run, f"stream_id {kind}, values binary, lengths array<int>")
 
 
 def zero_runs(streams: DataFrame) -> DataFrame:
     """(stream_id, pos, zeros, others): alternating runs that tile a content."""
 
     def kernel(data: np.ndarray):  # noqa: ANN202
-        pairs = codecs.zero_runs(data)
-        sizes = np.array(pairs, np.int64).reshape(-1, 2)
-        return np.cumsum(sizes.sum(1)) - sizes.sum(1), sizes[:, 0], sizes[:, 1]
+        zeros, others = codecs.zero_run_sizes(data)
+        return np.cumsum(zeros + others) - zeros - others, zeros, others
 
     return _per_stream(streams, kernel, [("pos", "long"), ("zeros", "long"), ("others", "long")])
 
 
-def expand_runs(runs_table: DataFrame) -> DataFrame:
-    """(stream_id, values): the byte arrays that runs describe."""
-    parts = runs_table.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value", "length"))).alias("runs"))
-    return parts.select("stream_id", F.flatten(F.transform("runs", lambda r: F.array_repeat(r["value"].cast("int"), r["length"].cast("int")))).alias("values"))
+def expand_runs(values: Column, lengths: Column) -> Column:
+    """The bytes that the runs of :func:`run_lists` describe."""
+
+    def run(v: pa.Array, n: pa.Array) -> pa.Array:
+        made = []
+        for row, sizes in zip(v, n, strict=True):
+            made.append(np.repeat(kernels.as_array(row.as_py()), sizes.values.to_numpy(zero_copy_only=False)).tobytes())
+        return pa.array(made, pa.binary())
 
+    return F.arrow_udf(run, BinaryType())(values, lengths)
 
-def region_cost(runs_table: DataFrame) -> DataFrame:
-    """(stream_id, cost): leading zeros are free, a run of 0 or 255 or a single
-    byte costs one, another run two."""
-    free = (F.col("pos") == 0) & (F.col("value") == 0)
-    cost = F.when(free, 0).when(F.col("value").isin(0, 255) | (F.col("length") == 1), 1).otherwise(2)
-    return runs_table.groupBy("stream_id").agg(F.sum(cost).cast("long").alias("cost"))
+
+def region_cost(streams: DataFrame) -> DataFrame:
+    """(stream_id, cost) of the runs of a content: leading zeros are free, a run of 0
+    or 255 or a single byte costs one, another run two.  Empty ones have no row."""
+    return _per_stream(streams, lambda data: ([kernels.region_rle_cost(data)] if len(data) else [],), [("cost", "long")])
 
 
 def bigram_counts(streams: DataFrame) -> DataFrame:
@@ -209,7 +247,7 @@ def container_kind(content: Column) -> Column:
 
 def container_info(content: Column) -> Column:
     """Struct (kind, packing, old_size, new_size) of the head of a container."""
-    from pyspark.sql.types import StringType, StructField, StructType
+    from pyspark.sql.types import StringType
 
     from ..functions import formats
 

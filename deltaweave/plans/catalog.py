@@ -435,7 +435,7 @@ def byte_rle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_RUNS} SELECT stream_id, sum(CASE WHEN pos = 0 AND value = 0 THEN 0 WHEN value IN (0, 255) OR length = 1 THEN 1 ELSE 2 END)::BIGINT AS cost FROM runs GROUP BY stream_id"""
 )
 def region_rle_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_ops.region_cost(byte_ops.runs(old_streams(spark, sf_dir)))
+    return byte_ops.region_cost(old_streams(spark, sf_dir))
 
 
 @query(
@@ -456,10 +456,8 @@ _BOTH_BYTES = f"""{_PAIRS}, cut AS (SELECT stream_id, c, substr(o, 2048 * c + 1,
 @query(f"WITH {_BOTH_BYTES} SELECT stream_id, count(*) AS bytes, count(*) FILTER (d = 0) AS zeros, sum(d * (pos % 251 + 1))::BIGINT AS weighed FROM difference GROUP BY stream_id")
 def sub_diff_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = text_pairs(spark, sf_dir)
-    d = byte_ops.subtract(byte_ops.byte_values(F.col("new")), byte_ops.byte_values(F.col("old")))
-    found = both.select("stream_id", d.alias("d")).where(F.size("d") > 0)
-    weighed = F.aggregate(F.transform("d", lambda x, i: x.cast("long") * (i % 251 + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select("stream_id", F.size("d").cast("long").alias("bytes"), F.size(F.filter("d", lambda x: x == 0)).cast("long").alias("zeros"), weighed.alias("weighed"))
+    found = both.select("stream_id", byte_ops.byte_sums(byte_ops.subtract(F.col("new"), F.col("old"))).alias("s"))
+    return found.where("s.bytes > 0").select("stream_id", "s.bytes", "s.zeros", "s.weighed")
 
 
 @query(
@@ -473,9 +471,7 @@ def sub_diff_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rle0_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = text_pairs(spark, sf_dir)
-    d = byte_ops.subtract(byte_ops.byte_values(F.col("new")), byte_ops.byte_values(F.col("old")))
-    flat = F.unhex(F.array_join(F.transform(d, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
-    return byte_ops.zero_runs(both.select("stream_id", flat.alias("content")))
+    return byte_ops.zero_runs(both.select("stream_id", byte_ops.subtract(F.col("new"), F.col("old")).alias("content")))
 
 
 @query(

@@ -12,11 +12,6 @@ from . import directory, sync
 from .catalog import _APPLIED, _BLOCKS, _BOTH_BYTES, _BYTE, _COVERS, _FILES, _LAYOUT, _NEEDED, _NEW, _PAIRS, _RUNS, _SIGNED, _SYNC, B, _files, _layout, _sums, _sums_sql, old_streams, query, sync_covers, sync_rows, text_pairs
 
 
-def _weighed(values: F.Column) -> F.Column:
-    """Bytes weighed by their place, as a number to compare."""
-    return F.aggregate(F.transform(values, lambda x, i: x.cast("long") * (i % 251 + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
-
-
 # bytes and numbers
 
 
@@ -63,16 +58,16 @@ _NEW_BYTES = f"""{_PAIRS}, cut AS (SELECT stream_id, c, substr(n, 2048 * c + 1,
 @query(f"WITH {_NEW_BYTES} SELECT stream_id, count(*) AS bytes, sum(value * (pos % 251 + 1))::BIGINT AS weighed FROM new_bytes WHERE pos < size GROUP BY stream_id")
 def added_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The difference of two streams put on the old one again gives the new one."""
-    both = text_pairs(spark, sf_dir).select("stream_id", byte_ops.byte_values(F.col("old")).alias("o"), byte_ops.byte_values(F.col("new")).alias("n"))
-    made = both.select("stream_id", byte_ops.add(byte_ops.subtract(F.col("n"), F.col("o")), F.slice("o", 1, F.least(F.size("n"), F.size("o")))).alias("made"))
-    return made.where(F.size("made") > 0).select("stream_id", F.size("made").cast("long").alias("bytes"), _weighed(F.col("made")).alias("weighed"))
+    made = byte_ops.add(byte_ops.subtract(F.col("new"), F.col("old")), F.col("old"))
+    found = text_pairs(spark, sf_dir).select("stream_id", byte_ops.byte_sums(made).alias("s"))
+    return found.where("s.bytes > 0").select("stream_id", "s.bytes", "s.weighed")
 
 
 @query(f"WITH {_RUNS} SELECT stream_id, count(*) AS bytes, sum(value * (pos % 251 + 1))::BIGINT AS weighed FROM bytes GROUP BY stream_id")
 def expanded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of equal bytes expanded give the bytes again."""
-    made = byte_ops.expand_runs(byte_ops.runs(old_streams(spark, sf_dir)))
-    return made.select("stream_id", F.size("values").cast("long").alias("bytes"), _weighed(F.col("values")).alias("weighed"))
+    found = byte_ops.run_lists(old_streams(spark, sf_dir)).select("stream_id", byte_ops.byte_sums(byte_ops.expand_runs(F.col("values"), F.col("lengths"))).alias("s"))
+    return found.where("s.bytes > 0").select("stream_id", "s.bytes", "s.weighed")
 
 
 @query(

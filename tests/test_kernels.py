@@ -163,3 +163,26 @@ def test_chunks_end_where_whole_streams_do(spark):
     assert len(made) == 40 and all(r["growable"] == r["wrong"] == 0 for r in made)
     line = np.arange(50, dtype=np.uint8)
     assert kernels.grow_ends(line, line, [(0, 0, 10), (20, 20, 5)]) == [(0, 0, 50)]
+
+
+def test_byte_operators_on_binaries(spark):
+    from pyspark.sql import functions as F
+
+    from deltaweave.functions import codecs
+    from deltaweave.operators import bytes as byte_ops
+
+    rows = [(1, b"aabbbc", b"aabbb"), (2, b"", b"xyz"), (3, None, b"x"), (4, b"\0\0\xff\xff\1", b"\1\1\1\1\1\1\1"), (5, b"a" * 70000, b"b" * 70000)]
+    both = spark.createDataFrame(rows, "stream_id long, old binary, new binary")
+    made = both.select("stream_id", byte_ops.subtract(F.col("new"), F.col("old")).alias("d"), byte_ops.add(byte_ops.subtract(F.col("new"), F.col("old")), F.col("old")).alias("n"))
+    got = {r["stream_id"]: (bytes(r["d"]), bytes(r["n"])) for r in made.collect()}
+    for k, old, new in rows:
+        n = min(len(old or b""), len(new))
+        assert got[k] == (bytes((y - x) % 256 for x, y in zip(old or b"", new)), new[:n])
+    streams = both.select("stream_id", F.col("old").alias("content"))
+    back = byte_ops.run_lists(streams).select("stream_id", byte_ops.expand_runs(F.col("values"), F.col("lengths")).alias("v"))
+    assert {r["stream_id"]: bytes(r["v"]) for r in back.collect()} == {k: old or b"" for k, old, _ in rows}
+    assert {tuple(r) for r in byte_ops.region_cost(streams).collect()} == {(1, 5), (4, 2), (5, 2)}
+    assert {tuple(r) for r in byte_ops.zero_runs(streams).where("stream_id in (1, 4)").collect()} == {(1, 0, 0, 6), (4, 0, 2, 3)}
+    sums = both.select("stream_id", byte_ops.byte_sums(F.col("old")).alias("s")).where("stream_id = 4").first()["s"]
+    assert tuple(sums) == (5, 2, 255 * 3 + 255 * 4 + 5)
+    assert [len(c) for c in codecs.zero_run_sizes(np.zeros(0, np.uint8))] == [0, 0]
