@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import formats, kernels
 from .covers import violations
@@ -27,7 +28,7 @@ Kernel = Callable[[np.ndarray, np.ndarray], list[tuple]]
 
 def _each(kernel: Kernel, kinds: list[pa.DataType], names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             ids, rows = [], []
             for i in range(batch.num_rows):
                 found = kernel(kernels.as_array(batch.column(1)[i].as_py()), kernels.as_array(batch.column(2)[i].as_py()))
@@ -287,21 +288,51 @@ def diff(pairs: DataFrame, kind: str = "steps", packing: str = "zlib", finder: s
     return _apply(pairs, rows, "diff binary, new_size long")
 
 
-def patch(diffs: DataFrame) -> DataFrame:
-    """(stream_id, made) from rows (stream_id, old, diff, new_size).
+def diffs(pairs: DataFrame, kinds: list[str], packing: str = "zlib", finder: str = "block") -> DataFrame:
+    """(stream_id, kind, diff, new_size) of each pair in several containers, which
+    share one list of covers."""
+    kernel = FINDERS[finder]
 
-    A container that is damaged or belongs to another old stream raises.
-    """
+    def rows(old: np.ndarray, new: np.ndarray) -> list[tuple]:
+        covers = kernel(old, new)
+        return [(kind, formats.encode(kind, old, new, covers, packing), len(new)) for kind in kinds]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                made = [formats.decode(kernels.as_array(o.as_py()), d.as_py(), n.as_py()) for o, d, n in zip(*part.columns[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["stream_id", "made"])
+    return _apply(pairs, rows, "kind string, diff binary, new_size long")
 
-    kind = diffs.schema["stream_id"].dataType.simpleString()
-    return diffs.select("stream_id", "old", "diff", "new_size").mapInArrow(run, f"stream_id {kind}, made binary")
+
+def with_diff(pairs: DataFrame, kind: str = "steps", packing: str = "zlib", finder: str = "block") -> DataFrame:
+    """Pairs with their ``diff`` as one container and ``new_size`` beside them, for a
+    use that has both streams at hand: nothing is shuffled."""
+    kernel = FINDERS[finder]
+
+    def run(olds: pa.Array, news: pa.Array) -> pa.Array:
+        made = []
+        for part in parts(pa.RecordBatch.from_arrays([olds, news], ["old", "new"])):
+            for o, n in zip(*part.columns, strict=True):
+                old, new = kernels.as_array(o.as_py()), kernels.as_array(n.as_py())
+                made.append(formats.encode(kind, old, new, kernel(old, new), packing))
+        return pa.array(made, pa.binary())
+
+    size = F.coalesce(F.octet_length("new").cast("long"), F.lit(0).cast("long"))
+    return pairs.withColumn("diff", F.arrow_udf(run, BinaryType())("old", "new")).withColumn("new_size", size)
+
+
+def patched(old: Column, diff: Column, new_size: Column) -> Column:
+    """What a container makes of old.  One that is damaged or belongs to another
+    old stream raises."""
+
+    def run(olds: pa.Array, diffs: pa.Array, sizes: pa.Array) -> pa.Array:
+        made = []
+        for part in parts(pa.RecordBatch.from_arrays([olds, diffs, sizes], ["old", "diff", "new_size"])):
+            made += [formats.decode(kernels.as_array(o.as_py()), d.as_py(), n.as_py()) for o, d, n in zip(*part.columns, strict=True)]
+        return pa.array(made, pa.binary())
+
+    return F.arrow_udf(run, BinaryType())(old, diff, new_size)
+
+
+def patch(diffs: DataFrame) -> DataFrame:
+    """(stream_id, made) from rows (stream_id, old, diff, new_size)."""
+    return diffs.select("stream_id", patched(F.col("old"), F.col("diff"), F.col("new_size")).alias("made"))
 
 
 def resave(diffs: DataFrame, packing: str) -> DataFrame:
@@ -310,8 +341,6 @@ def resave(diffs: DataFrame, packing: str) -> DataFrame:
     def run(values: pa.Array) -> pa.Array:
         return pa.array([formats.resave_sections(v.as_py(), packing) if v.is_valid else None for v in values], pa.binary())
 
-    from pyspark.sql.types import BinaryType
-
     return diffs.withColumn("diff", F.arrow_udf(run, BinaryType())("diff"))
 
 

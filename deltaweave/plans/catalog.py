@@ -587,17 +587,15 @@ def combined_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 _APPLIED = f"SELECT doc_id AS stream_id, strlen({_NEW}) AS new_size, md5({_NEW}) AS made_md5, TRUE AS ok FROM documents WHERE text IS NOT NULL"
 
 
-def _applied(both: DataFrame, made: DataFrame) -> DataFrame:
-    """(stream_id, new_size, made_md5, ok): what diffs make of old, and whether it is new."""
-    joined = made.join(both, "stream_id")
-    back = pairs.patch(joined.select("stream_id", "old", "diff", "new_size"))
-    wanted = joined.select("stream_id", "new", "new_size").join(back, "stream_id")
-    return wanted.select("stream_id", "new_size", F.md5("made").alias("made_md5"), (F.col("made") == F.col("new")).alias("ok"))
+def _applied(made: DataFrame) -> DataFrame:
+    """(stream_id, new_size, made_md5, ok): what diffs beside their pairs make of
+    old, and whether it is new."""
+    back = made.withColumn("made", pairs.patched(F.col("old"), F.col("diff"), F.col("new_size")))
+    return back.select("stream_id", "new_size", F.md5("made").alias("made_md5"), (F.col("made") == F.col("new")).alias("ok"))
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str, kind: str, packing: str, finder: str) -> DataFrame:
-    both = text_pairs(spark, sf_dir)
-    return _applied(both, pairs.diff(both, kind, packing, finder))
+    return _applied(pairs.with_diff(text_pairs(spark, sf_dir), kind, packing, finder))
 
 
 def _register_roundtrips() -> None:
@@ -686,7 +684,7 @@ def sign_diff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda name: both.select("stream_id", F.col(name).alias("content"))
     signed = sync.rolling_signatures(side("old"), B)
     made = sync.diff_by_signature(signed, side("new"), B)
-    return _applied(both, made)
+    return _applied(made.join(both, "stream_id"))
 
 
 # a block is held where old has it and, unless one of them ends there, the next block behind it
@@ -724,11 +722,7 @@ def chunked_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def format_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kind, diff_bytes, new_bytes, ratio) of every container with a compressor."""
-    both = text_pairs(spark, sf_dir)
-    out = None
-    for kind in ("sections", "steps", "lite", "bsdiff", "endsley", "vcdiff"):
-        made = pairs.diff(both, kind, "zlib", "block").select(F.lit(kind).alias("kind"), F.octet_length("diff").alias("d"), "new_size")
-        out = made if out is None else out.unionByName(made)
+    out = pairs.diffs(text_pairs(spark, sf_dir), ["sections", "steps", "lite", "bsdiff", "endsley", "vcdiff"]).select("kind", F.octet_length("diff").alias("d"), "new_size")
     found = out.groupBy("kind").agg(F.sum("d").cast("long").alias("diff_bytes"), F.sum("new_size").alias("new_bytes"))
     return found.withColumn("ratio", F.col("diff_bytes") / F.col("new_bytes"))
 

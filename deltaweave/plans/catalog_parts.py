@@ -261,11 +261,8 @@ _TAGGED = ("sections", "steps", "lite", "bsdiff", "endsley", "vcdiff")
 @query(" UNION ALL ".join(f"SELECT '{k}' AS kind, '{k}' AS found, doc_id AS stream_id FROM documents WHERE text IS NOT NULL" for k in _TAGGED))
 def container_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which container the tag of a diff names."""
-    both, out = text_pairs(spark, sf_dir), None
-    for kind in _TAGGED:
-        made = pairs.diff(both, kind, "zlib", "block").select(F.lit(kind).alias("kind"), byte_ops.container_kind(F.col("diff")).alias("found"), "stream_id")
-        out = made if out is None else out.unionByName(made)
-    return out
+    made = pairs.diffs(text_pairs(spark, sf_dir), list(_TAGGED))
+    return made.select("kind", byte_ops.container_kind(F.col("diff")).alias("found"), "stream_id")
 
 
 @query(
@@ -275,11 +272,8 @@ def container_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def container_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the heads of diffs tell."""
-    both, out = text_pairs(spark, sf_dir), None
-    for kind in ("sections", "steps", "lite"):
-        made = pairs.diff(both, kind, "zlib", "block").select("stream_id", byte_ops.container_info(F.col("diff")).alias("i")).select("stream_id", "i.kind", "i.packing", "i.old_size", "i.new_size")
-        out = made if out is None else out.unionByName(made)
-    return out
+    made = pairs.diffs(text_pairs(spark, sf_dir), ["sections", "steps", "lite"]).select("stream_id", byte_ops.container_info(F.col("diff")).alias("i"))
+    return made.select("stream_id", "i.kind", "i.packing", "i.old_size", "i.new_size")
 
 
 @query(_APPLIED)
@@ -287,8 +281,7 @@ def resaved_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diffs of one compressor saved under another, then applied."""
     from .catalog import _applied
 
-    both = text_pairs(spark, sf_dir)
-    return _applied(both, pairs.resave(pairs.diff(both, "sections", "zlib", "block"), "bz2"))
+    return _applied(pairs.resave(pairs.with_diff(text_pairs(spark, sf_dir), "sections", "zlib", "block"), "bz2"))
 
 
 # files and directories

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums, formats, kernels
 from ..operators import blocks, covers, pairs
+from ..operators.tables import parts
 
 
 def publish(streams: DataFrame, size: int = 2048, packing: str = "zlib") -> tuple[DataFrame, DataFrame]:
@@ -154,14 +155,16 @@ def diff_by_signature(signed: DataFrame, new: DataFrame, size: int, packing: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data, found = kernels.as_array(row["content"]), row["list"] or []
-                keys = np.array([b["key"] for b in found], np.int64).view(np.uint64)
-                old_size = row["old_size"] or 0
-                made = kernels.signature_covers([b["block_index"] for b in found], keys, [b["strong"] for b in found], old_size, data, size)
-                out = formats.encode_literal_steps(data, old_size, made, packing)
-                yield pa.RecordBatch.from_arrays([pa.array([row["stream_id"]], batch.schema.field(0).type), pa.array([out], pa.binary()), pa.array([len(data)], pa.int64())], ["stream_id", "diff", "new_size"])
+        for part in (p for batch in batches for p in parts(batch)):
+            made, sizes = [], []
+            for content, old_size, found in zip(*part.columns[1:], strict=True):
+                data, old = kernels.as_array(content.as_py()), old_size.as_py() or 0
+                blocks_, keys, strong = ([] if found.values is None else found.values.field(k) for k in range(3))
+                keys = np.asarray(keys, np.int64).view(np.uint64)
+                covers_ = kernels.signature_covers(np.asarray(blocks_, np.int64).tolist(), keys, [v.as_py() for v in strong], old, data, size)
+                made.append(formats.encode_literal_steps(data, old, covers_, packing))
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary()), pa.array(sizes, pa.int64())], ["stream_id", "diff", "new_size"])
 
     lists = signed.groupBy("stream_id").agg(F.first("old_size").alias("old_size"), F.collect_list(F.when(F.col("block_index").isNotNull(), F.struct("block_index", "key", "strong"))).alias("list"))
     joined = new.select("stream_id", "content").join(lists, "stream_id", "left")

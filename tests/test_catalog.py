@@ -81,3 +81,25 @@ def _nodes(df, name):
 
 def test_sentinels_match_once(spark, sf_dir):
     assert _nodes(catalog.cover_sentinels(spark, sf_dir), "MapInArrow") == 1
+
+
+def test_containers_share_a_matching_and_round_trips_no_shuffle(spark, sf_dir):
+    from deltaweave.plans import catalog_parts
+
+    for query in (catalog_parts.container_kinds, catalog_parts.container_heads, catalog.format_ratio):
+        assert _nodes(query(spark, sf_dir), "MapInArrow") == 1
+    for name in ("plain", "sections", "steps", "lite", "bsdiff", "endsley", "vcdiff", "resaved"):
+        assert _nodes(catalog.QUERIES[f"{name}_roundtrip"](spark, sf_dir), "Exchange ") == 0
+
+
+def test_signature_diffs_of_odd_streams(spark):
+    from deltaweave.operators import pairs
+    from deltaweave.plans import sync
+
+    rows = [(1, b"", b"new"), (2, b"old" * 50, b""), (3, b"abcdefgh" * 40, b"--" + b"abcdefgh" * 30), (4, b"short", b"short")]
+    both = spark.createDataFrame(rows, "stream_id long, old binary, new binary")
+    old, new = (both.selectExpr("stream_id", f"{c} AS content") for c in ("old", "new"))
+    made = sync.diff_by_signature(sync.rolling_signatures(old, 16), new, 16)
+    back = pairs.patch(made.join(both, "stream_id").select("stream_id", "old", "diff", "new_size"))
+    assert {r["stream_id"]: bytes(r["made"]) for r in back.collect()} == {k: n for k, _, n in rows}
+    assert {r["stream_id"]: len(r["diff"]) for r in made.collect()}[3] < 100
