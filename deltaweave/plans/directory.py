@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks, files, pairs
+from ..operators.tables import written
 
 
 def choose_bases(new: DataFrame, old: DataFrame, size: int = 1024) -> DataFrame:
@@ -29,9 +30,10 @@ def dir_diff(new: DataFrame, old: DataFrame, kind: str = "steps", packing: str =
     """(path, action, base, diff, new_size, digest) for each new file.
 
     ``action`` is copy (the base has the same bytes) or delta.  Files are rows
-    (path, content).
+    (path, content).  Pairs of paths and the diff, which every use reads more than
+    once, are written.
     """
-    same = files.same_files(new, old).select(F.col("new_path").alias("path"), F.col("old_path").alias("base"))
+    same = written(files.same_files(new, old).select(F.col("new_path").alias("path"), F.col("old_path").alias("base")), "same")
     digests = files.with_digest(new).select("path", "digest", F.col("size").alias("new_size"))
     rest = new.join(same, "path", "left_anti")
     based = choose_bases(rest, old).join(old.select(F.col("path").alias("base"), F.col("content").alias("old")), "base", "left")
@@ -41,7 +43,7 @@ def dir_diff(new: DataFrame, old: DataFrame, kind: str = "steps", packing: str =
     none = F.lit(None)
     rows = same.select("path", F.lit("copy").alias("action"), "base", none.cast("binary").alias("diff"))
     rows = rows.unionByName(deltas.select("path", F.lit("delta").alias("action"), "base", "diff"))
-    return rows.join(digests, "path")
+    return written(rows.join(digests, "path"), "changes")
 
 
 def dir_patch(changes: DataFrame, old: DataFrame) -> DataFrame:
