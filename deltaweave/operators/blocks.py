@@ -85,11 +85,12 @@ def digest_order(signed: DataFrame, depth: int = 2) -> DataFrame:
     return keyed.select("stream_id", "block_index", (F.row_number().over(order) - 1).cast("long").alias("place"))
 
 
-def xor_check(signed: DataFrame) -> DataFrame:
-    """(stream_id, blocks, check): an order-free check over numbered block hashes."""
+def xor_check(signed: DataFrame, *more: Column) -> DataFrame:
+    """(stream_id, blocks, check): an order-free check over numbered block hashes,
+    and more aggregates of the blocks."""
     numbered = F.md5(F.concat_ws(":", "block_index", "strong"))
     part = F.conv(F.substring(numbered, 1, 15), 16, 10).cast("long")
-    return signed.groupBy("stream_id").agg(F.count(F.lit(1)).alias("blocks"), F.bit_xor(part).alias("check"))
+    return signed.groupBy("stream_id").agg(F.count(F.lit(1)).alias("blocks"), F.bit_xor(part).alias("check"), *more)
 
 
 def clash_counts(hashed: DataFrame, bits: list[int]) -> DataFrame:

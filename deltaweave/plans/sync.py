@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import checksums, formats, kernels
 from ..operators import blocks, covers, pairs
-from ..operators.tables import parts
+from ..operators.tables import parts, written
 
 
 def publish(streams: DataFrame, size: int = 2048, packing: str = "zlib") -> tuple[DataFrame, DataFrame]:
@@ -19,13 +19,14 @@ def publish(streams: DataFrame, size: int = 2048, packing: str = "zlib") -> tupl
 
     Signatures have one row a block with its strong hash and, where an earlier
     block is equal, that block; payload has the bytes, packed where that is
-    shorter.  Equal blocks are published once.
+    shorter.  Equal blocks are published once.  Signatures are what a publisher
+    keeps: they are written once and read by every step behind.
     """
     from ..operators.bytes import packed
 
-    signed = blocks.signatures(streams, size)
-    same = blocks.earlier_same_blocks(signed)
-    signed = signed.join(same, ["stream_id", "block_index"], "left")
+    order = Window.partitionBy("stream_id", "strong").orderBy("block_index")
+    signed = written(blocks.signatures(streams, size).withColumn("same_index", F.lag("block_index").over(order)), "signatures")
+    same = signed.where("same_index IS NOT NULL")
     body = blocks.split_blocks(streams, size).join(same, ["stream_id", "block_index"], "left_anti")
     body = body.withColumn("size", F.octet_length("block").cast("long")).withColumn("zipped", packed(F.col("block"), packing))
     shorter = F.octet_length("zipped") < F.col("size")
@@ -94,18 +95,16 @@ def synchronise(old: DataFrame, new: DataFrame, size: int = 2048, packing: str =
     over all of them is that of new.
     """
     signed, payload = publish(new, size, packing)
-    located = positions(old, new, size)
+    located = written(positions(old, new, size), "positions")
     tails = signed.join(located.select("stream_id", "block_index"), ["stream_id", "block_index"], "left_anti")
     needed = covers.needed_blocks(located).select("stream_id", "block_index").unionByName(tails.select("stream_id", "block_index"))
     made = rebuilt_blocks(old, located, fetch(needed, signed, payload, packing), signed, size)
     again = made.select("stream_id", "block_index", "ok", F.md5(blocks.padded(F.col("bytes"), size)).alias("strong"))
-    checks = blocks.xor_check(again).select("stream_id", F.col("check").alias("made"))
+    checks = blocks.xor_check(again, F.bool_and("ok").alias("ok")).select("stream_id", F.col("check").alias("made"), "ok")
     wanted = blocks.xor_check(signed).select("stream_id", "blocks", "check")
-    whole = again.groupBy("stream_id").agg(F.bool_and("ok").alias("ok"))
     missing = needed.groupBy("stream_id").agg(F.count(F.lit(1)).alias("need_blocks"))
     return (
-        wanted.join(whole, "stream_id")
-        .join(checks, "stream_id")
+        wanted.join(checks, "stream_id")
         .join(missing, "stream_id", "left")
         .select("stream_id", (F.col("ok") & (F.col("made") == F.col("check"))).alias("ok"), "blocks", F.coalesce("need_blocks", F.lit(0).cast("long")).alias("need_blocks"))
     )
@@ -119,7 +118,7 @@ def local_diff(old: DataFrame, new: DataFrame, size: int = 2048, packing: str =
     blocks that old lacks and of short last ones, equal blocks once.
     """
     signed, payload = publish(new, size, packing)
-    located = positions(old, new, size)
+    located = written(positions(old, new, size), "positions")
     held = located.where("old_pos IS NOT NULL").select("stream_id", "block_index")
     wanted = signed.join(held, ["stream_id", "block_index"], "left_anti").select("stream_id", "strong").distinct()
     first = signed.join(wanted, ["stream_id", "strong"]).groupBy("stream_id", "strong").agg(F.min("block_index").alias("block_index"))

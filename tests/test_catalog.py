@@ -103,3 +103,8 @@ def test_signature_diffs_of_odd_streams(spark):
     back = pairs.patch(made.join(both, "stream_id").select("stream_id", "old", "diff", "new_size"))
     assert {r["stream_id"]: bytes(r["made"]) for r in back.collect()} == {k: n for k, _, n in rows}
     assert {r["stream_id"]: len(r["diff"]) for r in made.collect()}[3] < 100
+
+
+def test_sync_and_directories_read_what_was_written(spark, sf_dir):
+    for name in ("sync_roundtrip", "dir_diff_roundtrip", "sync_diff_applied"):
+        assert _nodes(catalog.QUERIES[name](spark, sf_dir), "MapInArrow") == 0
